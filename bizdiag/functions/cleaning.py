@@ -5,12 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Text layouts accepted for dates.
-DATE_FORMATS = (
-    "yyyy-M-d", "yyyy/M/d", "yyyy.M.d", "yyyyMMdd", "yyyy年M月d日",
-    "yyyy-M-d H:m:s", "yyyy/M/d H:m:s", "yyyy-M-d H:m", "yyyy/M/d H:m",
-    "yyyy-M-d'T'H:m:s", "yyyy-M-d H:m:s.SSSSSS", "M/d/yyyy", "MMM d, yyyy", "d MMM yyyy",
-)
+# Layouts of dates which do not start with the year.
+DATE_FORMATS = ("M/d/yyyy", "MMM d, yyyy", "d MMM yyyy")
+YEAR_FIRST = r"^(\d{4})[-/.年](\d{1,2})[-/.月](\d{1,2})日?"
+COMPACT_DATE = r"^(\d{4})(\d{2})(\d{2})$"
 # Serial day numbers of spreadsheets and their first day.
 SERIAL_MIN, SERIAL_MAX, SERIAL_ORIGIN = 1, 132320, "1899-12-30"
 # Signs dropped from numbers.
@@ -34,35 +32,54 @@ def provided(c: Column) -> Column:
     return dimension_col(c).isNotNull()
 
 
-def date_col(c: Column) -> tuple[Column, Column]:
-    """(date, invalid flag) of mixed text dates, timestamps and serial day numbers."""
-    text = dimension_col(c)
+def date_of(text: Column) -> tuple[Column, Column]:
+    """(date, invalid flag) of a trimmed text."""
     number = text.try_cast("double")
     serial = F.date_add(F.lit(SERIAL_ORIGIN).cast("date"), F.floor(number).cast("int"))
-    parsed = F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in DATE_FORMATS]).cast("date")
+    iso = F.regexp_replace(F.regexp_replace(text, COMPACT_DATE, "$1-$2-$3"), YEAR_FIRST, "$1-$2-$3")
+    year_first = F.when(iso.rlike(r"^\d{4}-\d"), iso).try_cast("timestamp")
+    parsed = F.coalesce(year_first, *[F.try_to_timestamp(text, F.lit(f)) for f in DATE_FORMATS]).cast("date")
     is_serial = F.coalesce(number.between(SERIAL_MIN, SERIAL_MAX), F.lit(False))
     value = F.when(is_serial, serial).otherwise(parsed)
     return value, text.isNotNull() & value.isNull()
 
 
-def number_col(c: Column, kind: str) -> tuple[Column, Column, Column]:
-    """(value, invalid flag, not-whole flag) of a number written as text.
+def date_col(c: Column) -> tuple[Column, Column]:
+    """(date, invalid flag) of mixed text dates, timestamps and serial day numbers."""
+    return date_of(dimension_col(c))
+
+
+def finite_number(text: Column) -> Column:
+    """Finite double of a trimmed number text; NULL when there is none."""
+    number = F.regexp_replace(text, NUMBER_NOISE, "").try_cast("double")
+    return F.when(~F.isnan(number) & (F.abs(number) != float("inf")), number)
 
-    ``kind`` is ``"count"`` (whole numbers, bigint) or ``"money"`` (decimal(18,2)).
+
+def number_of(text: Column, number: Column, kind: str) -> tuple[Column, Column, Column]:
+    """(value, invalid flag, not-whole flag) of a trimmed text and its finite double.
+
+    ``kind`` is ``"count"`` (whole numbers, bigint) or ``"money"`` (decimal(18,2)). The value is
+    taken from the text where possible, so that no digit is lost to the double.
     """
-    text = F.regexp_replace(dimension_col(c), NUMBER_NOISE, "")
-    number = text.try_cast("double")
-    finite = number.isNotNull() & ~F.isnan(number) & (F.abs(number) != float("inf"))
-    invalid = provided(c) & ~F.coalesce(finite, F.lit(False))
+    plain = F.regexp_replace(text, NUMBER_NOISE, "")
+    invalid = text.isNotNull() & number.isNull()
     if kind == "money":
-        value = F.when(finite, text.try_cast("decimal(38,10)").try_cast("decimal(18,2)"))
-        value = F.coalesce(value, F.when(finite, number.try_cast("decimal(18,2)")))
+        exact = plain.try_cast("decimal(38,10)").try_cast("decimal(18,2)")
+        value = F.when(number.isNotNull(), F.coalesce(exact, number.try_cast("decimal(18,2)")))
         return value, invalid, F.lit(False)
-    split = F.coalesce(finite & (F.abs(number % 1) > 1e-9), F.lit(False))
-    value = F.when(finite & ~split, F.coalesce(text.try_cast("bigint"), number.try_cast("bigint")))
+    split = F.coalesce(F.abs(number % 1) > 1e-9, F.lit(False))
+    value = F.when(
+        number.isNotNull() & ~split, F.coalesce(plain.try_cast("bigint"), F.round(number).try_cast("bigint"))
+    )
     return value, invalid, split
 
 
+def number_col(c: Column, kind: str) -> tuple[Column, Column, Column]:
+    """(value, invalid flag, not-whole flag) of a number written as text."""
+    text = dimension_col(c)
+    return number_of(text, finite_number(text), kind)
+
+
 def identifier_col(c: Column) -> Column:
     """Identifier text: whole numbers lose ``.0``, blanks are NULL, leading zeros stay."""
     return F.nullif(F.regexp_replace(trimmed(c), r"^(-?\d+)\.0+$", "$1"), F.lit(""))
