@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("metric_queries",)
+MODULES = ("metric_queries", "merchant_queries")
 
 
 def _collect(attribute: str) -> dict:
