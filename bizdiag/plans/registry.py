@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("metric_queries", "merchant_queries")
+MODULES = ("metric_queries", "merchant_queries", "order_queries", "ingest_queries")
 
 
 def _collect(attribute: str) -> dict:
