@@ -137,11 +137,11 @@ def _query_start(rule: Mapping, start: date) -> date:
 
 
 def _value_for_history(rule: Mapping, i: int) -> Column:
-    """Available value as an exact decimal; ratio values are rounded to twelve decimals first."""
+    """Available value as an exact decimal; ratio values are rounded to nine decimals first."""
     ok = F.col(f"r{i}_c_status") == AVAILABLE
     if defs.metric(rule["metric_id"])["type"] == "ratio":
-        value = F.round(quotient(F.col(f"r{i}_c_num"), F.col(f"r{i}_c_den")), 12)
-        return F.when(ok, value).cast("decimal(20,12)")
+        value = F.round(quotient(F.col(f"r{i}_c_num"), F.col(f"r{i}_c_den")), 9)
+        return F.when(ok, value).cast("decimal(18,9)")
     return F.when(ok, F.col(f"r{i}_c_num") / F.lit(100).cast("decimal(3,0)")).cast("decimal(20,2)")
 
 
@@ -154,7 +154,7 @@ def _window_columns(rule: Mapping, i: int, by_member, start: date) -> list[Colum
     if rule["method"] == "zscore":
         back = by_member.rangeBetween(-rule["history_window_days"], -1)
         x = F.col(f"{p}x")
-        square = (x * x).cast(f"decimal(38,{_square_scale(rule)})")
+        square = (x * x).cast(f"decimal(38,{2 * _scale(rule)})")
         return out + [
             F.count(x).over(back).alias(f"{p}n"),
             F.sum(x).over(back).alias(f"{p}sx"),
@@ -176,8 +176,9 @@ def _window_columns(rule: Mapping, i: int, by_member, start: date) -> list[Colum
     ]
 
 
-def _square_scale(rule: Mapping) -> int:
-    return 24 if defs.metric(rule["metric_id"])["type"] == "ratio" else 4
+def _scale(rule: Mapping) -> int:
+    """Decimals kept of a value in a z-score history."""
+    return 9 if defs.metric(rule["metric_id"])["type"] == "ratio" else 2
 
 
 def _judged(rule: Mapping, i: int) -> list[Column]:
@@ -187,13 +188,14 @@ def _judged(rule: Mapping, i: int) -> list[Column]:
     cur = Result(c("c_status"), c("c_num"), c("c_den"), none, c("c_denominator"), none)
     z, moves = none, F.lit(True)
     if rule["method"] == "zscore":
-        n, sx = c("n"), c("sx")
+        # widths are chosen so that the products keep all their decimals
+        n, scale = c("n"), _scale(rule)
+        sx = c("sx").cast(f"decimal(18,{scale})")
+        sxx = c("sxx").cast(f"decimal(33,{2 * scale})")
         enough = n >= rule["min_history_days"]
-        spread = (n.cast("decimal(10,0)") * c("sxx") - sx * sx).cast("double")
+        spread = (n.cast("decimal(4,0)") * sxx - sx * sx).cast("double")
         moves = F.coalesce(spread > 0, F.lit(False))
-        # sums in hundredths (additive) or in 10^-12 (ratio) over the number of days
-        scale = 10**12 if defs.metric(mid)["type"] == "ratio" else 100
-        unit = F.lit(scale).cast("decimal(13,0)")
+        unit = F.lit(10**scale).cast("decimal(10,0)")
         base = Result(
             F.when(enough, AVAILABLE).otherwise(NO_DATA),
             F.when(enough, (sx * unit).cast("decimal(38,0)")),
