@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 from bizdiag import definitions as defs
 from bizdiag.functions.text import fixed, percent
 from bizdiag.operators.metrics import (
-    Filters, Result, as_date, averaged, change_columns, daily_parts, in_scope, quotient,
-    result_of, sums,
+    NULL_NUMBER, Filters, Result, as_date, averaged, change_columns, daily_parts, in_scope, quotient,
+    result_of, sums, whole,
 )
 from bizdiag.operators.trend import calendar, day_number
 from bizdiag.schema import AVAILABLE, NO_DATA
@@ -79,11 +79,11 @@ def scan_rows(
     base_columns = []
     for i, rule in enumerate(chosen):
         cur = result_of(rule["metric_id"], available)
-        base_columns += [
-            cur.status.alias(f"r{i}_c_status"), cur.num.alias(f"r{i}_c_num"),
-            cur.den.alias(f"r{i}_c_den"), cur.denominator.alias(f"r{i}_c_denominator"),
-            *[c.alias(f"r{i}_d_{n}") for n, c in daily_parts(rule["metric_id"], available).items()],
-        ]
+        parts = {
+            "c_status": cur.status, "c_num": cur.num, "c_den": cur.den, "c_denominator": cur.denominator,
+            **{f"d_{n}": c for n, c in daily_parts(rule["metric_id"], available).items()},
+        }
+        base_columns += [F.expr(c).alias(f"r{i}_{n}") for n, c in parts.items()]
     rows = rows.select(*keep, *base_columns)
     for i, rule in enumerate(chosen):
         if rule["method"] == "zscore":
@@ -138,11 +138,10 @@ def _query_start(rule: Mapping, start: date) -> date:
 
 def _value_for_history(rule: Mapping, i: int) -> Column:
     """Available value as an exact decimal; ratio values are rounded to nine decimals first."""
-    ok = F.col(f"r{i}_c_status") == AVAILABLE
+    ok, num, den = f"r{i}_c_status = '{AVAILABLE}'", f"r{i}_c_num", f"r{i}_c_den"
     if defs.metric(rule["metric_id"])["type"] == "ratio":
-        value = F.round(quotient(F.col(f"r{i}_c_num"), F.col(f"r{i}_c_den")), 9)
-        return F.when(ok, value).cast("decimal(18,9)")
-    return F.when(ok, F.col(f"r{i}_c_num") / F.lit(100).cast("decimal(3,0)")).cast("decimal(20,2)")
+        return F.expr(f"CAST(CASE WHEN {ok} THEN round({quotient(num, den)}, 9) END AS DECIMAL(18,9))")
+    return F.expr(f"CAST(CASE WHEN {ok} THEN {num} / CAST(100 AS DECIMAL(3,0)) END AS DECIMAL(20,2))")
 
 
 def _window_columns(rule: Mapping, i: int, by_member, start: date) -> list[Column]:
@@ -183,72 +182,70 @@ def _scale(rule: Mapping) -> int:
 
 def _judged(rule: Mapping, i: int) -> list[Column]:
     """Values, changes and skip reason of one rule."""
-    p, mid, none = f"r{i}_", rule["metric_id"], F.lit(None).cast("double")
-    c = lambda name: F.col(f"{p}{name}")
-    cur = Result(c("c_status"), c("c_num"), c("c_den"), none, c("c_denominator"), none)
-    z, moves = none, F.lit(True)
+    p, mid = f"r{i}_", rule["metric_id"]
+    cur = Result(f"{p}c_status", f"{p}c_num", f"{p}c_den", denominator=f"{p}c_denominator")
+    z, moves = NULL_NUMBER, "true"
     if rule["method"] == "zscore":
         # widths are chosen so that the products keep all their decimals
-        n, scale = c("n"), _scale(rule)
-        sx = c("sx").cast(f"decimal(18,{scale})")
-        sxx = c("sxx").cast(f"decimal(33,{2 * scale})")
-        enough = n >= rule["min_history_days"]
-        spread = (n.cast("decimal(4,0)") * sxx - sx * sx).cast("double")
-        moves = F.coalesce(spread > 0, F.lit(False))
-        unit = F.lit(10**scale).cast("decimal(10,0)")
+        n, scale = f"{p}n", _scale(rule)
+        sx = f"CAST({p}sx AS DECIMAL(18,{scale}))"
+        sxx = f"CAST({p}sxx AS DECIMAL(33,{2 * scale}))"
+        enough = f"{n} >= {rule['min_history_days']}"
+        spread = f"CAST(CAST({n} AS DECIMAL(4,0)) * {sxx} - {sx} * {sx} AS DOUBLE)"
+        moves = f"coalesce({spread} > 0, false)"
+        unit = f"CAST({10**scale} AS DECIMAL(10,0))"
         base = Result(
-            F.when(enough, AVAILABLE).otherwise(NO_DATA),
-            F.when(enough, (sx * unit).cast("decimal(38,0)")),
-            F.when(enough, (n.cast("decimal(10,0)") * unit).cast("decimal(38,0)")),
-            none, none, none,
+            f"CASE WHEN {enough} THEN '{AVAILABLE}' ELSE '{NO_DATA}' END",
+            f"CASE WHEN {enough} THEN {whole(f'{sx} * {unit}')} END",
+            f"CASE WHEN {enough} THEN {whole(f'CAST({n} AS DECIMAL(10,0)) * {unit}')} END",
+            available=enough,
         )
-        deviation = F.sqrt(F.greatest(spread, F.lit(0.0))) / n.cast("double")
-        z = F.when(enough & moves, change_columns(mid, cur, base)["delta"] / deviation)
+        delta = change_columns(mid, cur, base)["delta"]
+        deviation = f"(sqrt(greatest({spread}, 0D)) / CAST({n} AS DOUBLE))"
+        z = f"CASE WHEN {enough} AND {moves} THEN ({delta}) / {deviation} END"
     elif rule["comparison"] == "previous_week":
-        base = Result(c("b_status"), c("b_num"), c("b_den"), none, none, none)
+        base = Result(f"{p}b_status", f"{p}b_num", f"{p}b_den")
     else:
-        base = averaged(mid, c("b_ok"), c("b_num"), c("b_den"), c("b_bad"))
+        base = averaged(mid, f"{p}b_ok", f"{p}b_num", f"{p}b_den", f"{p}b_bad")
     changes = change_columns(mid, cur, base)
-    ready = (changes["comparison_status"] == AVAILABLE) & moves
+    ready = f"coalesce({cur.ok} AND {base.ok} AND {moves}, false)"
     low = _low_volume(rule, cur.denominator, base.value)
-    skip = F.when(~F.coalesce(ready, F.lit(False)), "no_data").when(low, "low_volume")
-    return [
-        cur.value.alias("current_value"), cur.status.alias("current_status"),
-        cur.denominator.alias("current_denominator"),
-        base.value.alias("baseline_value"), base.status.alias("baseline_status"),
-        *[
-            F.when(skip.isNull(), v).alias(name)
-            for name, v in {**changes, "z_score": z}.items()
+    used = f"{ready} AND NOT ({low})"
+    out = {
+        "current_value": cur.value, "current_status": cur.status, "current_denominator": cur.denominator,
+        "baseline_value": base.value, "baseline_status": base.status,
+        **{
+            name: f"CASE WHEN {used} THEN {c} END"
+            for name, c in {**changes, "z_score": z}.items()
             if name != "comparison_status"
-        ],
-        skip.alias("skip_reason"),
-    ]
+        },
+        "skip_reason": f"CASE WHEN NOT {ready} THEN 'no_data' WHEN {low} THEN 'low_volume' END",
+    }
+    return [F.expr(c).alias(name) for name, c in out.items()]
 
 
-def _low_volume(rule: Mapping, denominator: Column, baseline: Column) -> Column:
-    low = F.lit(False)
+def _low_volume(rule: Mapping, denominator: str, baseline: str) -> str:
+    low = "false"
     if rule["min_denominator"] is not None:
-        low = low | denominator.isNull() | (denominator < float(rule["min_denominator"]))
+        low += f" OR coalesce({denominator} < {float(rule['min_denominator'])!r}D, true)"
     if rule["min_baseline_value"] is not None:
-        low = low | baseline.isNull() | (F.abs(baseline) < float(rule["min_baseline_value"]))
+        low += f" OR coalesce(abs({baseline}) < {float(rule['min_baseline_value'])!r}D, true)"
     return low
 
 
 def _severity(rule: Mapping, judged: str) -> Column:
     """First severity whose threshold is met: critical, then warning, then info."""
-    out = F.lit(None).cast("string")
-    for severity in reversed(defs.SEVERITIES):
+    out = f"CASE WHEN {judged}.skip_reason IS NOT NULL THEN NULL"
+    for severity in defs.SEVERITIES:
         if severity not in rule["thresholds"]:
             continue
-        measure, value = rule["thresholds"][severity]
-        seen = F.col(f"{judged}.{measure}")
+        measure, limit = rule["thresholds"][severity]
+        seen, value = f"{judged}.{measure}", f"{float(limit)!r}D"
         met = {
-            "decrease": seen <= float(value),
-            "increase": seen >= float(value),
-            "both": F.abs(seen) >= float(value),
+            "decrease": f"{seen} <= {value}", "increase": f"{seen} >= {value}", "both": f"abs({seen}) >= {value}",
         }[rule["direction"]]
-        out = F.when(F.coalesce(met, F.lit(False)), severity).otherwise(out)
-    return F.when(F.col(f"{judged}.skip_reason").isNull(), out)
+        out += f" WHEN {met} THEN '{severity}'"
+    return F.expr(f"{out} END")
 
 
 def evaluate_rules(df: DataFrame, start: date | str, end: date | str, *args, **kwargs) -> DataFrame:

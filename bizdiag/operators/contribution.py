@@ -29,7 +29,7 @@ class UnsupportedComparison(ValueError):
 def exact_value(metric_id: str, available: Iterable[str] | None, tag: str) -> tuple[Column, Column]:
     """(status, exact decimal value) of an additive metric over tagged sums."""
     r = result_of(metric_id, available, tag)
-    return r.status, (r.num / F.lit(100).cast("decimal(3,0)")).cast("decimal(24,2)")
+    return F.expr(r.status), F.expr(f"CAST({r.num} / CAST(100 AS DECIMAL(3,0)) AS DECIMAL(24,2))")
 
 
 def direction_of(delta: Column) -> Column:

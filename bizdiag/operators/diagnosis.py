@@ -132,12 +132,12 @@ def _observations(
                 F.lit(i).alias("position"), F.lit(mid).alias("metric_id"),
                 F.lit(defs.metric(mid)["name"]).alias("metric_name"),
                 F.lit(defs.metric(mid)["format"]).alias("format"),
-                cur.value.alias("current_value"), base.value.alias("baseline_value"),
-                changes["delta"].alias("delta"),
-                changes["relative_change"].alias("relative_change"),
-                cur.status.alias("current_status"), base.status.alias("baseline_status"),
+                F.expr(cur.value).alias("current_value"), F.expr(base.value).alias("baseline_value"),
+                F.expr(changes["delta"]).alias("delta"),
+                F.expr(changes["relative_change"]).alias("relative_change"),
+                F.expr(cur.status).alias("current_status"), F.expr(base.status).alias("baseline_status"),
                 F.lit(recipe["contribution_comparison"]).alias("comparison_type"),
-                direction_of(changes["delta"]).alias("direction"),
+                direction_of(F.expr(changes["delta"])).alias("direction"),
             )
         )
     return rows.select("event_id", F.inline(F.array(*out)))

@@ -2,6 +2,9 @@
 
 Every metric is a fraction of two exact whole numbers (hundredths). Values and changes come from
 whole-number products and one final division, so a threshold met exactly is met here too.
+
+Derived expressions are composed as SQL text and handed to Spark with ``expr``: one call per
+column instead of one per operator.
 """
 
 from __future__ import annotations
@@ -59,95 +62,104 @@ def sums(fields: Iterable[str], when: Column | None = None, tag: str = "") -> li
     return aggs
 
 
+NULL_NUMBER, NULL_TEXT = "CAST(NULL AS DOUBLE)", "CAST(NULL AS STRING)"
+ONE = "CAST(100 AS DECIMAL(38,0))"  # the number one in hundredths
+
+
 @dataclass(frozen=True)
 class Result:
-    """Columns of one metric result over aggregated rows."""
+    """SQL text of one metric result over aggregated rows."""
 
-    status: Column
-    num: Column  # whole hundredths; value = num / den
-    den: Column
-    numerator: Column  # the parts as they are reported
-    denominator: Column
-    reason: Column
+    status: str
+    num: str  # whole hundredths; value = num / den
+    den: str
+    numerator: str = NULL_NUMBER  # the parts as they are reported
+    denominator: str = NULL_NUMBER
+    reason: str = NULL_TEXT
+    available: str = ""
 
     @property
-    def value(self) -> Column:
-        return F.when(self.status == AVAILABLE, quotient(self.num, self.den))
+    def ok(self) -> str:
+        return f"({self.available or f"{self.status} = '{AVAILABLE}'"})"
+
+    @property
+    def value(self) -> str:
+        return f"CASE WHEN {self.ok} THEN {quotient(self.num, self.den)} END"
+
+
+def text(value: str) -> str:
+    """SQL text literal."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def hundredths(c: Column) -> Column:
+def hundredths(c: str) -> str:
     """Exact whole number of hundredths."""
-    return (c.cast("decimal(22,2)") * F.lit(100).cast("decimal(3,0)")).cast("decimal(38,0)")
+    return f"CAST(CAST({c} AS DECIMAL(22,2)) * CAST(100 AS DECIMAL(3,0)) AS DECIMAL(38,0))"
 
 
-def quotient(num: Column, den: Column) -> Column:
-    """One double division; NULL when the divisor is 0."""
-    return num.cast("double") / F.nullif(den, F.lit(0).cast("decimal(38,0)")).cast("double")
+def whole(c: str) -> str:
+    """Whole number of any size."""
+    return f"CAST({c} AS DECIMAL(38,0))"
 
 
-def one() -> Column:
-    """The number one in hundredths."""
-    return F.lit(100).cast("decimal(38,0)")
+def quotient(num: str, den: str) -> str:
+    """One double division; NULL when the divisor is 0."""
+    return f"(CAST({num} AS DOUBLE) / nullif(CAST({den} AS DOUBLE), 0D))"
 
 
 def result_of(metric_id: str, available: Iterable[str] | None = None, tag: str = "") -> Result:
-    """Result columns of a metric over the aggregates made by :func:`sums`.
+    """Result of a metric over the aggregates made by :func:`sums`.
 
     ``available`` lists the mapped fields (all when not given).
     """
     mapped = set(COLUMNS if available is None else available)
     d = defs.metric(metric_id)
-    none = F.lit(None).cast("double")
     if d["type"] == "atomic":
         f = d["field"]
         if f not in mapped:
-            status = F.lit(MISSING_FIELD)
-            reason = F.lit(f"{f} is unavailable in current dataset")
-        else:
-            has = F.coalesce(F.col(f"{tag}n_{f}"), F.lit(0)) > 0
-            status = F.when(has, AVAILABLE).otherwise(NO_DATA)
-            reason = F.when(~has, F.lit(f"{f} has no data for the current selection"))
-        total = F.when(status == AVAILABLE, hundredths(F.col(f"{tag}s_{f}")))
-        return Result(status, total, one(), none, none, reason)
-
+            return Result(
+                text(MISSING_FIELD), "CAST(NULL AS DECIMAL(38,0))", ONE, available="false",
+                reason=text(f"{f} is unavailable in current dataset"),
+            )
+        has = f"coalesce({tag}n_{f}, 0) > 0"
+        return Result(
+            f"CASE WHEN {has} THEN '{AVAILABLE}' ELSE '{NO_DATA}' END",
+            f"CASE WHEN {has} THEN {hundredths(f'{tag}s_{f}')} END", ONE, available=has,
+            reason=f"CASE WHEN NOT ({has}) THEN {text(f'{f} has no data for the current selection')} END",
+        )
     a_id, b_id = d["parts"]
     a, b = result_of(a_id, mapped, tag), result_of(b_id, mapped, tag)
-    status, reason = F.lit(AVAILABLE), F.lit(None).cast("string")
-    if d["type"] == "ratio":
-        zero = b.num == 0
-        status = F.when(zero, ZERO_DENOMINATOR).otherwise(status)
-        reason = F.when(zero, F.lit(f"{b_id} aggregates to zero")).otherwise(reason)
-    for pid, part in ((b_id, b), (a_id, a)):  # the first part is checked first
-        passed = part.status if defs.metric(pid)["type"] == "atomic" else F.lit(DEPENDENCY)
-        bad = part.status != AVAILABLE
-        status = F.when(bad, passed).otherwise(status)
-        reason = F.when(
-            bad, F.concat(F.lit(f"Dependency {pid} is unavailable: "), part.status)
-        ).otherwise(reason)
-    ok = (a.status == AVAILABLE) & (b.status == AVAILABLE)
+    ratio = d["type"] == "ratio"
+    status, reason = "CASE", "CASE"
+    for pid, part in ((a_id, a), (b_id, b)):  # the first part is checked first
+        passed = part.status if defs.metric(pid)["type"] == "atomic" else text(DEPENDENCY)
+        status += f" WHEN NOT {part.ok} THEN {passed}"
+        reason += f" WHEN NOT {part.ok} THEN concat({text(f'Dependency {pid} is unavailable: ')}, {part.status})"
+    ok = f"{a.ok} AND {b.ok}"
+    if ratio:
+        status += f" WHEN {b.num} = 0 THEN '{ZERO_DENOMINATOR}'"
+        reason += f" WHEN {b.num} = 0 THEN {text(f'{b_id} aggregates to zero')}"
     # a part is a plain sum or difference, so its own denominator is one
-    num, den = (a.num, b.num) if d["type"] == "ratio" else (a.num - b.num, one())
+    num, den = (a.num, b.num) if ratio else (whole(f"{a.num} - {b.num}"), ONE)
     return Result(
-        status,
-        F.when(ok, num.cast("decimal(38,0)")),
-        F.when(ok, den),
-        F.when(ok, quotient(a.num, one())),
-        F.when(ok, quotient(b.num, one())),
-        reason,
+        f"{status} ELSE '{AVAILABLE}' END",
+        f"CASE WHEN {ok} THEN {num} END", f"CASE WHEN {ok} THEN {den} END",
+        f"CASE WHEN {ok} THEN {quotient(a.num, ONE)} END", f"CASE WHEN {ok} THEN {quotient(b.num, ONE)} END",
+        f"{reason} END",
+        f"{ok} AND {b.num} <> 0" if ratio else ok,
     )
 
 
-def _result_struct(metric_id: str, available: Iterable[str] | None) -> Column:
+def _row(**fields: str) -> str:
+    """SQL struct of named texts."""
+    return "named_struct(" + ", ".join(f"'{n}', {e}" for n, e in fields.items()) + ")"
+
+
+def _result_struct(metric_id: str, available: Iterable[str] | None) -> str:
     r, d = result_of(metric_id, available), defs.metric(metric_id)
-    return F.struct(
-        F.lit(metric_id).alias("metric_id"),
-        F.lit(d["name"]).alias("name"),
-        F.lit(d["format"]).alias("format"),
-        r.status.alias("status"),
-        r.value.alias("value"),
-        r.numerator.alias("numerator_value"),
-        r.denominator.alias("denominator_value"),
-        r.reason.alias("reason"),
+    return _row(
+        metric_id=text(metric_id), name=text(d["name"]), format=text(d["format"]), status=r.status, value=r.value,
+        numerator_value=r.numerator, denominator_value=r.denominator, reason=r.reason,
     )
 
 
@@ -169,8 +181,8 @@ def metrics_by(
         raise ValueError(f"illegal grouping: {tuple(keys)}")
     fields = defs.atomic_fields(metric_ids)
     grouped = in_scope(df, start, end, filters).groupBy(*keys).agg(*sums(fields))
-    rows = F.array(*[_result_struct(m, available) for m in metric_ids])
-    return grouped.select(*keys, F.inline(rows))
+    rows = ", ".join(_result_struct(m, available) for m in metric_ids)
+    return grouped.select(*keys, F.expr(f"inline(array({rows}))"))
 
 
 def metrics(
@@ -200,72 +212,59 @@ def comparison_period(
     raise ValueError(f"unsupported comparison: {comparison}")
 
 
-def change_columns(metric_id: str, cur: Result, base: Result) -> dict[str, Column]:
-    """Delta, relative and percentage-point change with their status."""
+def change_columns(metric_id: str, cur: Result, base: Result) -> dict[str, str]:
+    """SQL text of delta, relative and percentage-point change with their status."""
     status = (
-        F.when(cur.status != AVAILABLE, UNAVAILABLE_CURRENT)
-        .when(base.status != AVAILABLE, UNAVAILABLE_BASELINE)
-        .otherwise(AVAILABLE)
+        f"CASE WHEN NOT {cur.ok} THEN '{UNAVAILABLE_CURRENT}' WHEN NOT {base.ok} THEN '{UNAVAILABLE_BASELINE}' "
+        f"ELSE '{AVAILABLE}' END"
     )
-    ok = status == AVAILABLE
+    both = f"{cur.ok} AND {base.ok}"
     # cn/cd - bn/bd over one denominator
-    moved = (cur.num * base.den - base.num * cur.den).cast("decimal(38,0)")
-    delta = F.when(ok, quotient(moved, (cur.den * base.den).cast("decimal(38,0)")))
-    relative = F.when(ok, quotient(moved, (cur.den * base.num).cast("decimal(38,0)")))
-    points = delta if defs.metric(metric_id)["format"] == "percentage" else F.lit(None).cast("double")
+    moved = whole(f"({cur.num}) * ({base.den}) - ({base.num}) * ({cur.den})")
+    delta = f"CASE WHEN {both} THEN {quotient(moved, whole(f'({cur.den}) * ({base.den})'))} END"
+    relative = f"CASE WHEN {both} THEN {quotient(moved, whole(f'({cur.den}) * ({base.num})'))} END"
+    percentage = defs.metric(metric_id)["format"] == "percentage"
     return {
         "delta": delta,
         "relative_change": relative,
-        "percentage_point_change": points,
+        "percentage_point_change": delta if percentage else NULL_NUMBER,
         "comparison_status": status,
     }
 
 
-def daily_parts(
-    metric_id: str, available: Iterable[str] | None = None, tag: str = ""
-) -> dict[str, Column]:
+def daily_parts(metric_id: str, available: Iterable[str] | None = None, tag: str = "") -> dict[str, str]:
     """What a seven-day average needs of one day: flags and exact parts."""
     r = result_of(metric_id, available, tag)
     ratio = defs.metric(metric_id)["type"] == "ratio"
-    used = r.status.isin(AVAILABLE, ZERO_DENOMINATOR) if ratio else r.status == AVAILABLE
+    # the parts of a ratio are there on available and on zero-denominator days
+    den = r.den if ratio else f"CASE WHEN {r.ok} THEN CAST(1 AS DECIMAL(38,0)) END"
     return {
-        "ok": (r.status == AVAILABLE).cast("int"),
-        "num": F.when(used, r.num),
-        "den": F.when(used, r.den if ratio else F.lit(1).cast("decimal(38,0)")),
-        "bad": F.when(~r.status.isin(AVAILABLE, NO_DATA), r.status),
+        "ok": f"CAST({r.ok} AS INT)",
+        "num": r.num,
+        "den": den,
+        "bad": f"nullif(nullif({r.status}, '{AVAILABLE}'), '{NO_DATA}')",
     }
 
 
-def averaged(metric_id: str, n_ok: Column, num: Column, den: Column, first_bad: Column) -> Result:
+def averaged(metric_id: str, n_ok: str, num: str, den: str, first_bad: str) -> Result:
     """Average of daily results: summed parts for a ratio, else the mean of available days."""
-    none = F.lit(None).cast("double")
-    has = F.coalesce(n_ok, F.lit(0)) > 0
+    has = f"coalesce({n_ok}, 0) > 0"
+    none = f"coalesce({first_bad}, '{NO_DATA}')"
+    gap = f"WHEN NOT ({has}) AND {first_bad} IS NULL THEN 'No data exists for this calendar date'"
     if defs.metric(metric_id)["type"] == "ratio":
-        status = (
-            F.when(~has, F.coalesce(first_bad, F.lit(NO_DATA)))
-            .when(den == 0, ZERO_DENOMINATOR)
-            .otherwise(AVAILABLE)
-        )
-        shown_num, shown_den = F.when(has, quotient(num, one())), F.when(has, quotient(den, one()))
-        full = den
-        reason = (
-            F.when(~has & first_bad.isNull(), "No data exists for this calendar date")
-            .when(has & (den == 0), "Rolling denominator aggregates to zero")
+        return Result(
+            f"CASE WHEN NOT ({has}) THEN {none} WHEN {den} = 0 THEN '{ZERO_DENOMINATOR}' ELSE '{AVAILABLE}' END",
+            f"CASE WHEN {has} THEN {whole(num)} END", f"CASE WHEN {has} THEN {whole(den)} END",
+            f"CASE WHEN {has} THEN {quotient(num, ONE)} END", f"CASE WHEN {has} THEN {quotient(den, ONE)} END",
+            f"CASE {gap} WHEN {has} AND {den} = 0 THEN 'Rolling denominator aggregates to zero' END",
+            f"{has} AND {den} <> 0",
         )
-    else:
-        status = F.when(has, AVAILABLE).otherwise(F.coalesce(first_bad, F.lit(NO_DATA)))
-        shown_num = shown_den = none
-        full = den * 100  # den counts days; in hundredths
-        reason = F.when(
-            has, F.format_string("Average of %d available daily value(s)", n_ok.cast("bigint"))
-        ).when(first_bad.isNull(), "No data exists for this calendar date")
     return Result(
-        status,
-        F.when(has, num.cast("decimal(38,0)")),
-        F.when(has, full.cast("decimal(38,0)")),
-        shown_num,
-        shown_den,
-        reason,
+        f"CASE WHEN {has} THEN '{AVAILABLE}' ELSE {none} END",
+        f"CASE WHEN {has} THEN {whole(num)} END",
+        f"CASE WHEN {has} THEN {whole(f'{den} * 100')} END",  # den counts days; in hundredths
+        reason=f"CASE WHEN {has} THEN concat('Average of ', {n_ok}, ' available daily value(s)') {gap} END",
+        available=has,
     )
 
 
@@ -290,7 +289,7 @@ def compare(
         daily = rows.groupBy("date", *keys).agg(*sums(fields))
         parts = daily_parts(metric_id, available)
         daily = daily.select(
-            "*", *[c.alias(f"d_{name}") for name, c in parts.items()]
+            "*", *[F.expr(c).alias(f"d_{name}") for name, c in parts.items()]
         )
         agg = daily.groupBy(*keys).agg(
             *[
@@ -303,7 +302,7 @@ def compare(
             F.sum(F.when(before, F.col("d_den"))).alias("b_den"),
             F.min_by("d_bad", F.when(before & F.col("d_bad").isNotNull(), F.col("date"))).alias("b_bad"),
         )
-        base = averaged(metric_id, F.col("b_ok"), F.col("b_num"), F.col("b_den"), F.col("b_bad"))
+        base = averaged(metric_id, "b_ok", "b_num", "b_den", "b_bad")
     else:
         agg = rows.groupBy(*keys).agg(*sums(fields, current, "c_"), *sums(fields, before, "b_"))
         base = result_of(metric_id, available, "b_")
@@ -315,9 +314,9 @@ def compare(
         F.lit(comparison).alias("comparison_type"),
         F.lit(c0).alias("current_start"), F.lit(c1).alias("current_end"),
         F.lit(b0).alias("baseline_start"), F.lit(b1).alias("baseline_end"),
-        cur.value.alias("current_value"), cur.status.alias("current_status"),
-        base.value.alias("baseline_value"), base.status.alias("baseline_status"),
-        *[c.alias(name) for name, c in changes.items()],
+        F.expr(cur.value).alias("current_value"), F.expr(cur.status).alias("current_status"),
+        F.expr(base.value).alias("baseline_value"), F.expr(base.status).alias("baseline_status"),
+        *[F.expr(c).alias(name) for name, c in changes.items()],
     )
 
 
@@ -334,43 +333,30 @@ def funnel(
     wanted = dict.fromkeys((*d["stages"], *[m for s in d["step_rates"] for m in s], *d["outcomes"]))
     grouped = in_scope(df, **scope).groupBy().agg(*sums(defs.atomic_fields(wanted)))
     rows = []
-    none, no_text = F.lit(None).cast("double"), F.lit(None).cast("string")
-
-    def row(section, position, name, start_stage, value, status, num, den, reason):
-        rows.append(
-            F.struct(
-                F.lit(section).alias("section"), F.lit(position).alias("position"),
-                F.lit(name).alias("metric_id"), start_stage.alias("from_stage"),
-                value.alias("value"), status.alias("status"),
-                num.alias("numerator_value"), den.alias("denominator_value"), reason.alias("reason"),
-            )
-        )
-
     for section in ("stages", "outcomes"):
         for i, mid in enumerate(d[section], 1):
             r = result_of(mid, available)
-            row(section, i, mid, no_text, r.value, r.status, r.numerator, r.denominator, r.reason)
+            rows.append(
+                _row(
+                    section=text(section), position=str(i), metric_id=text(mid), from_stage=NULL_TEXT, value=r.value,
+                    status=r.status, numerator_value=r.numerator, denominator_value=r.denominator, reason=r.reason,
+                )
+            )
     for i, (top, bottom) in enumerate(d["step_rates"], 1):
         a, b = result_of(top, available), result_of(bottom, available)
-        ok = (a.status == AVAILABLE) & (b.status == AVAILABLE)
-        status = (
-            F.when(a.status != AVAILABLE, a.status)
-            .when(b.status != AVAILABLE, b.status)
-            .when(b.num == 0, ZERO_DENOMINATOR)
-            .otherwise(AVAILABLE)
-        )
+        failed = f"WHEN NOT {a.ok} THEN {{}} WHEN NOT {b.ok} THEN {{}} WHEN {b.num} = 0 THEN {{}}"
+        status = f"CASE {failed.format(a.status, b.status, text(ZERO_DENOMINATOR))} ELSE '{AVAILABLE}' END"
+        why = (f"Dependency {top} is unavailable", f"Dependency {bottom} is unavailable", f"{bottom} aggregates to zero")
         # value = (an/ad) / (bn/bd)
-        value = F.when(
-            status == AVAILABLE,
-            quotient((a.num * b.den).cast("decimal(38,0)"), (a.den * b.num).cast("decimal(38,0)")),
-        )
-        reason = (
-            F.when(a.status != AVAILABLE, f"Dependency {top} is unavailable")
-            .when(b.status != AVAILABLE, f"Dependency {bottom} is unavailable")
-            .when(b.num == 0, f"{bottom} aggregates to zero")
-        )
-        row(
-            "step_rates", i, top, F.lit(bottom), value, status,
-            F.when(ok, quotient(a.num, a.den)), F.when(ok, quotient(b.num, b.den)), reason,
+        value = quotient(whole(f"({a.num}) * ({b.den})"), whole(f"({a.den}) * ({b.num})"))
+        both = f"{a.ok} AND {b.ok}"
+        rows.append(
+            _row(
+                section="'step_rates'", position=str(i), metric_id=text(top), from_stage=text(bottom),
+                value=f"CASE WHEN {both} AND {b.num} <> 0 THEN {value} END", status=status,
+                numerator_value=f"CASE WHEN {both} THEN {quotient(a.num, a.den)} END",
+                denominator_value=f"CASE WHEN {both} THEN {quotient(b.num, b.den)} END",
+                reason=f"CASE {failed.format(*map(text, why))} END",
+            )
         )
-    return grouped.select(F.inline(F.array(*rows)))
+    return grouped.select(F.expr(f"inline(array({', '.join(rows)}))"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from bizdiag import definitions as defs
 from bizdiag.operators.metrics import (
-    Filters, as_date, averaged, daily_parts, in_scope, result_of, sums,
+    Filters, Result, as_date, averaged, daily_parts, in_scope, result_of, sums, text,
 )
 from bizdiag.schema import NO_DATA, require_dimension
 
@@ -25,12 +25,16 @@ def calendar(spark, start: date | str, end: date | str) -> DataFrame:
     return spark.range(1).select(F.explode(F.sequence(F.lit(first), F.lit(last))).alias("date"))
 
 
-def _named(metric_id: str, value: Column, status: Column, num: Column, den: Column, reason: Column):
+def _named(metric_id: str, r: Result, hidden: str, reason: str) -> list[Column]:
+    """Result columns; a hidden row has no data, for the given reason."""
+    shown = lambda c: F.expr(f"CASE WHEN NOT ({hidden}) THEN {c} END")
     return [
         F.lit(metric_id).alias("metric_id"),
-        value.alias("value"), status.alias("status"),
+        shown(r.value).alias("value"),
+        F.expr(f"CASE WHEN {hidden} THEN '{NO_DATA}' ELSE {r.status} END").alias("status"),
         F.lit(defs.metric(metric_id)["format"]).alias("format"),
-        num.alias("numerator_value"), den.alias("denominator_value"), reason.alias("reason"),
+        shown(r.numerator).alias("numerator_value"), shown(r.denominator).alias("denominator_value"),
+        F.expr(f"CASE WHEN {hidden} THEN {text(reason)} ELSE {r.reason} END").alias("reason"),
     ]
 
 
@@ -62,13 +66,9 @@ def series(
             daily, (F.col("_d") == F.col("date")) & F.col("_m").eqNullSafe(F.col(dimension)), "left"
         ).drop("date", dimension)
         dense = dense.withColumnsRenamed({"_m": dimension, "_d": "date"})
+    gap = f"n_{fields[0]} IS NULL"  # a day with rows has a count, if only 0
     r = result_of(metric_id, available)
-    gap = F.coalesce(F.col(f"n_{fields[0]}"), F.lit(-1)) == -1
-    reason = F.when(gap, "No data exists for this calendar date").otherwise(r.reason)
-    status = F.when(gap, NO_DATA).otherwise(r.status)
-    return dense.select(
-        "date", *keys, *_named(metric_id, r.value, status, r.numerator, r.denominator, reason)
-    )
+    return dense.select("date", *keys, *_named(metric_id, r, gap, "No data exists for this calendar date"))
 
 
 def day_number(c: str = "date") -> Column:
@@ -95,7 +95,7 @@ def rolling_series(
         in_scope(df, first - timedelta(days=DAYS - 1), end, filters).groupBy("date").agg(*sums(fields))
     )
     parts = daily_parts(metric_id, available)
-    daily = daily.select("date", *[c.alias(f"d_{n}") for n, c in parts.items()])
+    daily = daily.select("date", *[F.expr(c).alias(f"d_{n}") for n, c in parts.items()])
     # one row per calendar day: the frame below never holds more than the requested range
     window = Window.partitionBy(F.lit(1)).orderBy(day_number()).rangeBetween(-(DAYS - 1), 0)
     dense = spine.join(daily, "date", "left").select(
@@ -107,21 +107,9 @@ def rolling_series(
     )
     earliest = df.agg(F.min("date")).scalar()
     short = F.coalesce(F.date_sub("date", DAYS - 1) < earliest, F.lit(True))
-    r = averaged(metric_id, F.col("n_ok"), F.col("num"), F.col("den"), F.col("bad"))
-    shown = lambda c: F.when(~F.col("short"), c)
+    r = averaged(metric_id, "n_ok", "num", "den", "bad")
     return (
         dense.where(F.col("date") >= F.lit(first))
         .withColumn("short", short)
-        .select(
-            "date",
-            *_named(
-                metric_id,
-                shown(r.value),
-                F.when(F.col("short"), NO_DATA).otherwise(r.status),
-                shown(r.numerator), shown(r.denominator),
-                F.when(F.col("short"), "Seven calendar days of history are not available").otherwise(
-                    r.reason
-                ),
-            ),
-        )
+        .select("date", *_named(metric_id, r, "short", "Seven calendar days of history are not available"))
     )
