@@ -16,7 +16,8 @@ _KEY = "spark.checkpoint.dir"
 
 def shared_folder(spark: SparkSession) -> str:
     """Folder for intermediate tables."""
-    found = spark.conf.get(_KEY, None) or spark.sparkContext.getConf().get(_KEY)
+    context = spark.sparkContext
+    found = spark.conf.get(_KEY, None) or context.getConf().get(_KEY) or context.getCheckpointDir()
     if not found:
         found = tempfile.mkdtemp(prefix="bizdiag-")
         spark.conf.set(_KEY, found)
