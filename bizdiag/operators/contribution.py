@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bizdiag import definitions as defs
+from bizdiag.functions.lineage import written
 from bizdiag.functions.ordering import with_order_number
 from bizdiag.operators.metrics import Filters, comparison_period, in_scope, result_of, sums
 from bizdiag.schema import AVAILABLE, NO_DATA, require_dimension
@@ -74,6 +75,8 @@ def contribution(
         F.when(F.col("c_rows") > 0, cv).otherwise(zero).alias("current_value"),
         F.when(F.col("b_rows") > 0, bv).otherwise(zero).alias("baseline_value"),
     ).withColumn("delta", (F.col("current_value") - F.col("baseline_value")).cast("decimal(24,2)"))
+    # header, shares and ranking all read the members: the fact is scanned once for them
+    members = written(members)
     overall = rows.groupBy().agg(*aggregates()).select(
         _side(cs, "c_rows").alias("current_state"), _side(bs, "b_rows").alias("baseline_state"),
         F.when(F.col("c_rows") > 0, cv).otherwise(zero).alias("overall_current"),

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bizdiag.functions.cleaning import name_col
+from bizdiag.functions.lineage import written
 from bizdiag.functions.ordering import with_rank
 
 METRICS = ("cash_sales_amount", "gmv", "order_count", "aftersales_order_count", "aftersales_rate")
@@ -109,7 +110,8 @@ def merchant_month(cash: DataFrame, gmv: DataFrame, after: DataFrame) -> DataFra
     Each merchant row is expanded to the (few hundred) months where it lives; the three sources are
     joined on (merchant, month).
     """
-    cash, gmv, after = _keyed(cash, gmv, after)
+    # each export is read for its checks, the crosswalk, the months and the grid: written once
+    cash, gmv, after = (written(df) for df in _keyed(written(cash), written(gmv), after))
     cash = require_unique(cash, ["month", "nname"], "cash")
     gmv = require_unique(gmv, ["month", "raw_id"], "gmv")
     after = require_unique(after, ["month", "raw_id"], "after-sales")
