@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bizdiag.llm import bpe, shards, tokens, urls
+from bizdiag.llm import bpe, passages, shards, tokens, urls
 
 URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 TOKEN_LIMIT = 1024
@@ -34,13 +34,18 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, TOKEN_LIMIT)
 
 
+def op9_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without its repeated passages, as digests."""
+    return passages.digests(_table(spark, sf_dir, "documents"))
+
+
 def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids and decoded bytes of every document, as digests."""
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return bpe.digests(_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op5_url_filter, op6_shards, op8_token_counts, op10_bpe_round_trip)}
+QUERIES = {f.__name__: f for f in (op5_url_filter, op6_shards, op8_token_counts, op9_passages, op10_bpe_round_trip)}
 
 ORACLES = {
     "op5_url_filter": r"""
