@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bizdiag.llm import bpe, near_text, passages, shards, tokens, urls
+from bizdiag.llm import bpe, language, near_text, passages, shards, tokens, urls
 
 URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 TOKEN_LIMIT = 1024
@@ -17,6 +17,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every document."""
+    out = language.identify(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "held_out", "lang_pred", "score", "bits_per_byte")
+
+
 def op2_near_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Component of every document under links of similarity 0.75 or more."""
     return near_text.near_duplicates(_table(spark, sf_dir, "documents"))
@@ -50,7 +56,7 @@ def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op2_near_text, op5_url_filter, op6_shards, op8_token_counts, op9_passages, op10_bpe_round_trip)}
+QUERIES = {f.__name__: f for f in (op1_language, op2_near_text, op5_url_filter, op6_shards, op8_token_counts, op9_passages, op10_bpe_round_trip)}
 
 ORACLES = {
     "op5_url_filter": r"""
