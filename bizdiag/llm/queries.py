@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bizdiag.llm import bpe, language, near_text, passages, shards, tokens, urls
+from bizdiag.llm import bpe, language, mixing, near_text, passages, shards, tokens, urls
 
 URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 TOKEN_LIMIT = 1024
@@ -39,6 +39,12 @@ def op6_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place of every document in the mix of its sources."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "source")
+    return mixing.mix(docs)
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document."""
     path = public_tokenizers.path("byte_bpe_50k.json")
@@ -56,7 +62,7 @@ def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op1_language, op2_near_text, op5_url_filter, op6_shards, op8_token_counts, op9_passages, op10_bpe_round_trip)}
+QUERIES = {f.__name__: f for f in (op1_language, op2_near_text, op5_url_filter, op6_shards, op7_mix_sources, op8_token_counts, op9_passages, op10_bpe_round_trip)}
 
 ORACLES = {
     "op5_url_filter": r"""
