@@ -130,8 +130,8 @@ def _mapped(docs: DataFrame, key: str, text: str, ranks_path: str, pattern: str,
     def run(batches):
         own = codec(ranks_path, pattern)
         for part in chunks(batches):
-            ids = own.encode([t or "" for t in part.column("text").to_pylist()])
-            columns = finish([(len(x) // 4, x, own.decode(x)) for x in ids])
+            texts = [t or "" for t in part.column("text").to_pylist()]
+            columns = finish([(len(x) // 4, x, own.decode(x), t) for x, t in zip(own.encode(texts), texts)])
             yield pa.RecordBatch.from_arrays([part.column(0), *columns[0]], names=["key", *columns[1]])
 
     return (
@@ -145,7 +145,7 @@ def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, key: str = "do
     """``key``, the number of ids, the ids (little-endian 32-bit) and the decoded bytes of every whole text."""
 
     def finish(rows):
-        n, ids, raw = zip(*rows) if rows else ((), (), ())
+        n, ids, raw, _ = zip(*rows) if rows else ((), (), (), ())
         return [pa.array(n, pa.int64()), pa.array(ids, pa.binary()), pa.array(raw, pa.binary())], ["n_tokens", "ids", "decoded"]
 
     return _mapped(docs, key, text, ranks_path, pattern, OUTPUT, finish)
@@ -157,9 +157,20 @@ def digests(docs: DataFrame, ranks_path: str, pattern: str, key: str = "doc_id",
     def finish(rows):
         sha = lambda b: hashlib.sha256(b).hexdigest()
         return [
-            pa.array([n for n, _, _ in rows], pa.int64()),
-            pa.array([sha(i) for _, i, _ in rows], pa.string()),
-            pa.array([sha(b) for _, _, b in rows], pa.string()),
+            pa.array([n for n, *_ in rows], pa.int64()),
+            pa.array([sha(i) for _, i, _, _ in rows], pa.string()),
+            pa.array([sha(b) for _, _, b, _ in rows], pa.string()),
         ], ["n_tokens", "ids_sha256", "decoded_sha256"]
 
     return _mapped(docs, key, text, ranks_path, pattern, DIGESTS, finish)
+
+
+def encoded(docs: DataFrame, ranks_path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """As ``encode_decode``, with ``exact`` (the ids decode to the text's bytes) in place of the bytes."""
+
+    def finish(rows):
+        n, ids, raw, texts = zip(*rows) if rows else ((), (), (), ())
+        exact = [b == t.encode() for b, t in zip(raw, texts)]
+        return [pa.array(n, pa.int64()), pa.array(ids, pa.binary()), pa.array(exact, pa.bool_())], ["n_tokens", "ids", "exact"]
+
+    return _mapped(docs, key, text, ranks_path, pattern, "n_tokens long, ids binary, exact boolean", finish)
