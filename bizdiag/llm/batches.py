@@ -37,3 +37,25 @@ def sampled(df: DataFrame, key: str | list[str], rows: int) -> DataFrame:
 def splits(df: DataFrame, least: int = 1) -> int:
     """Number of shuffle partitions that the session is set to."""
     return max(least, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def groups(batches, keys: list[str]) -> Iterator[pa.Table]:
+    """Tables of rows with equal ``keys``, from batches sorted by them; one group is held at a time."""
+    held: list[pa.RecordBatch] = []
+    at = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(k).to_numpy() for k in keys]
+        new = np.ones(batch.num_rows + 1, bool)
+        new[1:-1] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+        edges = np.flatnonzero(new)
+        for a, b in zip(edges[:-1], edges[1:]):
+            name = tuple(c[a] for c in columns)
+            if name != at:
+                if held:
+                    yield pa.Table.from_batches(held).combine_chunks()
+                at, held = name, []
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()

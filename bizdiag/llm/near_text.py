@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from bizdiag.functions.lineage import written
 from bizdiag.llm import words as W
-from bizdiag.llm.batches import chunks
+from bizdiag.llm.batches import chunks, groups
 from bizdiag.llm.components import components
 
 WORDS = 5
@@ -178,22 +178,8 @@ def _across(rows: DataFrame, percent: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(y), ids[x])), pa.array(ids[y])], names=["a", "b"])
 
     def run(batches):
-        held: list[pa.RecordBatch] = []
-        at = None
-        for p in batches:
-            if not p.num_rows:
-                continue
-            k = [p.column(c).to_numpy() for c in ("key", "i", "j")]
-            edges = np.flatnonzero(np.r_[True, (k[0][1:] != k[0][:-1]) | (k[1][1:] != k[1][:-1]) | (k[2][1:] != k[2][:-1]), True])
-            for a, b in zip(edges[:-1], edges[1:]):
-                name = tuple(c[a] for c in k)
-                if name != at:
-                    if held:
-                        yield from compare(pa.Table.from_batches(held).combine_chunks())
-                    at, held = name, []
-                held.append(p.slice(a, b - a))
-        if held:
-            yield from compare(pa.Table.from_batches(held).combine_chunks())
+        for block in groups(batches, ["key", "i", "j"]):
+            yield from compare(block)
 
     return ready.mapInArrow(run, "a long, b long").distinct()
 

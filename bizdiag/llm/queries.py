@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bizdiag.llm import bpe, language, mixing, near_text, passages, shards, tokens, urls
+from bizdiag.llm import bpe, language, mixing, near_text, near_vectors, passages, shards, tokens, topk, urls
 
 URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 TOKEN_LIMIT = 1024
@@ -28,6 +28,16 @@ def op2_near_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_text.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op3_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best rows of every query vector."""
+    return topk.top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+def op4_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and component of every vector under cosine 0.95."""
+    return near_vectors.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdict of every page."""
     return urls.judge(_table(spark, sf_dir, "pages"), URL_RULES)
@@ -62,9 +72,19 @@ def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op1_language, op2_near_text, op5_url_filter, op6_shards, op7_mix_sources, op8_token_counts, op9_passages, op10_bpe_round_trip)}
+QUERIES = {f.__name__: f for f in (op1_language, op2_near_text, op3_top_k, op4_near_vectors, op5_url_filter, op6_shards, op7_mix_sources, op8_token_counts, op9_passages, op10_bpe_round_trip)}
 
 ORACLES = {
+    "op3_top_k": """
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, x -> floor(256 * x::DOUBLE)) AS q FROM embeddings
+            WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+        scored AS (
+            SELECT a.vec_id AS query_id, b.vec_id, CAST(list_dot_product(a.q, b.q) AS BIGINT) AS score
+            FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id AND len(a.q) = len(b.q)),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored)
+        SELECT query_id, CAST(rank AS INT) AS rank, vec_id, score FROM ranked WHERE rank <= 5
+    """,
     "op5_url_filter": r"""
         WITH parsed AS (
             SELECT page_id,
