@@ -134,9 +134,9 @@ def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
         at, held = None, None
         for p in chunks(batches, "text_b"):
             ok = []
-            for a, text_a, text_b in zip(*(p.column(c).to_pylist() for c in ("a", "text_a", "text_b"))):
-                if a != at:
-                    at, held = a, shingles(text_a)
+            for text_a, text_b in zip(*(p.column(c).to_pylist() for c in ("text_a", "text_b"))):
+                if text_a != at:  # pairs come sorted by a
+                    at, held = text_a, shingles(text_a)
                 other = shingles(text_b)
                 both = len(np.intersect1d(held, other, assume_unique=True))
                 ok.append(100 * both >= percent * (len(held) + len(other) - both))

@@ -88,14 +88,15 @@ class Ends:
 
 
 def _intervals(ends: DataFrame, ranges: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
-    """Least and greatest end and number of ends of each cell; about ``GRID`` cells in all."""
+    """Least and greatest end and number of ends of each cell; about ``GRID`` cells in all. Ranges are in order."""
     grid = max(16, GRID // len(ranges))
-    cell, inside = F.lit(None).cast("long"), F.lit(False)
-    for k, (low, high) in enumerate(ranges):
-        hit = (F.col("end") > low) & (F.col("end") <= high)
-        cell = F.when(hit, k * (grid + 1) + F.floor((F.col("end") - low - 1) / max(1, -(-(high - low) // grid)))).otherwise(cell)
-        inside = inside | hit
-    return [tuple(r)[1:] for r in ends.filter(inside).groupBy(cell.alias("cell")).agg(F.min("end"), F.max("end"), F.count("*")).collect()]
+    lows, highs = (F.array(*[F.lit(r[i]).cast("long") for r in ranges]) for i in (0, 1))
+    k = F.size(F.filter(lows, lambda low: low < F.col("end")))  # the number of the range, from 1
+    found = ends.select("end", k.alias("k")).filter("k > 0").select("end", "k", F.element_at(lows, F.col("k")).alias("low"), F.element_at(highs, F.col("k")).alias("high"))
+    width = F.greatest(F.lit(1), F.ceil((F.col("high") - F.col("low")) / grid))
+    cell = F.floor((F.col("end") - F.col("low") - 1) / width).alias("cell")
+    cells = found.filter("end <= high").groupBy("k", cell).agg(F.min("end"), F.max("end"), F.count("*"))
+    return [tuple(r)[2:] for r in cells.collect()]
 
 
 def minimax_cuts(ends: DataFrame, shards: int, total: int) -> tuple[int, list[int]]:
