@@ -5,21 +5,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# White space of all of Unicode, and the four separators of ASCII.
+BLANK = r"[\s\p{Z}\x{1c}-\x{1f}\x{85}]"
 # Layouts of dates which do not start with the year.
-DATE_FORMATS = ("M/d/yyyy", "MMM d, yyyy", "d MMM yyyy")
+DATE_FORMATS = ("M/d/yyyy", "MMM d, yyyy", "MMMM d, yyyy", "d MMM yyyy", "d MMMM yyyy", "MMM d yyyy", "MMMM d yyyy")
+TIME_OF_DAY = r"[T ]\d{1,2}:\d{2}(:\d{2}(\.\d+)?)?( ?[AaPp][Mm])?( ?(Z|[+-]\d{2}:?\d{2}))?$"
 YEAR_FIRST = r"^(\d{4})[-/.年](\d{1,2})[-/.月](\d{1,2})日?"
 COMPACT_DATE = r"^(\d{4})(\d{2})(\d{2})$"
 # Serial day numbers of spreadsheets and their first day.
 SERIAL_MIN, SERIAL_MAX, SERIAL_ORIGIN = 1, 132320, "1899-12-30"
 # Signs dropped from numbers.
-NUMBER_NOISE = r"[,\s¥￥]"
+NUMBER_NOISE = r"[,¥￥\s\p{Z}\x{1c}-\x{1f}\x{85}]"
 # Company-form suffixes dropped from names.
 COMPANY_SUFFIX = r"(有限责任公司|有限公司|股份有限公司|责任公司)$"
 
 
 def trimmed(c: Column) -> Column:
     """Text without white space at both ends."""
-    return F.regexp_replace(c.cast("string"), r"^\s+|\s+$", "")
+    return F.regexp_replace(c.cast("string"), rf"^{BLANK}+|{BLANK}+$", "")
 
 
 def dimension_col(c: Column) -> Column:
@@ -38,7 +41,8 @@ def date_of(text: Column) -> tuple[Column, Column]:
     serial = F.date_add(F.lit(SERIAL_ORIGIN).cast("date"), F.floor(number).cast("int"))
     iso = F.regexp_replace(F.regexp_replace(text, COMPACT_DATE, "$1-$2-$3"), YEAR_FIRST, "$1-$2-$3")
     year_first = F.when(iso.rlike(r"^\d{4}-\d"), iso).try_cast("timestamp")
-    parsed = F.coalesce(year_first, *[F.try_to_timestamp(text, F.lit(f)) for f in DATE_FORMATS]).cast("date")
+    day = F.initcap(F.regexp_replace(F.regexp_replace(text, TIME_OF_DAY, ""), r"(\d)-([A-Za-z]+)-(\d)", "$1 $2 $3"))
+    parsed = F.coalesce(year_first, *[F.try_to_timestamp(day, F.lit(f)) for f in DATE_FORMATS]).cast("date")
     is_serial = F.coalesce(number.between(SERIAL_MIN, SERIAL_MAX), F.lit(False))
     value = F.when(is_serial, serial).otherwise(parsed)
     return value, text.isNotNull() & value.isNull()
@@ -66,12 +70,13 @@ def number_of(text: Column, number: Column, kind: str) -> tuple[Column, Column,
     if kind == "money":
         exact = plain.try_cast("decimal(38,10)").try_cast("decimal(18,2)")
         value = F.when(number.isNotNull(), F.coalesce(exact, number.try_cast("decimal(18,2)")))
-        return value, invalid, F.lit(False)
+        return value, invalid | (text.isNotNull() & value.isNull()), F.lit(False)
     split = F.coalesce(F.abs(number % 1) > 1e-9, F.lit(False))
     value = F.when(
         number.isNotNull() & ~split, F.coalesce(plain.try_cast("bigint"), F.round(number).try_cast("bigint"))
     )
-    return value, invalid, split
+    # a whole number beyond the type is lost, and so invalid
+    return value, invalid | (text.isNotNull() & ~split & value.isNull()), split
 
 
 def number_col(c: Column, kind: str) -> tuple[Column, Column, Column]:
@@ -87,7 +92,7 @@ def identifier_col(c: Column) -> Column:
 
 def compact_col(c: Column) -> Column:
     """Text without any white space; NULL becomes the empty text."""
-    return F.coalesce(F.regexp_replace(c.cast("string"), r"\s+", ""), F.lit(""))
+    return F.coalesce(F.regexp_replace(c.cast("string"), f"{BLANK}+", ""), F.lit(""))
 
 
 def name_col(c: Column) -> Column:
@@ -95,10 +100,13 @@ def name_col(c: Column) -> Column:
     return F.regexp_replace(F.lower(compact_col(c)), COMPANY_SUFFIX, "")
 
 
-def month_col(c: Column) -> Column:
-    """First year and month found in a text, as ``yyyy-MM``; NULL when none is found."""
+def month_col(c: Column, year: str = r"[12]\d{3}") -> Column:
+    """First year and month found in a text, as ``yyyy-MM``; NULL when none is found.
+
+    ``year``: pattern of the years accepted.
+    """
     text = F.regexp_replace(compact_col(c), r"\.0$", "")
-    pattern = r"(20\d{2})[-/]?(\d{2})"
+    pattern = rf"({year})[-/]?(\d{{2}})"
     found = F.concat(
         F.regexp_extract(text, pattern, 1), F.lit("-"), F.regexp_extract(text, pattern, 2)
     )

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from bizdiag.functions.cleaning import date_col, identifier_col, trimmed
 from bizdiag.functions.text import fixed, percent
 from bizdiag.operators.facts import LIMITED, driver
-from bizdiag.operators.orders import with_order_totals, zero
+from bizdiag.operators.orders import lenient_number, with_order_totals, zero
 
 # Columns each module needs.
 CAPABILITIES = {
@@ -70,7 +70,7 @@ def merchant_check(order: DataFrame, column: str, expected: str) -> DataFrame:
 
 def stage_case_orders(order: DataFrame, merchant: str = "配送商") -> DataFrame:
     """Case order export as typed lines; unreadable amounts are 0, orders count when their sum is > 0."""
-    number = lambda c: trimmed(F.col(c)).try_cast("decimal(38,10)").try_cast("decimal(18,2)")
+    number = lambda c: lenient_number(F.col(c))
     staged = order.select(
         F.col(merchant).alias("merchant_key"),
         date_col(F.col("下单时间"))[0].alias("order_date"),
@@ -159,9 +159,9 @@ def unpivot_traffic(traffic: DataFrame, metrics: Mapping[str, Sequence[str]] = T
 
 
 def traffic_benchmark(
-    rows: DataFrame, previous: tuple[date, date], current: tuple[date, date]
+    rows: DataFrame, previous: tuple[date, date], current: tuple[date, date], keys: Sequence[str] = ("metric",)
 ) -> DataFrame:
-    """Own and peer sums of two periods, their changes and the gap, per metric."""
+    """Own and peer sums of two periods, their changes and the gap, per metric (or per ``keys``)."""
     side = lambda p: F.col("day").between(F.lit(p[0]), F.lit(p[1]))
     zero_ = F.lit(0)
     aggs = [
@@ -169,7 +169,7 @@ def traffic_benchmark(
         for tag, p in (("previous", previous), ("current", current))
         for c in ("own", "peer")
     ]
-    df = rows.groupBy("metric").agg(*aggs)
+    df = rows.groupBy(*keys).agg(*aggs)
     rate = lambda c: F.col(f"current_{c}") / F.nullif(F.col(f"previous_{c}"), F.lit(0.0)) - 1
     df = df.withColumns({"own_change_rate": rate("own"), "peer_change_rate": rate("peer")})
     return df.withColumn("relative_gap", F.col("own_change_rate") - F.col("peer_change_rate"))
@@ -237,45 +237,66 @@ def case_quality(lines: DataFrame, products: DataFrame) -> DataFrame:
     )
 
 
+# Sentence parts and codes of case facts.
+FALLS, RISES, EQUAL, UNKNOWN = "下降 ", "上升 ", "持平", "变化率不可用"
+BOTH_FALL, BOTH_RISE, APART = "；订单量和客单价均为负向变化。", "；订单量和客单价均为正向变化。", "；订单量和客单价变化方向不一致。"
+
+
+def moved(rate: Column) -> Column:
+    """Direction and size of a rate."""
+    size = percent(F.abs(rate))
+    return (
+        F.when(rate.isNull(), F.lit(UNKNOWN)).when(rate < 0, F.concat(F.lit(FALLS), size))
+        .when(rate > 0, F.concat(F.lit(RISES), size)).otherwise(F.lit(EQUAL))
+    )
+
+
 def case_facts(
     monthly: DataFrame, products: DataFrame, activities: DataFrame, traffic: DataFrame,
     visitor_metric: str = "访客", top_n: int = 5,
 ) -> DataFrame:
-    """Result, traffic, activity and product facts per merchant, then limitation and guardrail."""
+    """Result, traffic, activity and product facts per merchant, then limitation and guardrail.
+
+    ``traffic``: benchmark rows with a ``merchant_key``. The result states each direction by its sign and
+    carries the driver as its code; the traffic signal is stated only for a merchant that did worse than
+    its peers, losses only where something was lost.
+    """
     c = F.col
     base = monthly.select("merchant_key", "previous_month", "current_month")
     change = c("purchase_amount_change")
     n0, n1, p0, p1 = (c(x) for x in ("previous_order_count", "current_order_count", "previous_aov", "current_aov"))
     order_effect, aov_effect = (n1 - n0) * (p0 + p1) / 2, (p1 - p0) * (n0 + n1) / 2
+    orders, value = c("order_count_change_rate"), c("aov_change_rate")
+    driven = driver(change, order_effect, aov_effect)
     result = _case_fact(
-        monthly, 1, "FACT", "RESULT", "RESULT_MIXED",
+        monthly, 1, "FACT", "RESULT", F.concat(F.lit("RESULT_"), driven),
         F.concat(
-            F.date_format("current_month", "yyyy-MM"), F.lit(" 进货金额较 "), F.date_format("previous_month", "yyyy-MM"),
-            F.lit(" 下降 "), percent(F.abs("purchase_amount_change_rate")), F.lit("，订单数下降 "),
-            percent(F.abs("order_count_change_rate")), F.lit("，客单价下降 "), percent(F.abs("aov_change_rate")),
-            F.lit("；订单量和客单价均为负向变化。"),
+            F.date_format("current_month", "yyyy-MM"), F.lit(" 进货金额较 "), F.date_format("previous_month", "yyyy-MM"), F.lit(" "),
+            moved(c("purchase_amount_change_rate")), F.lit("，订单数"), moved(orders), F.lit("，客单价"), moved(value),
+            F.when((orders < 0) & (value < 0), F.lit(BOTH_FALL)).when((orders > 0) & (value > 0), F.lit(BOTH_RISE)).otherwise(F.lit(APART)),
         ),
         LIMITED, change, c("purchase_amount_change_rate"), "ORDER_STATUS_SEMANTICS_UNCONFIRMED",
         F.to_json(F.struct(
             change.alias("purchase_amount_change"), order_effect.alias("order_effect"), aov_effect.alias("aov_effect"),
-            (order_effect + aov_effect - change).alias("decomposition_error"),
-            driver(change, order_effect, aov_effect).alias("driver_classification"),
+            (order_effect + aov_effect - change).alias("decomposition_error"), driven.alias("driver_classification"),
         )),
     )
-    visitor = traffic.where(c("metric") == visitor_metric).select(F.struct("*")).scalar()
+    shown = [x for x in traffic.columns if x != "merchant_key"]
+    visitors = traffic.where((c("metric") == visitor_metric) & (c("relative_gap") < 0))
+    visitors = visitors.select("merchant_key", F.struct(*shown).alias("v"))
     signal = _case_fact(
-        base.withColumn("v", visitor), 2, "SIGNAL", "TRAFFIC", "TRAFFIC_WEAKER_THAN_PEERS",
+        base.join(visitors, "merchant_key"), 2, "SIGNAL", "TRAFFIC", F.lit("TRAFFIC_WEAKER_THAN_PEERS"),
         F.concat(
-            F.lit("本店访客下降 "), percent(F.abs("v.own_change_rate")), F.lit("，同期同行下降 "),
-            percent(F.abs("v.peer_change_rate")), F.lit("；本店流量表现明显弱于同行。"),
+            F.lit("本店访客"), moved(c("v.own_change_rate")), F.lit("，同期同行"), moved(c("v.peer_change_rate")),
+            F.lit("；本店流量表现弱于同行。"),
         ),
         "HIGH", F.lit(None), c("v.relative_gap"), "PEER_DEFINITION_UNCONFIRMED", F.to_json("v"),
     )
-    first = activities.groupBy("merchant_key").agg(
+    first = activities.where(c("amount_change") < 0).groupBy("merchant_key").agg(
         F.min_by(F.struct(*[x for x in activities.columns if x != "merchant_key"]), F.struct("amount_change", "activity_type")).alias("a")
     )
     activity = _case_fact(
-        base.join(first, "merchant_key"), 3, "FACT", "ACTIVITY", "ACTIVITY_TOP_LOSS",
+        base.join(first, "merchant_key"), 3, "FACT", "ACTIVITY", F.lit("ACTIVITY_TOP_LOSS"),
         F.concat(
             F.lit("活动端口损失主要集中在"), c("a.activity_type"), F.lit("，金额减少 "),
             fixed(F.abs("a.amount_change").cast("double") / 10000), F.lit(" 万，占活动端口全部负向变化 "),
@@ -293,7 +314,7 @@ def case_facts(
     lost = losses.groupBy("merchant_key").agg(F.sum("amount_change").alias("_all"))
     share = c("_top").cast("double") / c("_all").cast("double")
     product = _case_fact(
-        base.join(top, "merchant_key").join(lost, "merchant_key"), 4, "FACT", "PRODUCT", "PRODUCT_TOP_LOSS",
+        base.join(top, "merchant_key").join(lost, "merchant_key"), 4, "FACT", "PRODUCT", F.lit("PRODUCT_TOP_LOSS"),
         F.concat(
             F.lit("最大单品负向变化为"), c("p.product_name"), F.lit("，进货金额减少 "),
             fixed(F.abs("p.amount_change").cast("double") / 10000), F.lit(" 万；Top 5 损失商品占全部商品负向变化 "),
@@ -303,24 +324,24 @@ def case_facts(
     )
     empty = F.lit("{}")
     limit = _case_fact(
-        base, 5, "LIMITATION", "CUSTOMER", "CUSTOMER_CAPABILITY_UNAVAILABLE",
+        base, 5, "LIMITATION", "CUSTOMER", F.lit("CUSTOMER_CAPABILITY_UNAVAILABLE"),
         F.lit("当前数据来自中台账号，订单导出不包含药店标识；药店贡献诊断需要商家账号权限。"),
         LIMITED, F.lit(None), F.lit(None), "CUSTOMER_KEY_UNAVAILABLE", empty,
     )
     guard = _case_fact(
-        base, None, "DO_NOT_INFER", "GUARDRAIL", "NO_CAUSAL_INFERENCE",
+        base, None, "DO_NOT_INFER", "GUARDRAIL", F.lit("NO_CAUSAL_INFERENCE"),
         F.lit("现有数据不能证明流量下降导致进货金额下降，也不能证明活动、价格、缺货或退款导致金额变化。"),
         LIMITED, F.lit(None), F.lit(None), "", empty,
     )
     return reduce(DataFrame.unionByName, [result, signal, activity, product, limit, guard])
 
 
-def _case_fact(df: DataFrame, rank: int | None, kind: str, dimension: str, code: str, text: Column,
+def _case_fact(df: DataFrame, rank: int | None, kind: str, dimension: str, code: Column, text: Column,
                level: str, amount: Column, ratio: Column, flags: str, supporting: Column) -> DataFrame:
     return df.select(
         "merchant_key", "current_month", "previous_month", F.lit(rank).cast("int").alias("fact_rank"),
         F.lit(rank is not None).alias("is_core_fact"), F.lit(kind).alias("output_type"),
-        F.lit(dimension).alias("diagnosis_dimension"), F.lit(code).alias("fact_code"), text.alias("fact_text"),
+        F.lit(dimension).alias("diagnosis_dimension"), code.alias("fact_code"), text.alias("fact_text"),
         F.lit(level).alias("evidence_level"), amount.cast("double").alias("impact_amount"),
         ratio.cast("double").alias("impact_ratio"), F.lit(flags).alias("quality_flags"),
         supporting.alias("supporting_data"),

@@ -59,6 +59,8 @@ FLAG_ORDER = (
     *[f"unrecognized_{c}" for c in STATUSES],
 )
 ZERO = "decimal(18,2)"
+#: Quantities, prices and amounts before any check: money is rounded only in results.
+UNROUNDED = "decimal(24,6)"
 
 
 def zero() -> Column:
@@ -66,6 +68,11 @@ def zero() -> Column:
     return F.lit(0).cast(ZERO)
 
 
+def lenient_number(c: Column) -> Column:
+    """Number as it is written, to six decimals; NULL when unreadable."""
+    return trimmed(c).try_cast("decimal(38,10)").try_cast(UNROUNDED)
+
+
 def type_order_items(df: DataFrame, columns: Mapping[str, str] = SOURCE_COLUMNS) -> DataFrame:
     """Order export as typed lines; other columns (merchant, source row) are kept as they are."""
     missing = [c for c in columns if c not in df.columns]
@@ -79,7 +86,7 @@ def type_order_items(df: DataFrame, columns: Mapping[str, str] = SOURCE_COLUMNS)
         elif name in IDENTIFIERS:
             value = identifier_col(c)
         elif name in AMOUNTS:
-            value = trimmed(c).try_cast("decimal(38,10)").try_cast("decimal(18,2)")
+            value = lenient_number(c)
         elif name in STATUS_COLUMNS:
             value = dimension_col(c)
         else:

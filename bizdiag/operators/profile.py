@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 # Header words of date columns, and the dates found in texts.
 DATE_WORDS = ("日期", "时间", "月份", "date", "month", "day", "dt")
-DATE_PATTERN = r"(20\d{2})[年./_-]?(\d{1,2})[月./_-]?(\d{1,2})?"
+DATE_PATTERN = r"([12]\d{3})[年./_-]?(\d{1,2})[月./_-]?(\d{1,2})?"
 PHONE, ID_NUMBER, SAMPLE_LENGTH = r"1\d{10}", r"\d{17}[0-9Xx]", 40
 
 

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from bizdiag.functions.cleaning import name_col
+from bizdiag.functions.cleaning import name_col, provided
 from bizdiag.functions.lineage import written
 from bizdiag.functions.ordering import with_rank
 
@@ -16,7 +17,7 @@ METRICS = ("cash_sales_amount", "gmv", "order_count", "aftersales_order_count",
 
 def unpivot_months(df: DataFrame, ids: list[str], value: str = "gmv") -> DataFrame:
     """Columns ``aYYYYMM`` as rows of (ids, month ``yyyy-MM``, value); NULL cells are dropped."""
-    months = [c for c in df.columns if len(c) == 7 and c[0] == "a" and c[1:].isdigit() and c[1:3] == "20"]
+    months = [c for c in df.columns if re.fullmatch(r"a\d{4}(0[1-9]|1[0-2])", c)]
     if not months:
         raise ValueError("no month columns")
     long = df.select(*ids, *months).unpivot(ids, months, "header", value)
@@ -42,8 +43,25 @@ def require_unique(df: DataFrame, keys: list[str], name: str) -> DataFrame:
     return df.where(F.when(ok, F.lit(True)).otherwise(F.raise_error(F.lit(f"duplicate key in {name}: {keys}"))))
 
 
+def has_key(source: str) -> Column:
+    """Whether a row of a source can be placed: a month, and an id (``cash``: a name)."""
+    filled = lambda c: provided(F.col(c))
+    key = F.coalesce(name_col(F.col("name")) != "", F.lit(False)) if source == "cash" else filled("raw_id")
+    return key & filled("month")
+
+
+def keyless_rows(cash: DataFrame, gmv: DataFrame, after: DataFrame) -> DataFrame:
+    """Rows of each source that the staging skips, as (source, row_count, skipped)."""
+    parts = [
+        df.agg(F.count("*").alias("row_count"), F.count_if(~has_key(s)).alias("skipped")).select(F.lit(s).alias("source"), "row_count", "skipped")
+        for s, df in (("cash", cash), ("gmv", gmv), ("after", after))
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def _keyed(cash: DataFrame, gmv: DataFrame, after: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The sources with merchant keys: ``ID:x`` where an id is known, else ``NAME:n``."""
+    """The sources with merchant keys: ``ID:x`` where an id is known, else ``NAME:n``; rows without a key or month are left out."""
+    cash, gmv, after = cash.where(has_key("cash")), gmv.where(has_key("gmv")), after.where(has_key("after"))
     ids = (
         gmv.select(name_col(F.col("name")).alias("nname"), "raw_id")
         .groupBy("nname")

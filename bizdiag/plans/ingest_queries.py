@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from bizdiag.functions import cleaning
-from bizdiag.functions.lineage import shared_folder
+from bizdiag.functions.lineage import new_folder
 from bizdiag.operators import mapping, orders, profile, quality
 from bizdiag.plans.edge import edge
 from bizdiag.plans.oracle import CTES, sql
@@ -30,7 +28,7 @@ def query(name: str, oracle: str | None = None):
 
 def folder(spark) -> str:
     """A new folder for tables a query writes."""
-    return f"{shared_folder(spark).rstrip('/')}/tables-{uuid.uuid4().hex}"
+    return new_folder(spark, "tables")
 
 
 # ------------------------------------------------------------------ a raw export derived from the orders
@@ -43,14 +41,15 @@ def raw_export(spark, sf):
     serial = F.datediff(day, F.lit("1899-12-30").cast("date")).cast("string")
     return o.select(
         k.cast("string").alias("row_id"),
-        F.when(k % 97 == 5, "无效日期").when(k % 5 == 1, F.date_format(day, "yyyy/MM/dd")).when(k % 5 == 2, serial)
+        F.when(k % 97 == 5, "无效日期").when(k % 11 == 1, F.date_format(day, "M/d/yyyy HH:mm")).when(k % 11 == 2, F.date_format(day, "MMMM d, yyyy"))
+        .when(k % 11 == 3, F.date_format(day, "d-MMM-yyyy")).when(k % 5 == 1, F.date_format(day, "yyyy/MM/dd")).when(k % 5 == 2, serial)
         .when(k % 5 == 3, F.concat(F.lit(" "), F.date_format(day, "yyyyMMdd"))).when(k % 5 == 4, F.concat(F.date_format(day, "yyyy-MM-dd"), F.lit(" 10:30:00")))
         .otherwise(F.date_format(day, "yyyy-MM-dd")).alias("日期"),
-        F.when(F.col("o_orderpriority") == "4-NOT SPECIFIED", "  ").otherwise(F.concat(F.lit(" "), F.col("o_orderpriority"), F.lit("  "))).alias("渠道"),
+        F.when(F.col("o_orderpriority") == "4-NOT SPECIFIED", "  ").otherwise(F.concat(F.lit(" "), F.col("o_orderpriority"), F.lit(" \u00a0\u3000"))).alias("渠道"),
         F.when(k % 89 == 3, "1.5").when(k % 83 == 2, "n/a").when(k % 7 == 0, F.concat((F.col("o_custkey") + 1000).cast("string"), F.lit(".0")))
         .when(k % 79 == 1, "-3").otherwise(F.col("o_custkey").cast("string")).alias("线索数"),
         (F.col("o_custkey") + F.when(k % 73 == 4, 5).otherwise(-1)).cast("string").alias("有效"),
-        F.when(k % 71 == 6, "inf").when(k % 3 == 0, F.concat(F.lit("¥"), cents)).when(k % 67 == 8, "").otherwise(cents).alias("金额"),
+        F.when(k % 71 == 6, "inf").when(k % 61 == 9, "1e30").when(k % 3 == 0, F.concat(F.lit("¥"), cents)).when(k % 67 == 8, "").otherwise(cents).alias("金额"),
         F.col("o_orderstatus").alias("未用"),
     )
 
@@ -60,7 +59,7 @@ FIELDS = {"date": "日期", "channel": "渠道", "leads": "线索数", "valid_le
 CTES["raw_cells"] = """
 SELECT o_orderkey AS k, CAST(o_orderdate AS DATE) AS day, o_orderpriority, o_custkey, o_orderstatus, CAST(o_totalprice AS DECIMAL(18,2)) AS price,
   CASE WHEN o_orderkey % 89 = 3 THEN 'split' WHEN o_orderkey % 83 = 2 THEN 'bad' ELSE 'ok' END AS leads_state,
-  CASE WHEN o_orderkey % 71 = 6 THEN 'bad' WHEN o_orderkey % 3 = 0 THEN 'ok' WHEN o_orderkey % 67 = 8 THEN 'blank' ELSE 'ok' END AS price_state FROM orders
+  CASE WHEN o_orderkey % 71 = 6 OR o_orderkey % 61 = 9 THEN 'bad' WHEN o_orderkey % 3 = 0 THEN 'ok' WHEN o_orderkey % 67 = 8 THEN 'blank' ELSE 'ok' END AS price_state FROM orders
 """
 CTES["raw_clean"] = """
 SELECT k, CASE WHEN k % 97 <> 5 THEN day END AS date, NULLIF(o_orderpriority, '4-NOT SPECIFIED') AS channel,
@@ -75,11 +74,12 @@ def standardised(spark, sf):
 
 
 # ------------------------------------------------------------------ sources and sinks
-@query("source_csv_scan", "SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, o_orderpriority, CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS DOUBLE) AS o_totalprice FROM orders")
+@query("source_csv_scan", "SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, NULLIF(o_orderpriority, '4-NOT SPECIFIED') AS o_orderpriority, CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS DOUBLE) AS o_totalprice FROM orders")
 def _(spark, sf):
     path = folder(spark)
     o = table(spark, sf, "orders")
-    o.select("o_orderkey", "o_orderpriority", F.col("o_totalprice").cast("decimal(18,2)")).write.option("header", True).csv(path)
+    priority = F.when(F.col("o_orderpriority") == "4-NOT SPECIFIED", "N/A").otherwise(F.col("o_orderpriority"))
+    o.select("o_orderkey", priority.alias("o_orderpriority"), F.col("o_totalprice").cast("decimal(18,2)")).write.option("header", True).csv(path)
     df = files.scan_csv(spark, path)
     return df.select("o_orderkey", "o_orderpriority", F.col("o_totalprice").cast("double").alias("o_totalprice"))
 
@@ -88,8 +88,29 @@ def _(spark, sf):
 def _(spark, sf):
     path = folder(spark)
     state = F.when(F.col("o_orderstatus") == "F", "交易完成").when(F.col("o_orderstatus") == "O", "待收货").otherwise("其他,状态")
-    table(spark, sf, "orders").select(F.col("o_orderkey").alias("k"), state.alias("state")).write.option("header", True).csv(path)
-    return files.scan_csv_any_encoding(spark, path).select("k", "state")
+    rows = table(spark, sf, "orders").select(F.col("o_orderkey").alias("k"), state.alias("state"))
+    rows.where("k % 2 = 0").write.option("header", True).csv(f"{path}/utf8")
+    # Spark writes no GB18030: its bytes go out one by one, as ISO-8859-1 characters
+    bytewise = F.pandas_udf(lambda s: s.map(lambda t: t.encode("gb18030").decode("latin-1")), "string")
+    odd = rows.where("k % 2 = 1").select("k", bytewise("state").alias("state"))
+    odd.write.option("header", True).option("encoding", "ISO-8859-1").csv(f"{path}/gb18030")
+    return files.scan_csv_any_encoding(spark, f"{path}/*").select("k", "state")
+
+
+@query("source_csv_line_breaks", "SELECT CAST(p_partkey AS VARCHAR) AS k, p_name || CHR(10) || 'made by \"' || p_brand || '\"' AS note FROM part")
+def _(spark, sf):
+    path = folder(spark)
+    note = F.concat("p_name", F.lit('\nmade by "'), "p_brand", F.lit('"'))
+    table(spark, sf, "part").select(F.col("p_partkey").alias("k"), note.alias("note")).write.option("header", True).option("escape", '"').csv(path)
+    return files.scan_csv(spark, path, multiline=True)
+
+
+@query("source_preview", "SELECT 7 AS row_count, TRUE AS known FROM (SELECT 1) AS t")
+def _(spark, sf):
+    lines = table(spark, sf, "lineitem")
+    first = files.preview(lines, 7)
+    found = first.join(lines.distinct(), list(first.columns), "left_semi")
+    return found.agg(F.count("*").cast("int").alias("row_count"), F.lit(True).alias("known"))
 
 
 @query("source_summary", "SELECT COUNT(*) AS row_count, CAST(6 AS BIGINT) AS column_count, 'o_orderkey,o_custkey,o_orderstatus,o_totalprice,o_orderdate,o_orderpriority' AS columns FROM orders")
@@ -148,7 +169,7 @@ def _(spark, sf):
 # ------------------------------------------------------------------ mapping and cleaning
 @query(
     "mapping_apply",
-    """SELECT CAST(k AS VARCHAR) AS row_id, CASE WHEN o_orderpriority = '4-NOT SPECIFIED' THEN '  ' ELSE ' ' || o_orderpriority || '  ' END AS channel,
+    """SELECT CAST(k AS VARCHAR) AS row_id, CASE WHEN o_orderpriority = '4-NOT SPECIFIED' THEN '  ' ELSE ' ' || o_orderpriority || ' ' || CHR(160) || CHR(12288) END AS channel,
   CAST(o_custkey + CASE WHEN k % 73 = 4 THEN 5 ELSE -1 END AS VARCHAR) AS valid_leads FROM raw_cells""",
 )
 def _(spark, sf):
@@ -185,7 +206,7 @@ def _(spark, sf):
     dirty = s.select(
         k.cast("string").alias("id"),
         F.when(k % 2 == 0, F.concat(F.lit(" "), k.cast("string"), F.lit(".0 "))).otherwise(F.concat(F.lit("00"), k.cast("string"))).alias("i"),
-        F.concat(F.lit(" "), F.substring("s_name", 1, 9), F.lit(" "), F.substring("s_name", 10, 99), F.when(k % 3 == 0, "有限公司").otherwise("")).alias("n"),
+        F.concat(F.lit("\u3000"), F.substring("s_name", 1, 9), F.lit("\u00a0"), F.substring("s_name", 10, 99), F.when(k % 3 == 0, "有限公司").otherwise("")).alias("n"),
         F.format_number("s_acctbal", 2).alias("v"),
         F.when(F.col("s_nationkey") < 9, F.concat(F.lit("账期2024/0"), (F.col("s_nationkey") + 1).cast("string"), F.lit("月"))).otherwise("无").alias("m"),
     )

@@ -32,7 +32,16 @@ def dbl(*columns: str) -> str:
 
 
 # ------------------------------------------------------------------ staging
-@query("staging_wide_to_long", f"SELECT raw_id, name, month, {dbl('gmv')} FROM src_gmv WHERE month >= '2000-01'")
+def with_keyless(cash, gmv, after):
+    """The sources, and each row again without what it is placed by."""
+    blank, none = F.lit("\u3000 "), F.lit(None).cast("string")
+    return (
+        cash.unionByName(cash.withColumn("name", blank)), gmv.unionByName(gmv.withColumn("raw_id", none)),
+        after.unionByName(after.withColumn("month", none)),
+    )
+
+
+@query("staging_wide_to_long", f"SELECT raw_id, name, month, {dbl('gmv')} FROM src_gmv")
 def _(spark, sf):
     return edge(staging.unpivot_months(wide_gmv(spark, sf), ["raw_id", "name"]))
 
@@ -51,7 +60,16 @@ def _(spark, sf):
   CASE WHEN merchant_id_raw IS NULL THEN 'NAME_MATCHED' ELSE 'ID_MATCHED' END AS mapping_method, mapping_status FROM stg_crosswalk""",
 )
 def _(spark, sf):
-    return edge(staging.crosswalk(*merchant_sources(spark, sf)))
+    return edge(staging.crosswalk(*with_keyless(*merchant_sources(spark, sf))))
+
+
+@query(
+    "staging_keyless_rows",
+    """SELECT 'cash' AS source, 2 * COUNT(*) AS row_count, COUNT(*) AS skipped FROM src_cash UNION ALL SELECT 'gmv', 2 * COUNT(*), COUNT(*) FROM src_gmv
+UNION ALL SELECT 'after', 2 * COUNT(*), COUNT(*) FROM src_after""",
+)
+def _(spark, sf):
+    return edge(staging.keyless_rows(*with_keyless(*merchant_sources(spark, sf))))
 
 
 GRID = (

@@ -10,8 +10,8 @@ from bizdiag.functions.lineage import written
 from bizdiag.operators import case, facts, orders
 from bizdiag.plans.edge import edge
 from bizdiag.plans.merchant_queries import dbl
-from bizdiag.plans.oracle import sql
-from bizdiag.sources.adapters import order_items, table, traffic
+from bizdiag.plans.oracle import CTES, sql
+from bizdiag.sources.adapters import merchant_traffic, order_items, table, traffic
 
 QUERIES, ORACLES = {}, {}
 PREV, CUR = date(1998, 4, 1), date(1998, 5, 1)
@@ -486,7 +486,49 @@ def _(spark, sf):
     return edge(case.case_quality(lines, products))
 
 
-@query("case_facts")
+def _moved(x: str) -> str:
+    return f"CASE WHEN {x} IS NULL THEN '变化率不可用' WHEN {x} < 0 THEN '下降 ' || FORMAT('{{:.1f}}%', -100 * {x}) WHEN {x} > 0 THEN '上升 ' || FORMAT('{{:.1f}}%', 100 * {x}) ELSE '持平' END"
+
+
+CTES["k_months"] = f"""
+SELECT *, (CAST(ca AS DOUBLE) - CAST(pa AS DOUBLE)) / NULLIF(CAST(pa AS DOUBLE), 0) AS ar, (cn - pn) / CAST(NULLIF(pn, 0) AS DOUBLE) AS nr, (cv - pv) / NULLIF(pv, 0) AS vr,
+  (cn - pn) * (pv + cv) / 2 AS oe, (cv - pv) * (pn + cn) / 2 AS ve, CAST(ca AS DOUBLE) - CAST(pa AS DOUBLE) AS ch
+FROM (SELECT *, CAST(pa AS DOUBLE) / NULLIF(pn, 0) AS pv, CAST(ca AS DOUBLE) / NULLIF(cn, 0) AS cv FROM (
+  SELECT merchant_key, COALESCE(SUM(purchase_amount) FILTER (WHERE {_m(PREV)}), 0) AS pa, COALESCE(SUM(purchase_amount) FILTER (WHERE {_m(CUR)}), 0) AS ca,
+  COUNT(DISTINCT order_id) FILTER (WHERE included_in_order_count AND {_m(PREV)}) AS pn, COUNT(DISTINCT order_id) FILTER (WHERE included_in_order_count AND {_m(CUR)}) AS cn
+  FROM i_flagged WHERE {_m(PREV)} OR {_m(CUR)} GROUP BY 1) AS s) AS t
+"""
+CTES["k_traffic"] = """
+SELECT r_name AS merchant_key, co / NULLIF(po, 0) - 1 AS own_rate, cp / NULLIF(pp, 0) - 1 AS peer_rate FROM (SELECT r_name,
+  CAST(COUNT(*) FILTER (WHERE user_id % 5 = r_regionkey AND CAST(ts AS DATE) BETWEEN DATE '2024-01-01' AND DATE '2024-01-15') AS DOUBLE) AS po, CAST(COUNT(*) FILTER (WHERE user_id % 5 = r_regionkey AND CAST(ts AS DATE) BETWEEN DATE '2024-01-16' AND DATE '2024-01-30') AS DOUBLE) AS co,
+  CAST(COUNT(*) FILTER (WHERE user_id % 5 <> r_regionkey AND CAST(ts AS DATE) BETWEEN DATE '2024-01-01' AND DATE '2024-01-15') AS DOUBLE) AS pp, CAST(COUNT(*) FILTER (WHERE user_id % 5 <> r_regionkey AND CAST(ts AS DATE) BETWEEN DATE '2024-01-16' AND DATE '2024-01-30') AS DOUBLE) AS cp
+  FROM region CROSS JOIN events WHERE event_type = 'view' GROUP BY 1) AS t
+"""
+CTES["k_activities"] = f"""
+SELECT merchant_key, activity_type, CAST(ca - pa AS DOUBLE) AS ch, CAST(pa - ca AS DOUBLE) / CAST(SUM(pa - ca) OVER (PARTITION BY merchant_key) AS DOUBLE) AS part, ROW_NUMBER() OVER (PARTITION BY merchant_key ORDER BY ca - pa, activity_type) AS n
+FROM (SELECT merchant_key, activity_type, COALESCE(SUM(purchase_amount) FILTER (WHERE {_m(PREV)}), 0) AS pa, COALESCE(SUM(purchase_amount) FILTER (WHERE {_m(CUR)}), 0) AS ca
+  FROM i_flagged WHERE activity_type IS NOT NULL GROUP BY 1, 2) AS t WHERE ca < pa
+"""
+CTES["k_products"] = f"""
+SELECT merchant_key, product_name, CAST(ch AS DOUBLE) AS ch, n, CAST(SUM(CASE WHEN n <= 5 THEN ch END) OVER (PARTITION BY merchant_key) AS DOUBLE) / CAST(SUM(ch) OVER (PARTITION BY merchant_key) AS DOUBLE) AS part FROM (
+  SELECT merchant_key, product_key, product_name, ca - pa AS ch, ROW_NUMBER() OVER (PARTITION BY merchant_key ORDER BY ca - pa, product_key) AS n
+  FROM (SELECT merchant_key, product_key, MIN(product_name) AS product_name, COALESCE(SUM(purchase_amount) FILTER (WHERE {_m(PREV)}), 0) AS pa, COALESCE(SUM(purchase_amount) FILTER (WHERE {_m(CUR)}), 0) AS ca
+    FROM i_flagged WHERE product_key IS NOT NULL AND ({_m(PREV)} OR {_m(CUR)}) GROUP BY 1, 2) AS t WHERE ca < pa) AS u
+"""
+
+
+@query(
+    "case_facts",
+    f"""SELECT merchant_key, '{CUR}' AS current_month, CAST(1 AS INT) AS fact_rank, TRUE AS is_core_fact, 'FACT' AS output_type, 'RESULT' AS diagnosis_dimension,
+  'RESULT_' || CASE WHEN ABS(ch) <= 0.01 THEN 'MIXED' WHEN oe * SIGN(ch) > 0.01 AND NOT COALESCE(ve * SIGN(ch) > 0.01, FALSE) THEN 'ORDER_DRIVEN' WHEN ve * SIGN(ch) > 0.01 AND NOT COALESCE(oe * SIGN(ch) > 0.01, FALSE) THEN 'AOV_DRIVEN' ELSE 'MIXED' END AS fact_code,
+  '{CUR:%Y-%m} 进货金额较 {PREV:%Y-%m} ' || {_moved('ar')} || '，订单数' || {_moved('nr')} || '，客单价' || {_moved('vr')} || CASE WHEN nr < 0 AND vr < 0 THEN '；订单量和客单价均为负向变化。' WHEN nr > 0 AND vr > 0 THEN '；订单量和客单价均为正向变化。' ELSE '；订单量和客单价变化方向不一致。' END AS fact_text,
+  ch AS impact_amount, ar AS impact_ratio FROM k_months
+UNION ALL SELECT merchant_key, '{CUR}', 2, TRUE, 'SIGNAL', 'TRAFFIC', 'TRAFFIC_WEAKER_THAN_PEERS', '本店访客' || {_moved('own_rate')} || '，同期同行' || {_moved('peer_rate')} || '；本店流量表现弱于同行。', NULL, own_rate - peer_rate FROM k_traffic WHERE own_rate < peer_rate AND merchant_key IN (SELECT merchant_key FROM k_months)
+UNION ALL SELECT merchant_key, '{CUR}', 3, TRUE, 'FACT', 'ACTIVITY', 'ACTIVITY_TOP_LOSS', '活动端口损失主要集中在' || activity_type || '，金额减少 ' || FORMAT('{{:.2f}}', -ch / 10000) || ' 万，占活动端口全部负向变化 ' || FORMAT('{{:.1f}}%', 100 * part) || '。', ch, part FROM k_activities WHERE n = 1 AND merchant_key IN (SELECT merchant_key FROM k_months)
+UNION ALL SELECT merchant_key, '{CUR}', 4, TRUE, 'FACT', 'PRODUCT', 'PRODUCT_TOP_LOSS', '最大单品负向变化为' || product_name || '，进货金额减少 ' || FORMAT('{{:.2f}}', -ch / 10000) || ' 万；Top 5 损失商品占全部商品负向变化 ' || FORMAT('{{:.1f}}%', 100 * part) || '。', ch, part FROM k_products WHERE n = 1
+UNION ALL SELECT merchant_key, '{CUR}', 5, TRUE, 'LIMITATION', 'CUSTOMER', 'CUSTOMER_CAPABILITY_UNAVAILABLE', '当前数据来自中台账号，订单导出不包含药店标识；药店贡献诊断需要商家账号权限。', NULL, NULL FROM k_months
+UNION ALL SELECT merchant_key, '{CUR}', NULL, FALSE, 'DO_NOT_INFER', 'GUARDRAIL', 'NO_CAUSAL_INFERENCE', '现有数据不能证明流量下降导致进货金额下降，也不能证明活动、价格、缺货或退款导致金额变化。', NULL, NULL FROM k_months""",
+)
 def _(spark, sf):
     lines = written(flagged(spark, sf))
     _m, pairs = months_of(lines)
@@ -494,9 +536,12 @@ def _(spark, sf):
     products = case.with_name_conflicts(orders.product_contribution(lines, pairs), lines)
     f = case.case_facts(
         case.case_monthly(lines, PREV, CUR), products, case.activity_contribution(lines, PREV, CUR),
-        case.traffic_benchmark(traffic(spark, sf), *HALVES), "view",
+        case.traffic_benchmark(merchant_traffic(spark, sf), *HALVES, keys=("merchant_key", "metric")), "view",
+    )
+    return edge(
+        f, "merchant_key", "current_month", "fact_rank", "is_core_fact", "output_type", "diagnosis_dimension", "fact_code", "fact_text",
+        "impact_amount", "impact_ratio",
     )
-    return edge(f)
 
 
 @query(

@@ -184,12 +184,9 @@ def merchant_sources(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataF
 
 
 def wide_gmv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """GMV export in its wide form: one column ``aYYYYMM`` per month of the calendar covered.
-
-    The column list is fixed by the calendar (1995 to 2001), so the pivot needs no extra pass.
-    """
+    """GMV export in its wide form: one column ``aYYYYMM`` for each month that has data."""
     _, gmv, _ = merchant_sources(spark, sf_dir)
-    months = [f"{y}-{m:02d}" for y in range(1995, 2002) for m in range(1, 13)]
+    months = sorted(r[0] for r in gmv.select("month").distinct().collect())  # as many as the calendar has
     wide = gmv.groupBy("raw_id", "name").pivot("month", months).agg(F.first("gmv"))
     return wide.select(
         "raw_id", "name", *[F.col(f"`{m}`").alias(f"a{m.replace('-', '')}") for m in months]
@@ -257,6 +254,21 @@ def order_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def merchant_traffic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily traffic of each merchant by metric: the events of its users against those of all others.
+
+    A user belongs to the merchant whose number is the rest of the user's id divided by five.
+    """
+    daily = table(spark, sf_dir, "events").groupBy(
+        F.col("ts").cast("date").alias("day"), F.col("event_type").alias("metric"), (F.col("user_id") % 5).alias("k")
+    ).agg(F.count("*").alias("n"))
+    total = daily.groupBy("day", "metric").agg(F.sum("n").alias("total"))
+    merchants = table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("k"), F.col("r_name").alias("merchant_key"))
+    cells = total.withColumn("_m", merchants.agg(F.collect_list(F.struct("k", "merchant_key"))).scalar()).select("day", "metric", "total", F.inline("_m"))
+    own = F.coalesce("n", F.lit(0))
+    return cells.join(daily, ["day", "metric", "k"], "left").select("merchant_key", "day", "metric", own.alias("own"), (F.col("total") - own).alias("peer"))
+
+
 def traffic(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily traffic by metric: events of user 0 against the events of all other users."""
     events = table(spark, sf_dir, "events").select(

@@ -45,7 +45,13 @@ def key(row):
 
 def compare(spark, con, query, text: str, sf: str) -> str:
     """Empty when equal, else what differs."""
-    df = query(spark, sf)
+    from bizdiag.functions.lineage import scratch
+
+    with scratch(spark):
+        return _compare(query(spark, sf), con, text)
+
+
+def _compare(df, con, text: str) -> str:
     names = sorted(df.columns)
     got = sorted((tuple(plain(r[n]) for n in names) for r in df.collect()), key=key)
     rel = con.execute(text)
