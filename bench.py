@@ -37,7 +37,7 @@ def on_fact(fact) -> dict:
         "fact_all_metrics": [lambda: metrics.metrics_by(fact, ["leads", "conversion_rate", "net_revenue"], ["channel"])],
         "fact_year_scan_3_rules": [lambda: anomaly.evaluate_rules(fact, *YEAR)],
         "fact_contribution_channel_and_salesperson": [split("gross_revenue", "channel"), split("leads", "salesperson")],
-        "fact_diagnosis_all_events": [lambda: diagnosis.diagnose(fact, events(), rules=RULES).results],
+        "fact_diagnosis_all_events": [lambda: diagnosis.diagnose(fact, events()).results],
     }
 
 

@@ -171,14 +171,16 @@ def diagnose(
     events: DataFrame,
     recipes: Mapping[str, Mapping] = defs.RECIPES,
     filters: Filters | None = None,
-    rules: Sequence[Mapping] = defs.RULES,
     available: Iterable[str] | None = None,
 ) -> Diagnosis:
-    """Diagnose every event. ``rules`` names the (metric, dimension) pairs events can have."""
+    """Diagnose every event whose metric has a recipe, whatever rule found it. Runs jobs when called.
+
+    The (metric, dimension) pairs are taken from the events: at most one for each recipe and dimension.
+    """
     events = written(scoped_events(events, recipes, filters))
-    pairs = dict.fromkeys(
-        (r["metric_id"], r.get("dimension")) for r in rules if r["metric_id"] in recipes
-    )
+    seen = events.where(F.col("metric_id").isin(list(recipes))).select("metric_id", "dimension").distinct().collect()
+    # without any event one pair gives the empty tables their columns
+    pairs = sorted(((r[0], r[1]) for r in seen), key=lambda p: (list(recipes).index(p[0]), p[1] or "")) or [(next(iter(recipes)), None)]
     observations, findings, skipped, tops = [], [], [], []
     for mid, trigger in pairs:
         recipe = defs.checked_recipe(mid, recipes[mid])

@@ -564,7 +564,7 @@ def diagnosed(spark, sf, filters=None):
     """Diagnosis of every event of the scan, over the whole fact."""
     fact = written(daily_fact(spark, sf))
     events = anomaly.events(anomaly.evaluate_rules(fact, START, END, RULES))
-    return diagnosis.diagnose(fact, events, filters=filters, rules=RULES)
+    return diagnosis.diagnose(fact, events, filters=filters)
 
 
 _EV = f"SELECT rule_id || '|' || CAST(date AS VARCHAR) || '|' || COALESCE(dimension_value, '<NULL>') AS event_id, rule_id, date, dimension_value AS m FROM ({SCAN_ALL}) AS s WHERE severity IS NOT NULL"
