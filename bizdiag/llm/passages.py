@@ -22,17 +22,22 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bizdiag.llm import words as W
 from bizdiag.llm.batches import chunks, sampled, splits
 
 WINDOW = 13
-GRAM = 3
+GRAM = 2
 #: Buckets to each shuffle partition; a task holds one bucket at a time.
-BUCKETS = 8
+BUCKETS = 4
+#: Windows that a task holds before it settles what can be settled.
+HELD = 400_000
+#: Bytes of sample text that packed strings are compressed against.
+DICTIONARY = 65_536
 SAMPLE_ROWS = 2_000
 FREQUENT = 16
 _BITS = 20
@@ -73,7 +78,7 @@ def _repeats(key: np.ndarray, other: np.ndarray, doc: np.ndarray) -> np.ndarray:
     return some[doc[some] > smallest]
 
 
-def pack(part: pa.RecordBatch, buckets: int, frequent: np.ndarray):
+def pack(part: pa.RecordBatch, buckets: int, frequent: np.ndarray, packer: zstandard.ZstdCompressor):
     """Rows for the buckets from one chunk (doc, mark, text): settled repeats, and packed super-k-mers."""
     split = [(d, m, t.encode().split()) for d, m, t in zip(*(c.to_pylist() for c in part.columns)) if d is not None and t]
     split = [x for x in split if len(x[2]) >= WINDOW]
@@ -83,14 +88,17 @@ def pack(part: pa.RecordBatch, buckets: int, frequent: np.ndarray):
     count = np.array([len(x) for x in lists])
     h = W.hashes(lists)
     first = np.cumsum(count) - count
+    joined = b" ".join(map(b" ".join, lists))
+    ends = np.cumsum(np.fromiter((len(w) + 1 for x in lists for w in x), np.int64, len(h)))
+    doc_of, mark_of = np.array([x[0] for x in split], np.int64), np.array([x[1] for x in split], np.int32)
     owner = np.repeat(np.arange(len(lists)), count)
+    del split, lists
     size = len(h) - WINDOW + 1
     valid = owner[:size] == owner[WINDOW - 1 :]
     gram = W.grams(h, GRAM, 1)
     gram = (gram >> np.uint64(1)) | (frequent[gram >> np.uint64(64 - _BITS)].astype(np.uint64) << np.uint64(63))
     least = W.least(gram, WINDOW - GRAM + 1)
     at = np.flatnonzero(valid)
-    doc_of, mark_of = np.array([x[0] for x in split], np.int64), np.array([x[1] for x in split], np.int32)
     gone = at[_repeats(W.grams(h, WINDOW, 2)[at], W.grams(h, WINDOW, 3)[at], doc_of[owner[at]])]
     own = owner[gone]
     for doc, mark, pairs in _ranges(doc_of[own], mark_of[own], gone - first[own]):
@@ -102,25 +110,21 @@ def pack(part: pa.RecordBatch, buckets: int, frequent: np.ndarray):
     run = np.flatnonzero(np.r_[True, (at[1:] - at[:-1] > 1) | (least[at[1:]] != least[at[:-1]])])
     start, n = at[run], np.diff(np.r_[run, len(at)])
     bucket = (W.mixed(least[start]) % np.uint64(buckets)).astype(np.int64)
-    joined = b" ".join(map(b" ".join, lists))
-    ends = np.cumsum(np.fromiter((len(w) + 1 for x in lists for w in x), np.int64, len(h)))
     begin, stop = np.r_[0, ends][start], ends[start + n + WINDOW - 2] - 1
     order = np.argsort(bucket, kind="stable")
     edges = np.flatnonzero(np.r_[True, np.diff(bucket[order]) > 0, True])
-    zip_ = zstandard.ZstdCompressor(level=1)
     for a, b in zip(edges[:-1], edges[1:]):
         k = order[a:b]
         own = owner[start[k]]
         text = b"\n".join([joined[x:y] for x, y in zip(begin[k].tolist(), stop[k].tolist())])
-        head = np.array([len(k)], "<i8").tobytes() + doc_of[own].tobytes() + mark_of[own].tobytes() + (start[k] - first[own]).astype("<i4").tobytes()
-        yield int(bucket[order[a]]), None, None, None, zip_.compress(head + text)
+        head = np.array([len(k)], "<i8").tobytes() + np.diff(doc_of[own], prepend=0).tobytes() + mark_of[own].tobytes() + (start[k] - first[own]).astype("<i4").tobytes()
+        yield int(bucket[order[a]]), None, None, None, packer.compress(head + text)
 
 
-def unpack(blob: bytes):
-    """Arrays of the windows of a packed blob: two hashes, document, mark and position."""
-    raw = zstandard.ZstdDecompressor().decompress(blob)
+def unpack(raw: bytes):
+    """Arrays of the windows of packed strings: two hashes, document, mark and position."""
     n = int(np.frombuffer(raw, "<i8", 1)[0])
-    doc, mark, at = np.frombuffer(raw, "<i8", n, 8), np.frombuffer(raw, "<i4", n, 8 + 8 * n), np.frombuffer(raw, "<i4", n, 8 + 12 * n)
+    doc, mark, at = np.cumsum(np.frombuffer(raw, "<i8", n, 8)), np.frombuffer(raw, "<i4", n, 8 + 8 * n), np.frombuffer(raw, "<i4", n, 8 + 12 * n)
     lists = [x.split(b" ") for x in raw[8 + 16 * n :].split(b"\n")]
     count = np.array([len(x) for x in lists])
     h = W.hashes(lists)
@@ -130,76 +134,100 @@ def unpack(blob: bytes):
     return W.grams(h, WINDOW, 2)[where], W.grams(h, WINDOW, 3)[where], np.repeat(doc, windows), np.repeat(mark, windows), np.repeat(at, windows) + inside
 
 
-def frequent_grams(rows: DataFrame) -> np.ndarray:
-    """A bit table of runs of words that occur ``FREQUENT`` times or more in a bounded sample."""
+def _sample(rows: DataFrame) -> tuple[np.ndarray, bytes]:
+    """From a bounded sample: a bit table of runs of words that occur ``FREQUENT`` times or more, and text to compress against."""
 
     def count(batches):
-        seen = []
+        seen, text, size = [], [], 0
         for part in chunks(batches):
             lists = [t.encode().split() for t in part.column("text").to_pylist() if t]
             seen.append(W.grams(W.hashes(lists), GRAM, 1) >> np.uint64(64 - _BITS))
+            for words in lists:
+                if size < DICTIONARY:
+                    text.append(b" ".join(words[:200]))
+                    size += len(text[-1])
         slots, n = np.unique(np.concatenate(seen) if seen else np.zeros(0, np.uint64), return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(slots[n >= FREQUENT].astype(np.int64))], names=["slot"])
+        packed = pa.array([b"\n".join(text)[:DICTIONARY]], pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array([slots[n >= FREQUENT].astype(np.int64)], pa.list_(pa.int64())), packed], names=["slots", "text"])
 
-    found = sampled(rows, ["doc", "mark"], SAMPLE_ROWS).select("text").repartition(1).mapInArrow(count, "slot long").toArrow()
+    found = sampled(rows, ["doc", "mark"], SAMPLE_ROWS).select("text").repartition(1).mapInArrow(count, "slots array<long>, text binary").first()
     table = np.zeros(1 << _BITS, bool)
-    table[found.column("slot").to_numpy()] = True
-    return table
+    if found:  # else there are no rows
+        table[found["slots"]] = True
+    return np.packbits(table), bytes(found["text"]) if found else b""
 
 
-def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def repeated(docs: DataFrame, mark: Column, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc, mark, ranges): for each text with repeats, the starts and lengths of runs of repeated windows.
 
     ``mark`` tells apart texts that share an id.
     """
-    rows = _marked(docs, key, text)
+    rows = docs.select(F.col(key).cast("long").alias("doc"), mark.alias("mark"), F.col(text).alias("text"))
     n = splits(docs)
     buckets = n * BUCKETS
-    table = docs.sparkSession.sparkContext.broadcast(np.packbits(frequent_grams(rows)))
+    table = docs.sparkSession.sparkContext.broadcast(_sample(rows))
 
     def send(batches):
-        frequent = np.unpackbits(table.value).astype(bool)
-        for part in chunks(batches, most=8 << 20):
+        frequent = np.unpackbits(table.value[0]).astype(bool)
+        packer = zstandard.ZstdCompressor(level=5, dict_data=_dictionary(table.value[1]))
+        for part in chunks(batches):
             out, size = [], 0
-            for row in pack(part, buckets, frequent):
+            for row in pack(part, buckets, frequent, packer):
                 out.append(row)
                 size += len(row[3] or b"") + len(row[4] or b"")
-                if size > 4 << 20:
+                if size > 1 << 20:
                     yield _batch(out)
                     out, size = [], 0
             if out:
                 yield _batch(out)
 
     def settle(batches):
-        at, held = None, []
-
-        def ended():
-            if held:
-                key_, other, doc, mark, pos = (np.concatenate(x) for x in zip(*held))
-                gone = _repeats(key_, other, doc)
-                out = [(0, *x, None) for x in _ranges(doc[gone], mark[gone], pos[gone])]
-                if out:
-                    yield _batch(out).select(_NAMES[1:4])
+        """One bucket after the other; what is held is cut down to the smallest documents' windows again and again."""
+        packed = zstandard.ZstdDecompressor(dict_data=_dictionary(table.value[1]))
+        at, held, limit = None, [], HELD
+
+        def settled():
+            nonlocal held
+            windows = [np.concatenate(x) for x in zip(*held)]
+            gone = _repeats(*windows[:3])
+            stay = np.ones(len(windows[0]), bool)
+            stay[gone] = False
+            held = [[x[stay] for x in windows]]
+            return [(0, *x, None) for x in _ranges(*(x[gone] for x in windows[2:]))]
 
         for batch in batches:
-            through = batch.filter(pa.compute.is_valid(batch.column("ranges")))
+            through = batch.filter(pc.is_valid(batch.column("ranges")))
             if through.num_rows:
                 yield through.select(_NAMES[1:4])
-            packed = batch.filter(pa.compute.is_valid(batch.column("blob")))
-            for bucket, blob in zip(packed.column("bucket").to_pylist(), packed.column("blob")):
+            full = batch.filter(pc.is_valid(batch.column("blob")))
+            for bucket, blob in zip(full.column("bucket").to_pylist(), full.column("blob")):
+                done = []
                 if bucket != at:
-                    yield from ended()
-                    at, held = bucket, []
-                held.append(unpack(blob.as_py()))
-        yield from ended()
+                    done = settled() if held else []
+                    at, held, limit = bucket, [], HELD
+                held.append(unpack(packed.decompress(blob.as_py())))
+                if sum(len(x[0]) for x in held) > limit:
+                    done += settled()
+                    limit = 2 * len(held[0][0]) + HELD
+                if done:
+                    yield _batch(done).select(_NAMES[1:4])
+        done = settled() if held else []
+        if done:
+            yield _batch(done).select(_NAMES[1:4])
 
     sent = rows.mapInArrow(send, _SENT).repartition(n, "bucket").sortWithinPartitions("bucket")
     found = sent.mapInArrow(settle, "doc long, mark int, ranges binary")
     return found.groupBy("doc", "mark").agg(F.collect_list("ranges").alias("ranges"))
 
 
-def _marked(docs: DataFrame, key: str, text: str) -> DataFrame:
-    return docs.select(F.col(key).cast("long").alias("doc"), F.hash(text).alias("mark"), F.col(text).alias("text"))
+def _dictionary(text: bytes) -> zstandard.ZstdCompressionDict | None:
+    return zstandard.ZstdCompressionDict(text, dict_type=zstandard.DICT_TYPE_RAWCONTENT) if len(text) > 8 else None
+
+
+def _mark(docs: DataFrame, key: str, text: str) -> Column:
+    """0, unless ids repeat: then a hash of the text."""
+    again = docs.filter(F.col(key).isNotNull()).groupBy(key).count().filter("count > 1").limit(1).count()
+    return F.hash(text) if again else F.lit(0)
 
 
 def kept_words(text: str | None, ranges: list[bytes] | None) -> tuple[list[bytes], int]:
@@ -218,8 +246,9 @@ def kept_words(text: str | None, ranges: list[bytes] | None) -> tuple[list[bytes
 def _cut(docs: DataFrame, key: str, text: str, schema: str, finish) -> DataFrame:
     """``docs`` with columns of ``schema`` made from (text, kept words, number removed) of each row."""
     names = docs.columns
-    rows = docs.withColumn("_doc", F.col(key).cast("long")).withColumn("_mark", F.hash(text))
-    found = repeated(docs, key, text).select(F.col("doc").alias("_doc"), F.col("mark").alias("_mark"), F.col("ranges").alias("_ranges"))
+    mark = _mark(docs, key, text)
+    rows = docs.withColumn("_doc", F.col(key).cast("long")).withColumn("_mark", mark)
+    found = repeated(docs, mark, key, text).select(F.col("doc").alias("_doc"), F.col("mark").alias("_mark"), F.col("ranges").alias("_ranges"))
     joined = rows.join(found.hint("shuffle_hash"), ["_doc", "_mark"], "left").select(*names, "_ranges")
 
     def run(batches):

@@ -143,6 +143,7 @@ def test_passages(spark, corpus):
 
 def test_frequent_runs_do_not_change_the_result(spark, corpus, monkeypatch):
     monkeypatch.setattr(passages, "FREQUENT", 1)
+    monkeypatch.setattr(passages, "HELD", 10)
     monkeypatch.setattr(W, "CACHE_WORDS", 10)
     assert sorted((tuple(r) for r in passages.digests(frame(spark, corpus)).collect()), key=str) == brute_passages(corpus)
 
