@@ -21,9 +21,9 @@ def staged(spark, values, unresolved=(), rate=0.1):
     return df.withColumns({c: F.col(c).cast("decimal(18,2)") for c in ("gmv", "cash_sales_amount")})
 
 
-A = {"2026-01": {"A": 100, "B": 100, "C": 100}, "2026-02": {"A": 80, "B": None, "C": 70}, "2026-03": {"A": 40, "B": 120, "C": 60}}
-B = {"2026-01": {"A": 1000, "B": 500, "C": 100, "D": 50, "E": 40}, "2026-02": {"A": 800, "B": 100, "C": None, "D": 25, "E": 30},
-     "2026-03": {"A": 700, "B": 80, "C": None, "D": 20, "E": 10}}
+TREES = {"2026-01": {"oak": 300, "elm": 260, "fir": 90}, "2026-02": {"oak": 225, "elm": None, "fir": 81}, "2026-03": {"oak": 180, "elm": 240, "fir": 30}}
+HERBS = {"2026-01": {"anis": 2000, "bay": 900, "cress": 300, "dill": 120, "fennel": 60}, "2026-02": {"anis": 1500, "bay": 240, "cress": None, "dill": 90, "fennel": 70},
+         "2026-03": {"anis": 1260, "bay": 150, "cress": None, "dill": 60, "fennel": 40}}
 
 
 def cell(df, key, month):
@@ -31,48 +31,48 @@ def cell(df, key, month):
 
 
 def test_health_states_and_runs(spark):
-    h = health.health(staged(spark, A, {"C"})).cache()
-    assert cell(h, "A", 1).gmv_mom_quality_status == "INSUFFICIENT_HISTORY"
-    assert cell(h, "B", 2).gmv_quality_status == "MISSING" and cell(h, "B", 3).gmv_mom is None
-    assert cell(h, "C", 3).gmv_mom_quality_status == "UNRESOLVED_MERCHANT" and cell(h, "C", 3).gmv_mom is None
-    assert cell(h, "A", 2).gmv_mom == pytest.approx(-0.2)
-    assert [cell(h, "A", m).consecutive_gmv_decline for m in (1, 2, 3)] == [0, 1, 2]
-    assert cell(h, "B", 3).consecutive_gmv_decline == 0
-    assert cell(h, "A", 1).gmv_percentile == pytest.approx(2 / 3) and cell(h, "A", 1).gmv_rank == 1
+    h = health.health(staged(spark, TREES, {"fir"})).cache()
+    assert cell(h, "oak", 1).gmv_mom_quality_status == "INSUFFICIENT_HISTORY"
+    assert cell(h, "elm", 2).gmv_quality_status == "MISSING" and cell(h, "elm", 3).gmv_mom is None
+    assert cell(h, "fir", 3).gmv_mom_quality_status == "UNRESOLVED_MERCHANT" and cell(h, "fir", 3).gmv_mom is None
+    assert cell(h, "oak", 2).gmv_mom == pytest.approx(-0.25)
+    assert [cell(h, "oak", m).consecutive_gmv_decline for m in (1, 2, 3)] == [0, 1, 2]
+    assert cell(h, "elm", 3).consecutive_gmv_decline == 0
+    assert cell(h, "elm", 1).gmv_percentile == pytest.approx(2 / 3) and cell(h, "oak", 1).gmv_rank == 1
     t = health.health_thresholds(h)
     a = health.attention(h, t)
-    assert {r.business_attention_status for r in a.where("merchant_key = 'C'").collect()} == {"DATA_QUALITY_ALERT"}
+    assert {r.business_attention_status for r in a.where("merchant_key = 'fir'").collect()} == {"DATA_QUALITY_ALERT"}
     assert t.first().order_decline == -0.20  # two resolved falls: too few for a quantile
 
 
 def test_changes_need_the_calendar_month_but_runs_need_rows(spark):
-    h = health.health(staged(spark, {"2026-01": {"A": 9}, "2026-03": {"A": 5}}))
-    row = cell(h, "A", 3)
+    h = health.health(staged(spark, {"2026-01": {"oak": 44}, "2026-03": {"oak": 31}}))
+    row = cell(h, "oak", 3)
     assert row.gmv_mom is None and row.consecutive_gmv_decline == 1
 
 
 def test_priority_values(spark):
-    p, thresholds = priority.priority(health.health(staged(spark, B, rate=0.01)))
+    p, thresholds = priority.priority(health.health(staged(spark, HERBS, rate=0.01)))
     p = p.cache()
-    c, a = cell(p, "C", 3), cell(p, "A", 3)
+    c, a = cell(p, "cress", 3), cell(p, "anis", 3)
     assert c.priority_level == "DATA_QUALITY_ALERT" and c.gmv_loss is None
-    assert (a.gmv_loss, a.previous_gmv, a.current_gmv) == (100, 800, 700)
+    assert (a.gmv_loss, a.previous_gmv, a.current_gmv) == (240, 1500, 1260)
     assert a.merchant_scale == "KEY" and a.diagnostic_dimension_count == len(a.diagnostic_dimensions.split("|"))
     assert thresholds.first().high_loss > 0
-    # previous total: A 800, B 100, D 25, E 30; C has no previous value
-    assert (a.regional_previous_gmv, a.regional_current_gmv) == (955, 810)
-    assert a.regional_gmv_loss_contribution == pytest.approx(100 / 145)
+    # cress has no previous value; the others lost 240, 90, 30 and 30
+    assert (a.regional_previous_gmv, a.regional_current_gmv) == (1900, 1510)
+    assert a.regional_gmv_loss_contribution == pytest.approx(240 / 390)
     top = priority.priority_list(p, date(2026, 3, 1)).collect()
     levels = [priority.LEVELS[r.priority_level] for r in top]
-    assert levels == sorted(levels) and "C" not in {r.merchant_key for r in top}
+    assert levels == sorted(levels) and "cress" not in {r.merchant_key for r in top}
     s = priority.priority_summary(p, date(2026, 3, 1)).first()
-    assert (s.valid_merchants, s.current_total, s.previous_total, s.data_quality) == (4, 810, 955, 1)
+    assert (s.valid_merchants, s.current_total, s.previous_total, s.data_quality) == (4, 1510, 1900, 1)
 
 
 def test_unresolved_rows_are_classed_by_previous_value(spark):
-    values = {"2026-01": {k: 100 * i for i, k in enumerate("ABCDX", 1)}, "2026-02": {k: 90 * i for i, k in enumerate("ABCDX", 1)}}
-    p = priority.with_impact_and_scale(priority.with_previous(health.health(staged(spark, values, {"X"}))))
-    assert cell(p, "X", 2).merchant_scale == "KEY" and cell(p, "X", 2).regional_previous_gmv == 1000
+    values = {"2026-01": {k: 70 * i for i, k in enumerate("pqrsz", 1)}, "2026-02": {k: 56 * i for i, k in enumerate("pqrsz", 1)}}
+    p = priority.with_impact_and_scale(priority.with_previous(health.health(staged(spark, values, {"z"}))))
+    assert cell(p, "z", 2).merchant_scale == "KEY" and cell(p, "z", 2).regional_previous_gmv == 700
 
 
 def sources(spark):
@@ -118,17 +118,25 @@ def test_duplicate_source_keys_fail(spark):
 
 
 def test_wide_to_long(spark):
-    wide = spark.createDataFrame([("1", 5, None, 9)], "id string, a202601 int, a202602 int, b202603 int")
-    assert [tuple(r) for r in staging.unpivot_months(wide, ["id"], "v").collect()] == [("1", "2026-01", 5)]
+    wide = spark.createDataFrame([("1", 5, None, 9, 4, 8)], "id string, a202601 int, a202602 int, b202603 int, a199812 int, a202613 int")
+    assert sorted(tuple(r) for r in staging.unpivot_months(wide, ["id"], "v").collect()) == [("1", "1998-12", 4), ("1", "2026-01", 5)]
+
+
+def test_rows_that_cannot_be_placed_are_skipped_and_counted(spark):
+    cash, gmv, after = sources(spark)
+    more = (cash.unionByName(cash.withColumn("name", F.lit("\u3000"))), gmv.unionByName(gmv.withColumn("raw_id", F.lit(None).cast("string"))),
+            after.unionByName(after.withColumn("month", F.lit(" "))))
+    assert sorted(map(str, staging.merchant_month(*more).collect())) == sorted(map(str, staging.merchant_month(cash, gmv, after).collect()))
+    assert {r.source: (r.row_count, r.skipped) for r in staging.keyless_rows(*more).collect()} == {"cash": (8, 4), "gmv": (8, 4), "after": (2, 1)}
 
 
 def test_dashboard(spark):
     base = dict(merchant_name="A", owner="O1", merchant_scale="KEY", merchant_mapping_status="ID_MATCHED", data_quality_status="NO_ALERT", diagnostic_dimensions="Trend")
     rows = [
-        dict(base, month=date(2026, 4, 1), merchant_key="A", priority_level="PRIORITY", current_gmv=80.0, previous_gmv=100.0, gmv_change_abs=-20.0, gmv_loss=20.0),
-        dict(base, month=date(2026, 4, 1), merchant_key="B", owner="O2", priority_level="ATTENTION", current_gmv=50.0, previous_gmv=40.0, gmv_change_abs=10.0, gmv_loss=0.0, diagnostic_dimensions="Service"),
-        dict(base, month=date(2026, 5, 1), merchant_key="A", priority_level="PRIORITY", current_gmv=80.0, previous_gmv=100.0, gmv_change_abs=-20.0, gmv_loss=20.0),
-        dict(base, month=date(2026, 6, 1), merchant_key="A", priority_level="DATA_QUALITY_ALERT", current_gmv=None, previous_gmv=80.0, gmv_change_abs=None, gmv_loss=None),
+        dict(base, month=date(2026, 4, 1), merchant_key="A", priority_level="PRIORITY", current_gmv=270.0, previous_gmv=300.0, gmv_change_abs=-30.0, gmv_loss=30.0),
+        dict(base, month=date(2026, 4, 1), merchant_key="B", owner="O2", priority_level="ATTENTION", current_gmv=75.0, previous_gmv=60.0, gmv_change_abs=15.0, gmv_loss=0.0, diagnostic_dimensions="Service"),
+        dict(base, month=date(2026, 5, 1), merchant_key="A", priority_level="PRIORITY", current_gmv=270.0, previous_gmv=300.0, gmv_change_abs=-30.0, gmv_loss=30.0),
+        dict(base, month=date(2026, 6, 1), merchant_key="A", priority_level="DATA_QUALITY_ALERT", current_gmv=None, previous_gmv=270.0, gmv_change_abs=None, gmv_loss=None),
     ]
     p = spark.createDataFrame(rows, "month date, merchant_key string, merchant_name string, owner string, merchant_scale string, priority_level string, merchant_mapping_status string, current_gmv double, previous_gmv double, gmv_change_abs double, gmv_loss double, data_quality_status string, diagnostic_dimensions string")
     periods = spark.createDataFrame(
@@ -138,8 +146,8 @@ def test_dashboard(spark):
     assert dashboard.latest_complete_period(p, periods).first().month == date(2026, 4, 1)
     april = dashboard.filter_dashboard(p, date(2026, 4, 1))
     o = dashboard.overview(april).first()
-    assert (o.region_gmv, o.region_gmv_previous, o.declining_merchants, o.growth_merchants, o.service_alerts) == (130, 140, 1, 1, 1)
-    assert o.gmv_mom == pytest.approx(130 / 140 - 1)
+    assert (o.region_gmv, o.region_gmv_previous, o.declining_merchants, o.growth_merchants, o.service_alerts) == (345, 360, 1, 1, 1)
+    assert o.gmv_mom == pytest.approx(345 / 360 - 1)
     assert dashboard.overview(dashboard.filter_dashboard(p, date(2026, 6, 1))).first().region_gmv is None
     assert [r.merchant_key for r in dashboard.filter_dashboard(p, date(2026, 4, 1), ["O1"], None, ["PRIORITY"]).collect()] == ["A"]
     assert [r.merchant_key for r in dashboard.top_loss(april).collect()] == ["A"]
