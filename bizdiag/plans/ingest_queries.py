@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from bizdiag.functions import cleaning
 from bizdiag.functions.lineage import new_folder
 from bizdiag.operators import mapping, orders, profile, quality
+from bizdiag.plans import imports
 from bizdiag.plans.edge import edge
 from bizdiag.plans.oracle import CTES, sql
 from bizdiag.schema import COLUMNS, COUNTS, DIMENSIONS
@@ -121,8 +122,7 @@ def _(spark, sf):
 def published(spark, sf):
     """The fact, checked and published as a new version; its folder."""
     path = folder(spark)
-    s = mapping.standardise(daily_fact(spark, sf))
-    tables.publish_fact(s.frame, quality.quality_report(s), path, {c: c for c in COLUMNS})
+    imports.publish(mapping.standardise(daily_fact(spark, sf)), path, {c: c for c in COLUMNS})
     return path
 
 
@@ -134,6 +134,15 @@ def _(spark, sf):
     return edge(tables.read_fact(spark, published(spark, sf)))
 
 
+@query(
+    "source_fact_of_a_quarter",
+    "SELECT CAST(date AS VARCHAR) AS date, product, channel, salesperson, leads, CAST(gross_revenue AS DOUBLE) AS gross_revenue FROM f_daily WHERE date BETWEEN DATE '1997-02-10' AND DATE '1997-05-09'",
+)
+def _(spark, sf):
+    fact = tables.read_fact(spark, published(spark, sf), start="1997-02-10", end="1997-05-09")
+    return edge(fact, "date", "product", "channel", "salesperson", "leads", "gross_revenue")
+
+
 @query(
     "source_metadata_and_availability",
     "SELECT 'current' AS dataset_id, (SELECT COUNT(*) FROM f_daily) AS row_count, f.x AS canonical_field, TRUE AS is_available, f.x AS source_field FROM (SELECT UNNEST(["

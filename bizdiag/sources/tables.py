@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Mapping, Sequence
-from datetime import datetime, timezone
+from datetime import date, datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -59,7 +59,7 @@ def publish_fact(df: DataFrame, report: DataFrame, path: str, mapped: Mapping[st
 
 
 def _read(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+    return spark.read.option("basePath", path).parquet(path)
 
 
 def _current(spark: SparkSession, path: str) -> str:
@@ -67,11 +67,17 @@ def _current(spark: SparkSession, path: str) -> str:
     return f"{path}/versions/{row[0]}"
 
 
-def read_fact(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
-    """Current fact in canonical column order."""
+def read_fact(
+    spark: SparkSession, path: str, limit: int | None = None, start: date | str | None = None, end: date | str | None = None
+) -> DataFrame:
+    """Current fact in canonical column order; only the months from ``start`` to ``end`` are opened."""
     if limit is not None and limit < 1:
         raise ValueError("limit must be at least 1")
-    df = _read(spark, f"{_current(spark, path)}/fact").select(*COLUMNS)
+    df = _read(spark, f"{_current(spark, path)}/fact")
+    for bound, keeps in ((start, lambda c, v: c >= v), (end, lambda c, v: c <= v)):
+        if bound is not None:
+            df = df.where(keeps(F.col("month"), F.lit(str(bound)[:7])) & keeps(F.col("date"), F.lit(str(bound)).cast("date")))
+    df = df.select(*COLUMNS)
     return df if limit is None else df.limit(limit)
 
 

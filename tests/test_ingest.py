@@ -152,3 +152,23 @@ def test_profile(spark):
     samples = {r.field: r["sample"] for r in profile.masked_samples(df, 1).collect()}
     assert samples["name"] == "<PHONE_MASKED>" and samples["id"] in ("<ID_MASKED>", "<PHONE_MASKED>")
     assert profile.duplicate_rows(df.unionByName(df)).first().duplicate_rows == 3
+
+
+def test_import_in_one_call_and_pruned_reads(spark, tmp_path):
+    from bizdiag.plans import imports
+
+    (tmp_path / "in").mkdir()
+    rows = ["日期,渠道,线索", "2024-05-30,网站,5", "2024-06-02,门店,NA", "2024/07/04,网站,9"]
+    (tmp_path / "in" / "x.csv").write_text("\n".join(rows) + "\n", encoding="gb18030")
+    path = str(tmp_path / "fact")
+    fields = {"date": "日期", "channel": "渠道", "leads": "线索"}
+    assert imports.import_csv(spark, str(tmp_path / "in"), fields, path) == 3
+    part = tables.read_fact(spark, path, start="2024-06-01", end="2024-06-30")
+    assert [(str(r.date), r.channel, r.leads) for r in part.collect()] == [("2024-06-02", "门店", None)]
+    plan = part._jdf.queryExecution().executedPlan().toString()
+    filters = plan[plan.index("PartitionFilters") :].split("]")[0]
+    assert "month" in filters and "2024-06" in filters
+    (tmp_path / "in" / "x.csv").write_text("\n".join([*rows, "坏,网站,1"]) + "\n", encoding="gb18030")
+    with pytest.raises(tables.QualityBlocked):
+        imports.import_csv(spark, str(tmp_path / "in"), fields, path)
+    assert tables.read_fact(spark, path).count() == 3
