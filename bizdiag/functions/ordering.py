@@ -18,16 +18,23 @@ _CELL_BITS = 9
 
 
 def value_cell(c: Column) -> Column:
-    """Integer cell which never decreases when ``c`` grows (256 cells per power of two).
+    """Integer cell which never decreases when ``c`` grows (256 cells per power of two, whatever the unit).
 
-    Only exact integer steps are used, so every executor assigns the same cell.
+    Only exact steps are used (products with powers of two, integers), so every executor assigns the
+    same cell.
     """
-    scaled = F.floor(F.greatest(F.least(c.cast("double") * 1e4, F.lit(9e18)), F.lit(-9e18)))
-    x = scaled.cast("bigint")
+    x = c.cast("double")
     size = F.abs(x)
-    bits = F.length(F.bin(size))
-    top = F.call_function("shiftright", size, F.greatest(bits - _CELL_BITS, F.lit(0)))
-    cell = bits.cast("bigint") * (1 << _CELL_BITS) + top
+    # each range of sizes is scaled to whole numbers of 31 to 62 bits; the first also holds 0
+    ranges = ((2.0**-30, 2.0**92), (2.0**2, 2.0**60), (2.0**34, 2.0**28))
+    scaled, number = F.least(size * 2.0**-2, F.lit(9e18)), F.lit(len(ranges))
+    for k, (below, factor) in reversed(list(enumerate(ranges))):
+        scaled = F.when(size < below, size * factor).otherwise(scaled)
+        number = F.when(size < below, k).otherwise(number)
+    whole = F.floor(scaled).cast("bigint")
+    bits = F.length(F.bin(whole))
+    top = F.call_function("shiftright", whole, F.greatest(bits - _CELL_BITS, F.lit(0)))
+    cell = (number.cast("bigint") * 64 + bits) * (1 << _CELL_BITS) + top
     return F.when(x < 0, -cell).otherwise(cell)
 
 

@@ -137,11 +137,15 @@ def _query_start(rule: Mapping, start: date) -> date:
 
 
 def _value_for_history(rule: Mapping, i: int) -> Column:
-    """Available value as an exact decimal; ratio values are rounded to nine decimals first."""
+    """Available value as an exact decimal; ratio values are rounded to nine decimals first.
+
+    A value too large for its exact sums (over 1e9 as a ratio) counts as absent, so that its rule is
+    skipped with ``no_data`` rather than the whole scan failing.
+    """
     ok, num, den = f"r{i}_c_status = '{AVAILABLE}'", f"r{i}_c_num", f"r{i}_c_den"
     if defs.metric(rule["metric_id"])["type"] == "ratio":
-        return F.expr(f"CAST(CASE WHEN {ok} THEN round({quotient(num, den)}, 9) END AS DECIMAL(18,9))")
-    return F.expr(f"CAST(CASE WHEN {ok} THEN {num} / CAST(100 AS DECIMAL(3,0)) END AS DECIMAL(20,2))")
+        return F.expr(f"TRY_CAST(CASE WHEN {ok} THEN round({quotient(num, den)}, 9) END AS DECIMAL(18,9))")
+    return F.expr(f"TRY_CAST(CASE WHEN {ok} THEN {num} / CAST(100 AS DECIMAL(3,0)) END AS DECIMAL(20,2))")
 
 
 def _window_columns(rule: Mapping, i: int, by_member, start: date) -> list[Column]:
@@ -153,7 +157,7 @@ def _window_columns(rule: Mapping, i: int, by_member, start: date) -> list[Colum
     if rule["method"] == "zscore":
         back = by_member.rangeBetween(-rule["history_window_days"], -1)
         x = F.col(f"{p}x")
-        square = (x * x).cast(f"decimal(38,{2 * _scale(rule)})")
+        square = (x * x).try_cast(f"decimal(38,{2 * _scale(rule)})")
         return out + [
             F.count(x).over(back).alias(f"{p}n"),
             F.sum(x).over(back).alias(f"{p}sx"),
@@ -188,9 +192,10 @@ def _judged(rule: Mapping, i: int) -> list[Column]:
     if rule["method"] == "zscore":
         # widths are chosen so that the products keep all their decimals
         n, scale = f"{p}n", _scale(rule)
-        sx = f"CAST({p}sx AS DECIMAL(18,{scale}))"
-        sxx = f"CAST({p}sxx AS DECIMAL(33,{2 * scale}))"
-        enough = f"{n} >= {rule['min_history_days']}"
+        sx = f"TRY_CAST({p}sx AS DECIMAL(18,{scale}))"
+        sxx = f"TRY_CAST({p}sxx AS DECIMAL(33,{2 * scale}))"
+        # sums that do not fit are as good as no history
+        enough = f"({n} >= {rule['min_history_days']} AND {sx} IS NOT NULL AND {sxx} IS NOT NULL)"
         spread = f"CAST(CAST({n} AS DECIMAL(4,0)) * {sxx} - {sx} * {sx} AS DOUBLE)"
         moves = f"coalesce({spread} > 0, false)"
         unit = f"CAST({10**scale} AS DECIMAL(10,0))"

@@ -84,6 +84,12 @@ def test_zscore_of_ratio(fact):
     assert row.z_score == pytest.approx(3.0, abs=1e-6)  # mean 0.4, deviation 0.2
 
 
+def test_zscore_of_huge_values_is_skipped_not_failed(fact):
+    rows = [dict(date=DAY[i], leads=1, gross_revenue=f"{10**8 + i}", refund_amount="0") for i in range(29)]
+    row = scan(fact(rows), DAY[28], {**ZSCORE, "metric_id": "revenue_per_lead"})[0]
+    assert (row.severity, row.skip_reason) == (None, "no_data")
+
+
 def test_summary_counts_members_without_data(fact):
     rule = {**RULE, "dimension": "channel"}
     rows = days([33] * 7 + [22], channel="web") + [dict(date=DAY[2], channel="shop", leads=4)]

@@ -5,7 +5,9 @@ import random
 import numpy as np
 import pytest
 
-from bizdiag.functions.ordering import quantiles, with_order_number, with_rank
+from pyspark.sql import functions as F
+
+from bizdiag.functions.ordering import quantiles, value_cell, with_order_number, with_rank
 
 
 def rows(seed, n, hot):
@@ -55,3 +57,14 @@ def test_order_number_splits_ties_by_label(spark):
     got = {r.k: r.n for r in with_order_number(df, [], "v", "k", "n").collect()}
     want = sorted(data, key=lambda r: (-r[1], r[0] is None, (r[0] or "").encode()))
     assert got == {k: i for i, (k, _) in enumerate(want, 1)}
+
+
+def test_cells_hold_few_values_whatever_the_unit(spark):
+    df = spark.range(200_000).select((F.col("id") / 4e11 + 5e-7).alias("v"))
+    cells = df.groupBy(value_cell(F.col("v")).alias("c")).count()
+    assert cells.agg(F.max("count")).first()[0] < 0.01 * 200_000
+    rng = random.Random(8)
+    values = sorted({0.0, *(rng.choice([-1, 1]) * 2.0 ** rng.uniform(-110, 70) for _ in range(4_000)), *(2.0**k for k in range(-100, 70)), 1e-300, -1e300})
+    got = {r.v: r.c for r in spark.createDataFrame([(v,) for v in values], "v double").select("v", value_cell(F.col("v")).alias("c")).collect()}
+    ordered = [got[v] for v in values]
+    assert ordered == sorted(ordered)
