@@ -179,10 +179,15 @@ def _(spark, sf):
 @query(
     "mapping_apply",
     """SELECT CAST(k AS VARCHAR) AS row_id, CASE WHEN o_orderpriority = '4-NOT SPECIFIED' THEN '  ' ELSE ' ' || o_orderpriority || ' ' || CHR(160) || CHR(12288) END AS channel,
-  CAST(o_custkey + CASE WHEN k % 73 = 4 THEN 5 ELSE -1 END AS VARCHAR) AS valid_leads FROM raw_cells""",
+  CAST(o_custkey + CASE WHEN k % 73 = 4 THEN 5 ELSE -1 END AS VARCHAR) AS valid_leads,
+  CASE WHEN k % 97 = 5 THEN '无效日期' WHEN k % 11 = 1 THEN STRFTIME(day, '%-m/%-d/%Y 00:00') WHEN k % 11 = 2 THEN STRFTIME(day, '%B %-d, %Y') WHEN k % 11 = 3 THEN STRFTIME(day, '%-d-%b-%Y')
+    WHEN k % 5 = 1 THEN STRFTIME(day, '%Y/%m/%d') WHEN k % 5 = 2 THEN CAST(DATE_DIFF('day', DATE '1899-12-30', day) AS VARCHAR) WHEN k % 5 = 3 THEN STRFTIME(day, ' %Y%m%d')
+    WHEN k % 5 = 4 THEN STRFTIME(day, '%Y-%m-%d 10:30:00') ELSE STRFTIME(day, '%Y-%m-%d') END AS date,
+  CASE WHEN k % 89 = 3 THEN '1.5' WHEN k % 83 = 2 THEN 'n/a' WHEN k % 7 = 0 THEN CAST(o_custkey + 1000 AS VARCHAR) || '.0' WHEN k % 79 = 1 THEN '-3' ELSE CAST(o_custkey AS VARCHAR) END AS leads,
+  CASE WHEN k % 71 = 6 THEN 'inf' WHEN k % 61 = 9 THEN '1e30' WHEN k % 3 = 0 THEN '¥' || CAST(price AS VARCHAR) WHEN k % 67 = 8 THEN '' ELSE CAST(price AS VARCHAR) END AS gross_revenue FROM raw_cells""",
 )
 def _(spark, sf):
-    return mapping.apply_mapping(raw_export(spark, sf), FIELDS, keep=["row_id"]).select("row_id", "channel", "valid_leads")
+    return mapping.apply_mapping(raw_export(spark, sf), FIELDS, keep=["row_id"])
 
 
 @query(
@@ -350,17 +355,19 @@ def _(spark, sf):
 
 @query(
     "profile_duplicate_rows",
-    "SELECT CAST(SUM(n) AS BIGINT) AS row_count, CAST(SUM(n - 1) AS BIGINT) AS duplicate_rows FROM (SELECT COUNT(*) AS n FROM lineitem GROUP BY l_partkey, l_quantity, l_returnflag, l_linestatus) AS t",
+    "SELECT CAST(SUM(n) AS BIGINT) AS row_count, CAST(SUM(n - 1) AS BIGINT) AS duplicate_rows FROM (SELECT COUNT(*) AS n FROM (SELECT * FROM lineitem UNION ALL SELECT * FROM lineitem WHERE l_orderkey % 7 = 0) AS l GROUP BY ALL) AS t"
+    .replace("GROUP BY ALL", "GROUP BY " + ", ".join(LINE_COLUMNS)),
 )
 def _(spark, sf):
-    return edge(profile.duplicate_rows(table(spark, sf, "lineitem").select("l_partkey", "l_quantity", "l_returnflag", "l_linestatus")))
+    lines = table(spark, sf, "lineitem")  # whole rows, some of them twice
+    return edge(profile.duplicate_rows(lines.unionByName(lines.where("l_orderkey % 7 = 0"))))
 
 
 def _sample_sql(c: str) -> str:
     text = f"CASE WHEN REGEXP_MATCHES({c}, '1\\d{{10}}') THEN '<PHONE_MASKED>' WHEN LENGTH({c}) > 40 THEN SUBSTRING({c}, 1, 37) || '...' ELSE {c} END"
-    return f"SELECT '{c}' AS field, CAST(rn AS BIGINT) AS position, {text} AS sample FROM (SELECT {c}, ROW_NUMBER() OVER (ORDER BY {c}) AS rn FROM (SELECT DISTINCT {c} FROM customer) AS d) AS t WHERE rn <= 3"
+    return f"SELECT '{c}' AS field, CAST(rn AS BIGINT) AS position, {text} AS sample FROM (SELECT {c}, ROW_NUMBER() OVER (ORDER BY {c}) AS rn FROM (SELECT DISTINCT CAST({c} AS VARCHAR) AS {c} FROM customer) AS d) AS t WHERE rn <= 3"
 
 
-@query("profile_masked_samples", f"{_sample_sql('c_name')} UNION ALL {_sample_sql('c_mktsegment')}")
+@query("profile_masked_samples", " UNION ALL ".join(_sample_sql(c) for c in ("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment")))
 def _(spark, sf):
-    return edge(profile.masked_samples(table(spark, sf, "customer").select("c_name", "c_mktsegment")))
+    return edge(profile.masked_samples(table(spark, sf, "customer")))
