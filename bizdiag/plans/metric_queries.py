@@ -553,7 +553,22 @@ def anomaly_events(spark, sf):
     return edge(ev, "event_id", "severity", "current_value", "baseline_value", "delta", "relative_change", "percentage_point_change")
 
 
-@query("anomaly_event_evidence")
+def _by_rule(part) -> str:
+    return "CASE rule_id " + " ".join(f"WHEN '{r['id']}' THEN '{part(r)}'" for r in RULES) + " END"
+
+
+def _percent_sql(c: str, sign: str = "", unit: str = "%") -> str:
+    return f"FORMAT('{{:{sign}.2f}}{unit}', ROUND(100 * {c}, 2))"
+
+
+@query(
+    "anomaly_event_evidence",
+    f"""SELECT rule_id || '|' || CAST(date AS VARCHAR) || '|' || COALESCE(dimension_value, '<NULL>') AS event_id,
+  CAST(date AS VARCHAR) || ' ' || {_by_rule(lambda r: r['dimension'])} || '=' || COALESCE(dimension_value, 'None') || '的' || {_by_rule(lambda r: defs.metric(r['metric_id'])['name'])}
+  || '为' || {_percent_sql('current_value')} || '，过去7日基线为' || {_percent_sql('baseline_value')} || COALESCE('，相对变化' || {_percent_sql('relative_change', '+')}, '')
+  || COALESCE('，百分点变化' || {_percent_sql('percentage_point_change', '+', 'pct')}, '') || '。' AS evidence
+FROM ({SCAN_ALL}) AS s WHERE severity IS NOT NULL""",
+)
 def _(spark, sf):
     ev = anomaly.events(anomaly.evaluate_rules(scan_fact(spark, sf), START, END, RULES))
     return edge(ev, "event_id", "evidence")
@@ -568,6 +583,9 @@ def diagnosed(spark, sf, filters=None):
 
 
 _EV = f"SELECT rule_id || '|' || CAST(date AS VARCHAR) || '|' || COALESCE(dimension_value, '<NULL>') AS event_id, rule_id, date, dimension_value AS m FROM ({SCAN_ALL}) AS s WHERE severity IS NOT NULL"
+# each event with its day and the same day a week before, so that the fact is joined by equality
+_EV = f"WITH e0 AS MATERIALIZED ({_EV}) SELECT * FROM e0"
+_EV2 = "ev2 AS MATERIALIZED (SELECT *, date AS rd FROM ev WHERE m IS NOT NULL UNION ALL SELECT *, CAST(date - INTERVAL 7 DAY AS DATE) AS rd FROM ev WHERE m IS NOT NULL)"
 _PAIRS = (
     ("channel_valid_lead_rate_drop", "channel", ("valid_leads", "leads"), ("business_line", "product", "team", "salesperson")),
     ("team_conversion_rate_drop", "team", ("paid_users", "valid_leads"), ("business_line", "product", "channel", "salesperson")),
@@ -583,7 +601,7 @@ def _observed_sql() -> str:
   CASE WHEN COUNT(f.{p}) FILTER (WHERE f.date = e.date) > 0 THEN 'available' ELSE 'unavailable_no_data' END AS current_status,
   CASE WHEN COUNT(f.{p}) FILTER (WHERE f.date < e.date) > 0 THEN 'available' ELSE 'unavailable_no_data' END AS baseline_status,
   SUM(f.{p}) FILTER (WHERE f.date = e.date) AS c, SUM(f.{p}) FILTER (WHERE f.date < e.date) AS b
-FROM (SELECT * FROM ev WHERE rule_id = '{rule}' AND m IS NOT NULL) AS e LEFT JOIN f_daily AS f ON f.{dim} = e.m AND f.date IN (e.date, e.date - INTERVAL 7 DAY) GROUP BY 1""")
+FROM (SELECT * FROM ev2 WHERE rule_id = '{rule}') AS e LEFT JOIN f_daily AS f ON f.{dim} = e.m AND f.date = e.rd GROUP BY 1""")
     union = " UNION ALL ".join(out)
     return f"""SELECT event_id, position, metric_id, current_status, baseline_status, CAST(c AS DOUBLE) AS current_value, CAST(b AS DOUBLE) AS baseline_value,
   CAST(c - b AS DOUBLE) AS delta, CAST(CAST((c - b) * 100 AS HUGEINT) AS DOUBLE) / NULLIF(CAST(CAST(b * 100 AS HUGEINT) AS DOUBLE), 0) AS relative_change,
@@ -592,7 +610,7 @@ FROM (SELECT * FROM ev WHERE rule_id = '{rule}' AND m IS NOT NULL) AS e LEFT JOI
 
 def _with_events(body: str) -> str:
     """The events as a leading table of the query."""
-    return f"SELECT * FROM (WITH ev AS ({_EV}) {body}) AS q"
+    return f"SELECT * FROM (WITH ev AS MATERIALIZED ({_EV}), {_EV2} {body}) AS q"
 
 
 @query("diagnosis_observations", _with_events(_observed_sql()))
@@ -613,14 +631,14 @@ def _drill_sql() -> str:
                 out.append(f"""SELECT e.event_id, '{p}' AS metric_id, '{c}' AS dimension, f.{c} AS v,
   COUNT(*) FILTER (WHERE f.date = e.date) AS cr, COUNT(f.{p}) FILTER (WHERE f.date = e.date) AS ck, COALESCE(SUM(f.{p}) FILTER (WHERE f.date = e.date), 0) AS c,
   COUNT(*) FILTER (WHERE f.date < e.date) AS br, COUNT(f.{p}) FILTER (WHERE f.date < e.date) AS bk, COALESCE(SUM(f.{p}) FILTER (WHERE f.date < e.date), 0) AS b
-FROM (SELECT * FROM ev WHERE rule_id = '{rule}' AND m IS NOT NULL) AS e JOIN f_daily AS f ON f.{dim} = e.m AND f.date IN (e.date, e.date - INTERVAL 7 DAY) GROUP BY 1, 4""")
+FROM (SELECT * FROM ev2 WHERE rule_id = '{rule}') AS e JOIN f_daily AS f ON f.{dim} = e.m AND f.date = e.rd GROUP BY 1, 4""")
     union = " UNION ALL ".join(out)
     return f"""SELECT event_id, metric_id, dimension, v, CAST(c AS DECIMAL(24,2)) AS c, CAST(b AS DECIMAL(24,2)) AS b,
   BOOL_OR((cr > 0 AND ck = 0) OR (br > 0 AND bk = 0)) OVER g AS bad, SUM(ck) OVER g AS ckk, SUM(bk) OVER g AS bkk, BOOL_AND(v IS NULL) OVER g AS unnamed
 FROM ({union}) AS u WINDOW g AS (PARTITION BY event_id, metric_id, dimension)"""
 
 
-_findings = f"""WITH seg AS ({_drill_sql()}),
+_findings = f"""WITH seg AS MATERIALIZED ({_drill_sql()}),
 found AS (SELECT *, c - b AS delta FROM seg WHERE NOT bad AND ckk > 0 AND bkk > 0 AND NOT unnamed)
 SELECT event_id, metric_id, dimension, kind, CAST(rn AS BIGINT) AS position, v AS dimension_value, CAST(c AS DOUBLE) AS current_value, CAST(b AS DOUBLE) AS baseline_value, CAST(delta AS DOUBLE) AS delta
 FROM (SELECT *, 'movement' AS kind, ROW_NUMBER() OVER (PARTITION BY event_id, metric_id, dimension ORDER BY ABS(delta) DESC, v ASC NULLS LAST) AS rn FROM found
@@ -628,7 +646,7 @@ UNION ALL SELECT *, 'increase' AS kind, ROW_NUMBER() OVER (PARTITION BY event_id
 UNION ALL SELECT *, 'decrease' AS kind, ROW_NUMBER() OVER (PARTITION BY event_id, metric_id, dimension ORDER BY ABS(delta) DESC, v ASC NULLS LAST) AS rn FROM found WHERE delta < 0) AS r WHERE rn <= 3"""
 
 
-@query("diagnosis_findings", f"SELECT * FROM (WITH ev AS ({_EV}) SELECT * FROM ({_findings}) AS z) AS q")
+@query("diagnosis_findings", _with_events(f"SELECT * FROM ({_findings}) AS z"))
 def _(spark, sf):
     d = diagnosed(spark, sf)
     return edge(
@@ -642,7 +660,7 @@ def _status_sql() -> str:
         f"SELECT event_id, '{p}' AS metric_id, '{c}' AS dimension FROM ev WHERE rule_id = '{rule}' AND m IS NOT NULL"
         for rule, _d, parts, cands in _PAIRS for p in parts for c in cands
     )
-    return f"""WITH obs AS ({_observed_sql()}), seg AS ({_drill_sql()}),
+    return f"""WITH obs AS MATERIALIZED ({_observed_sql()}), seg AS MATERIALIZED ({_drill_sql()}),
 ok AS (SELECT event_id, COUNT(*) AS n_obs, COUNT(*) FILTER (WHERE current_status = 'available' AND baseline_status = 'available') AS n_ok FROM obs GROUP BY 1),
 tried AS (SELECT DISTINCT event_id, metric_id, dimension, NOT bad AND ckk > 0 AND bkk > 0 AND NOT unnamed AS good FROM seg),
 att AS (SELECT a.event_id, COUNT(*) AS n_try, COUNT(*) FILTER (WHERE COALESCE(t.good, FALSE)) AS n_good FROM ({attempts}) AS a LEFT JOIN tried AS t ON t.event_id = a.event_id AND t.metric_id = a.metric_id AND t.dimension = a.dimension GROUP BY 1)
@@ -652,7 +670,7 @@ SELECT e.event_id, CASE WHEN e.m IS NULL THEN 'insufficient_data' WHEN n_ok = 0
 FROM ev AS e LEFT JOIN ok ON ok.event_id = e.event_id LEFT JOIN att ON att.event_id = e.event_id"""
 
 
-@query("diagnosis_results", f"SELECT * FROM (WITH ev AS ({_EV}) SELECT * FROM ({_status_sql()}) AS z) AS q")
+@query("diagnosis_results", _with_events(f"SELECT * FROM ({_status_sql()}) AS z"))
 def diagnosis_results(spark, sf):
     d = diagnosed(spark, sf)
     return edge(d.results, "event_id", "status", "available_observations", "finding_count", "skipped_count")
