@@ -8,10 +8,11 @@ the more alike two sets are. Bands of registers give candidate buckets. Candidat
 jointly by the likelihood of their greater, lesser and equal registers given both set sizes, and what
 is not clearly below the threshold is verified on the full sets.
 
-Equal sets are one node. Within a bucket, all are first compared with the bucket's smallest node;
-linked ones form components. Only buckets that still hold several components are compared further,
-in blocks and across components alone, since links within a component change nothing. So copies cost
-one comparison each, yet no link between components is lost to a cap.
+Equal sets are one node. A first pass over a few bands compares each node with the smallest one that it
+shares a bucket with; linked ones form components. Links within a component change nothing, so from
+then on only buckets that hold several components are looked at: first all of a bucket against its
+smallest node, then, in blocks, everything across the components that are left. So near copies cost
+about one comparison each, yet no link between components is lost to a cap.
 
 Null and blank texts have an empty set and no links. Rows with the same id are one node. Rows without
 id are never linked; they are kept, with a null component.
@@ -33,6 +34,8 @@ from bizdiag.llm.components import components
 
 WORDS = 5
 BANDS, BAND = 32, 5
+#: Bands of the first pass, which finds most links.
+FIRST_BANDS = 8
 REGISTERS = BANDS * BAND
 BASE, RATE = 1.2, 20.0
 #: A pair at the threshold is estimated this far below it about once in 100,000 times.
@@ -151,35 +154,129 @@ def _relabelled(rows: DataFrame, found: DataFrame, column: str, into: str) -> Da
     return rows.join(named, F.col(column) == F.col("_id"), "left").withColumn(into, F.coalesce("_component", column)).drop("_id", "_component")
 
 
-def _across(rows: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) in question of different components in the same bucket. rows: key, id, comp, n, regs."""
+def _bucketed(nodes: DataFrame, bands: int) -> DataFrame:
+    """(key, id, comp): each node in the buckets of its first ``bands`` bands."""
+
+    def run(batches):
+        for p in batches:
+            if p.num_rows:
+                keys = band_keys(_matrix(p.column("regs")))[:, :bands]
+                own = [pa.array(np.repeat(p.column(c).to_numpy(), bands)) for c in ("id", "comp")]
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), *own], names=["key", "id", "comp"])
+
+    return nodes.select("id", "comp", "regs").mapInArrow(run, "key long, id long, comp long")
+
+
+def _mixed(rows: DataFrame) -> DataFrame:
+    """(key, hub): buckets that hold several components, and their smallest node."""
+    sides = rows.groupBy("key").agg(F.min("id").alias("hub"), F.min("comp").alias("x"), F.max("comp").alias("y"))
+    return sides.filter("x <> y").select("key", "hub")
+
+
+def _blocks(rows: DataFrame) -> DataFrame:
+    """``rows`` (key, id, ...) dealt to pairs (i, j) of blocks of their bucket; each pair of rows meets in one."""
     sized = rows.join(rows.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "key")
     own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = sized.withColumn("own", own).withColumn("other", other).select(
-        "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "comp", "n", "regs"
-    )
-    ready = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "id")
-
-    def compare(block: pa.Table):
-        ids, comp, n, own_ = (block.column(c).to_numpy() for c in ("id", "comp", "n", "own"))
-        if len(ids) < 2 or (comp == comp[0]).all():
-            return
-        regs = _matrix(block.column("regs"))
-        i, j = block.column("i")[0].as_py(), block.column("j")[0].as_py()
-        for x in range(len(ids) - 1):
-            y = np.arange(x + 1, len(ids))
-            y = y[(comp[y] != comp[x]) & ((i == j) | (own_[y] != own_[x]))]
-            y = y[(regs[y] == regs[x]).sum(1) > REGISTERS // 2]  # far below any pair in question
-            if len(y):
-                k = np.full(len(y), x)
-                y = y[_likely(regs[k], regs[y], n[k], n[y], percent)]
+    dealt = sized.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return dealt.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).drop("blocks", "other")
+
+
+def _in_question(rows: DataFrame, percent: int) -> DataFrame:
+    """(key, i, j, own, id, comp): rows of blocks that have a likely partner of another component there.
+
+    rows: key, id, comp, n, regs. A pair counts in the bucket of the first band that it shares.
+    """
+    ready = _blocks(rows).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "id")
+
+    def run(batches):
+        for block in groups(batches, ["key", "i", "j"]):
+            ids, comp, n, own = (block.column(c).to_numpy() for c in ("id", "comp", "n", "own"))
+            if len(ids) < 2 or (comp == comp[0]).all():
+                continue
+            regs, band = _matrix(block.column("regs")), block.column("key")[0].as_py() >> 8 * BAND
+            within = block.column("i")[0] == block.column("j")[0]
+            wanted = np.zeros(len(ids), bool)
+            for x in range(len(ids) - 1):
+                y = np.arange(x + 1, len(ids))
+                y = y[(comp[y] != comp[x]) & (within | (own[y] != own[x]))]
+                same = regs[y] == regs[x]
+                ok = same.sum(1) > REGISTERS // 2  # far below any pair in question
+                y, same = y[ok], same[ok]
+                y = y[same.reshape(-1, BANDS, BAND).all(2).argmax(1) == band]
                 if len(y):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(y), ids[x])), pa.array(ids[y])], names=["a", "b"])
+                    k = np.full(len(y), x)
+                    y = y[_likely(regs[k], regs[y], n[k], n[y], percent)]
+                    wanted[y] = True
+                    wanted[x] |= len(y) > 0
+            if wanted.any():
+                yield block.select(["key", "i", "j", "own", "id", "comp"]).filter(pa.array(wanted)).to_batches()[0]
+
+    return ready.mapInArrow(run, "key long, i int, j int, own int, id long, comp long")
+
+
+def _short_sets(texts: DataFrame) -> DataFrame:
+    """(id, n, short): the set's size, and its hashes cut to 32 bits."""
+
+    def run(batches):
+        for p in chunks(batches):
+            sets = [shingles(t) for t in p.column("text").to_pylist()]
+            short = [np.unique((s >> np.uint64(32)).astype("<u4")).tobytes() for s in sets]
+            yield pa.RecordBatch.from_arrays([p.column("id"), pa.array(map(len, sets), pa.int64()), pa.array(short, pa.binary())], names=["id", "n", "short"])
+
+    return texts.mapInArrow(run, "id long, n long, short binary")
+
+
+def overlaps(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all pairs of sets, by products of their incidence matrix."""
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = np.flatnonzero(count > 1)
+    place = np.full(len(count), -1)
+    place[shared] = np.arange(len(shared))
+    at = place[column]
+    out = np.zeros((len(sets), len(sets)), np.float32)
+    for start in range(0, len(shared), 4_096):
+        part = (at >= start) & (at < start + 4_096)
+        table = np.zeros((len(sets), min(4_096, len(shared) - start)), np.float32)
+        table[owner[part], at[part] - start] = 1
+        out += table @ table.T
+    return out.astype(np.int64)
+
+
+def _across(rows: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) that join components of the same bucket: of all that reach the threshold, a spanning forest of each block.
+
+    Nothing is emitted for each pair: blocks get the sets of their rows and compare them on the spot, by
+    32 bits of each hash and so that no pair is missed. What they find is yet to be verified.
+    """
+    wanted = written(_in_question(rows, percent))
+    sets = _short_sets(texts.join(wanted.select("id").distinct(), "id"))
+    ready = wanted.join(sets, "id").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "id")
 
     def run(batches):
         for block in groups(batches, ["key", "i", "j"]):
-            yield from compare(block)
+            ids, comp, n = (block.column(c).to_numpy() for c in ("id", "comp", "n"))
+            sets_ = [np.frombuffer(x, "<u4") for x in block.column("short").to_pylist()]
+            lost = n - np.array([len(x) for x in sets_])  # hashes of a set that became one
+            both = overlaps(sets_) + np.minimum(lost[:, None], lost[None, :])
+            hit = (100 * both >= percent * (n[:, None] + n[None, :] - both)) & (comp[:, None] < comp[None, :])
+            x, y = np.nonzero(hit)
+            parent: dict[int, int] = {}
+
+            def root(c):
+                while c in parent:
+                    c = parent[c]
+                return c
+
+            _, first = np.unique(np.stack([comp[x], comp[y]], 1), axis=0, return_index=True)
+            pairs = []
+            for k in first:
+                p, q = root(int(comp[x[k]])), root(int(comp[y[k]]))
+                if p != q:
+                    parent[max(p, q)] = min(p, q)
+                    pairs.append((int(ids[x[k]]), int(ids[y[k]])))
+            if pairs:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*pairs)], names=["a", "b"])
 
     return ready.mapInArrow(run, "a long, b long").distinct()
 
@@ -199,31 +296,30 @@ def near_duplicates(docs: DataFrame, percent: int = 75, key: str = "doc_id", tex
     same = members.join(shared, "id").filter("rep <> b").select(F.col("rep").alias("a"), "b")
     nodes = written(known.join(classes, "print").filter("id = rep").groupBy("print").agg(F.first("id").alias("id"), F.first("n").alias("n"), F.first("regs").alias("regs")).select("id", "n", "regs"))
 
-    def bands(batches):
-        for p in batches:
-            if p.num_rows:
-                keys = band_keys(_matrix(p.column("regs")))
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(p.column("id").to_numpy(), BANDS))], names=["key", "id"])
-
-    rows = nodes.select("id", "regs").mapInArrow(bands, "key long, id long")
-    full = rows.groupBy("key").agg(F.min("id").alias("hub"), F.count("*").alias("size")).filter("size > 1").select("key", "hub")
-    shared_rows = written(rows.join(full, "key").filter("id <> hub"))
     texts = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).filter("id is not null and text is not null")
     if known.groupBy("id").count().filter("count > 1").limit(1).count():
         texts = texts.distinct()  # else rows that repeat an id would meet each other's repeats
-    likely = written(_estimated(shared_rows.select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct(), nodes, percent))
 
-    first = likely.groupBy("b").agg(F.min("a").alias("a"))
+    # a few bands: each node against the smallest one that it shares a bucket with
+    rows = _bucketed(nodes.withColumn("comp", F.col("id")), FIRST_BANDS)
+    full = rows.groupBy("key").agg(F.min("id").alias("hub"), F.count("*").alias("size")).filter("size > 1").select("key", "hub")
+    pairs = rows.join(full, "key").filter("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
+    first = _estimated(pairs, nodes, percent).groupBy("b").agg(F.min("a").alias("a"))
     links = written(_verified(first.select("a", "b"), texts, percent))
     found = components(links.unionByName(same))
-    rest = _relabelled(_relabelled(likely, found, "a", "ca"), found, "b", "cb").filter("ca <> cb").select("a", "b")
-    links = written(links.unionByName(_verified(rest, texts, percent)))
+
+    # all bands, but only buckets that hold several components: each node against the smallest one there
+    rows = _bucketed(_relabelled(nodes, found, "id", "comp"), BANDS)
+    open_rows = written(rows.join(_mixed(rows), "key"))
+    pairs = open_rows.filter("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
+    pairs = _relabelled(_relabelled(pairs, found, "a", "ca"), found, "b", "cb").filter("ca <> cb").select("a", "b")
+    links = written(links.unionByName(_verified(_estimated(pairs, nodes, percent), texts, percent)))
     found = components(links.unionByName(same))
 
-    compared = _relabelled(shared_rows, found, "id", "comp")
-    mixed = compared.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("key")
-    open_rows = compared.join(mixed, "key").join(nodes, "id").select("key", "id", "comp", "n", "regs")
-    more = _verified(_across(open_rows, percent), texts, percent)
+    # buckets that still hold several: everything across their components
+    rows = _relabelled(open_rows.select("key", "id"), found, "id", "comp")
+    open_rows = rows.join(_mixed(rows).select("key"), "key").join(nodes, "id").select("key", "id", "comp", "n", "regs")
+    more = _verified(_across(open_rows, texts, percent), texts, percent)
     found = components(links.unionByName(more).unionByName(same))
 
     labelled = _relabelled(every.join(classes, "print", "left"), found, "rep", "component")

@@ -125,9 +125,11 @@ def unpack(raw: bytes):
     """Arrays of the windows of packed strings: two hashes, document, mark and position."""
     n = int(np.frombuffer(raw, "<i8", 1)[0])
     doc, mark, at = np.cumsum(np.frombuffer(raw, "<i8", n, 8)), np.frombuffer(raw, "<i4", n, 8 + 8 * n), np.frombuffer(raw, "<i4", n, 8 + 12 * n)
-    lists = [x.split(b" ") for x in raw[8 + 16 * n :].split(b"\n")]
-    count = np.array([len(x) for x in lists])
-    h = W.hashes(lists)
+    text = raw[8 + 16 * n :]
+    marks = np.frombuffer(text, np.uint8)
+    marks = marks[(marks == 32) | (marks == 10)]  # a blank between words, a line feed between strings
+    count = np.diff(np.r_[-1, np.flatnonzero(marks == 10), len(marks)])
+    h = W.hashes([text.split()])
     windows = count - WINDOW + 1
     inside = np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)
     where = np.repeat(np.cumsum(count) - count, windows) + inside

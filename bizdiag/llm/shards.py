@@ -99,6 +99,34 @@ def _intervals(ends: DataFrame, ranges: list[tuple[int, int]]) -> list[tuple[int
     return [tuple(r)[2:] for r in cells.collect()]
 
 
+def evened(ends: DataFrame, cuts: list[int], capacity: int) -> list[int]:
+    """The same number of shards with even sizes between the oversize groups, where the capacity allows that.
+
+    Greedy cuts fill each shard up and leave what remains to the last; here each run of shards is cut at
+    the group ends next below equal parts of it.
+    """
+    runs, at = [], 0
+    for cut in cuts:
+        if cut - at > capacity:
+            runs.append([at, cut])  # one group
+        elif runs and runs[-1][-1] == at and runs[-1][-1] - runs[-1][-2] <= capacity:
+            runs[-1].append(cut)
+        else:
+            runs.append([at, cut])
+        at = cut
+    parts = [run[0] + (run[-1] - run[0]) * i // (len(run) - 1) for run in runs for i in range(1, len(run) - 1)]
+    if not parts:
+        return cuts
+    found = dict(zip(parts, ends.agg(*[F.max(F.when(F.col("end") <= x, F.col("end"))) for x in parts]).first()))
+    out = []
+    for run in runs:
+        count = len(run) - 1
+        even = [found[run[0] + (run[-1] - run[0]) * i // count] for i in range(1, count)] + [run[-1]]
+        sizes = [b - (a or 0) for a, b in zip([run[0], *even], even) if b is not None]
+        out += even if len(sizes) == count and min(sizes) > 0 and max(sizes) <= capacity else run[1:]
+    return out
+
+
 def minimax_cuts(ends: DataFrame, shards: int, total: int) -> tuple[int, list[int]]:
     """The smallest capacity and the shards' ends. ``ends``: one row (size, end) for each group, sizes over 0."""
     largest = ends.orderBy(F.desc("size"), "end").limit(shards).collect()
@@ -112,7 +140,7 @@ def minimax_cuts(ends: DataFrame, shards: int, total: int) -> tuple[int, list[in
         state = Ends(*([x[i] for x in known] for i in range(3)), large)
         low, high = state.smallest(shards, total, True), state.smallest(shards, total, False)
         if low == high:
-            return high, state.greedy(high, shards, total, False)
+            return high, evened(ends, state.greedy(high, shards, total, False), high)
         ranges = state.open_ranges(low, high, shards, total)
 
 

@@ -38,14 +38,23 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 def grams(h: np.ndarray, n: int, seed: int) -> np.ndarray:
-    """A hash of each run of ``n`` hashes; there are ``len(h) - n + 1``."""
-    size = max(0, len(h) - n + 1)
-    out = np.zeros(size, np.uint64)
-    factor = np.uint64(0x9E3779B97F4A7C15 + 2 * seed)
-    for k in range(n):
-        out *= factor
-        out += h[k : k + size]
-    return mixed(out)
+    """A hash of each run of ``n`` hashes; there are ``len(h) - n + 1``.
+
+    A polynomial in the hashes, put together from runs of 1, 2, 4, ... of them.
+    """
+    if len(h) < n:
+        return h[:0]
+    power, span, part = 0x9E3779B97F4A7C15 + 2 * seed, 1, h  # factor to the span; hashes of runs of the span
+    out, done = None, 0
+    while True:
+        if n & span:
+            size = len(h) - done - span + 1
+            out = part if out is None else out[:size] * np.uint64(power) + part[done : done + size]
+            done += span
+        if done == n:
+            return mixed(out)
+        part = part[:-span] * np.uint64(power) + part[span:]
+        power, span = power * power % (1 << 64), 2 * span
 
 
 def least(x: np.ndarray, n: int) -> np.ndarray:
