@@ -11,7 +11,7 @@ import os
 import time
 from pathlib import Path
 
-from bizdiag.functions.lineage import written
+from bizdiag.functions.lineage import release, written
 from bizdiag.operators import anomaly, contribution, diagnosis, metrics, trend
 from bizdiag.plans import registry
 from bizdiag.plans.metric_queries import END, RULES, START
@@ -68,6 +68,7 @@ def main() -> None:
             }
         )
     )
+    release(spark)
     spark.stop()
 
 

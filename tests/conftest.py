@@ -8,11 +8,13 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
 @pytest.fixture(scope="session")
 def spark():
+    from bizdiag.functions.lineage import release
     from bizdiag.session import local_session
 
     session = local_session(8, "bizdiag-tests", "6g")
     session.conf.set("spark.sql.shuffle.partitions", "4")
     yield session
+    release(session)
     session.stop()
 
 
