@@ -61,6 +61,8 @@ FLAG_ORDER = (
 ZERO = "decimal(18,2)"
 #: Quantities, prices and amounts before any check: money is rounded only in results.
 UNROUNDED = "decimal(24,6)"
+#: Parts of the lines of a merchant that have no order id.
+SPREAD = 64
 
 
 def zero() -> Column:
@@ -129,11 +131,14 @@ def customer_conflicts(items: DataFrame) -> DataFrame:
 
 
 def _marked(items: DataFrame, keys: DataFrame, on: Sequence[str], flag: str) -> DataFrame:
-    """Flag lines whose key is in a set of distinct keys."""
+    """Flag lines whose key is in a set of distinct keys; NULL keys match nothing.
+
+    Lines with a NULL key are spread by a hash of the line, instead of meeting in one task for nothing.
+    """
     marks = keys.select(*[F.col(k).alias(f"_m_{k}") for k in on], F.lit(True).alias("_hit"))
-    match = F.lit(True)
+    match, apart = F.lit(True), F.concat(F.lit("\0"), F.xxhash64(*items.columns).cast("string"))
     for k in on:
-        match = match & (F.col(k) == F.col(f"_m_{k}"))
+        match = match & (F.coalesce(F.col(k), apart) == F.col(f"_m_{k}"))
     return (
         items.join(marks, match, "left")
         .withColumn(flag, F.coalesce("_hit", F.lit(False)))
@@ -144,15 +149,19 @@ def _marked(items: DataFrame, keys: DataFrame, on: Sequence[str], flag: str) ->
 def with_order_totals(items: DataFrame, amount: str = "policy_purchase_amount") -> DataFrame:
     """Order sum, whether the order counts, and whether an order crosses dates.
 
-    One aggregate per order is joined back; lines without an order id form one group, as NULL.
+    One aggregate per order is joined back; lines without an order id form one group, as NULL, whose
+    total goes to ``SPREAD`` parts of those lines.
     """
     totals = items.groupBy("merchant_key", "order_id").agg(
         F.sum(amount).cast("decimal(24,2)").alias("order_purchase_amount"),
         F.coalesce(F.min("order_date") != F.max("order_date"), F.lit(False)).alias("_crosses"),
     )
     totals = totals.withColumnsRenamed({"merchant_key": "_m", "order_id": "_o"})
-    same = (F.col("merchant_key") == F.col("_m")) & F.col("order_id").eqNullSafe(F.col("_o"))
     has_id = F.col("order_id").isNotNull()
+    parts = F.when(F.col("_o").isNull(), F.sequence(F.lit(0), F.lit(SPREAD - 1))).otherwise(F.array(F.lit(0)))
+    totals = totals.withColumn("_p", F.explode(parts))
+    part = F.when(has_id, F.lit(0)).otherwise(F.pmod(F.xxhash64(*items.columns), F.lit(SPREAD)).cast("int"))
+    same = F.col("merchant_key").eqNullSafe(F.col("_m")) & F.col("order_id").eqNullSafe(F.col("_o")) & (part == F.col("_p"))
     return (
         items.join(totals, same)
         .withColumns(
@@ -162,7 +171,7 @@ def with_order_totals(items: DataFrame, amount: str = "policy_purchase_amount")
                 "dq_zero_amount_order": has_id & (F.col("order_purchase_amount") == 0),
             }
         )
-        .drop("_m", "_o", "_crosses")
+        .drop("_m", "_o", "_p", "_crosses")
     )
 
 
