@@ -84,16 +84,29 @@ def test_near_duplicates(spark, corpus):
     assert near_text.near_duplicates(frame(spark, corpus).limit(0)).count() == 0
 
 
-def test_buckets_are_compared_across_components(spark, monkeypatch, corpus):
-    """Small blocks give the same pairs as one block."""
+@pytest.mark.parametrize("block", [256, 16])
+def test_buckets_are_compared_across_components(spark, monkeypatch, corpus, block):
+    """What a block finds joins the same components as all pairs that reach the threshold."""
+    monkeypatch.setattr(near_text, "BLOCK", block)
     rows = [r for r in corpus if r[0] is not None and r[0] >= 160 and text_set(r[1])]
     sets = [near_text.shingles(t) for _, t, *_ in rows]
     regs = near_text.registers(sets)
-    data = [(7, r[0], r[0] % 3, len(s), bytearray(x.tobytes())) for r, s, x in zip(rows, sets, regs)]
+    keys = near_text.band_keys(regs)
+    data = [(int(k), r[0], r[0], len(s), bytearray(x.tobytes())) for r, s, x, own in zip(rows, sets, regs, keys) for k in own]
     df = spark.createDataFrame(data, "key long, id long, comp long, n long, regs binary")
-    whole = {tuple(r) for r in near_text._across(df, 75).collect()}
-    monkeypatch.setattr(near_text, "BLOCK", 16)
-    assert {tuple(sorted(r)) for r in near_text._across(df, 75).collect()} == {tuple(sorted(r)) for r in whole} and whole
+    texts = spark.createDataFrame([r[:2] for r in rows], "id long, text string")
+    links = [tuple(r) for r in near_text._across(df, texts, 75).collect()]
+    full = {r[0]: text_set(r[1]) for r in rows}
+    assert all(100 * len(full[a] & full[b]) >= 75 * len(full[a] | full[b]) for a, b in links)
+    got = {r.id: r.component for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert all(got.get(i, i) == c for i, c in brute_components(rows).items())
+
+
+def test_overlaps():
+    rng = np.random.default_rng(4)
+    sets = [np.unique(rng.integers(0, 9_000, n)).astype(np.uint32) for n in (5, 6_000, 5_000, 1, 7_000)]
+    got = near_text.overlaps(sets)
+    assert all(got[i, j] == len(np.intersect1d(a, b)) for i, a in enumerate(sets) for j, b in enumerate(sets) if i != j)
 
 
 def test_sketches_merge_and_estimate():
