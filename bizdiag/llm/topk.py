@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bizdiag.llm.batches import groups, splits
-from bizdiag.llm.vectors import matrix, numbers, usable
+from bizdiag.llm.vectors import matrix, usable
 
 BLOCK_ROWS = 16_384
 CHUNK_QUERIES = 8_192
@@ -40,12 +40,12 @@ class Index:
         self.rows = rows.astype(np.int64) if self.kind is not object else np.array([[int(x) for x in r] for r in rows.tolist()], object)
         size = np.abs(rows)
         edges = [np.inf, *np.quantile(size, 1 - np.cumsum(SEGMENTS)[:-1], method="higher"), -1.0]
-        self.segments, rest = [], size
+        whole = self.rows.astype(self.kind)
+        self.segments = []  # postings of the band, and what the bands below it can still add: norms and largest impact
         for high, low in zip(edges, edges[1:]):
-            part = self.rows.astype(self.kind) if self.kind is object else rows.astype(self.kind)
-            self.segments.append((np.where((size < high) & (size >= low), part, 0), None))
             rest = np.where(size < low, size, 0)
-            self.segments[-1] = (self.segments[-1][0].T.copy(), (np.sqrt((rest**2).sum(1)), rest.max(initial=0)))
+            postings = np.where((size < high) & (size >= low), whole, 0).T.copy()
+            self.segments.append((postings, (np.sqrt((rest**2).sum(1)), rest.max(initial=0))))
 
     def best(self, queries: np.ndarray, own: np.ndarray, k: int) -> list[tuple[int, int, int]]:
         """(number of the query, id, score) of each query's k best rows."""
@@ -82,7 +82,6 @@ class Index:
 
 def top_k(table: DataFrame, is_query: Column, k: int = 5, scale: int = 256, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """``query_id``, ``rank`` (from 1), ``key`` and ``score`` of each query's k best other rows. Counts rows when called."""
-    kind = numbers(table, vector)
     raw = table.filter(F.col(key).isNotNull() & usable(vector)).select(
         F.col(key).cast("long").alias("id"), F.col(vector).alias("x"), F.size(vector).alias("dim"), is_query.alias("q"), F.xxhash64(vector).alias("mark")
     )
@@ -100,7 +99,6 @@ def top_k(table: DataFrame, is_query: Column, k: int = 5, scale: int = 256, key:
     left = rows.select("dim", dealt("block", blocks), every("part", parts), F.lit(0).alias("kind"), "id", "mark", "x")
     right = rows.filter("q").dropDuplicates(["id", "mark"]).select("dim", every("block", blocks), dealt("part", parts), F.lit(1).alias("kind"), "id", "mark", "x")
     both = left.unionByName(right).repartition(splits(table), "dim", "block", "part").sortWithinPartitions("dim", "block", "part", "kind")
-    del kind
 
     def search(batches):
         for g in groups(batches, ["dim", "block", "part"]):

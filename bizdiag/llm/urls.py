@@ -20,12 +20,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from bizdiag.llm.batches import sampled, splits
 
 SAMPLE_A_RANGE = 64
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-OUTPUT = "host string, path string, rule string, verdict string"
 
 
 def host_key(host: str) -> str:
@@ -126,10 +126,9 @@ def judge(
     def swept(batches):
         every = (row for b in batches for row in zip(*(c.to_pylist() for c in b.columns)))
         names, part = ["page", "host", "path", "rule", "verdict"], []
+        types = [page_type, *[pa.string()] * 4]
         pack = lambda x: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*x), types)], names=names)
-        types = None
         for row in sweep(every, otherwise):
-            types = types or [page_type, *[pa.string()] * 4]
             part.append(row)
             if len(part) == 20_000:
                 yield pack(part)
@@ -137,8 +136,6 @@ def judge(
         if part:
             yield pack(part)
 
-    from pyspark.sql.pandas.types import to_arrow_type
-
     page_type = to_arrow_type(kind)
     out = T.StructType([T.StructField("page", kind), *[T.StructField(c, T.StringType()) for c in ("host", "path", "rule", "verdict")]])
     return ready.mapInArrow(swept, out).withColumnRenamed("page", key)
