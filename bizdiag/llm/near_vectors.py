@@ -1,15 +1,16 @@
 """Near-duplicate vectors by an inverted multi-index.
 
 Unit vectors are cut into halves; a codebook for each half (k-means on a bounded sample) makes a product
-grid of cells, and every vector has its home in one. A vector visits cells in ascending order of
-the least distance at which a vector of that cell can lie (from the planes between codewords, summed
-over both halves), multi-sequence fashion, up to a reach. The reach is set for a target recall: a
-bounded sample of vectors is compared with all vectors by brute force, and the reach covers that share of
-the sample's true links, with a margin. Pairs that meet are verified by cosine in double precision.
+grid of cells, and every vector has its home in one. A vector visits the cells where a vector that it is
+linked with can lie: the least squared distance to a cell (from the planes between codewords, summed over
+both halves) never exceeds that of a pair, which is 2 - 2 * cosine. So every pair at the threshold or above
+meets, whatever the sample was; the codebooks only steer work. Pairs that meet are verified by cosine in
+double precision. Where vectors lie in all directions, the bound rules out few cells, and most pairs are compared.
 
-Each pair is looked for once: the vector with the smaller number visits the other's home. Cells with many
-homes or visitors are cut into blocks, so a task holds a bounded part; it returns counts and a
-spanning forest of its links, never the links. Equal vectors are one node with a weight.
+Each pair is looked for once: of two cells one's vectors visit the other, and inside a cell the vector with
+the smaller number visits. Cells with many homes or visitors are cut into blocks, so a task holds a bounded
+part; it returns counts and a spanning forest of its links, never the links. Equal vectors are one node
+with a weight.
 
 Null, zero and non-finite vectors link with nothing and are kept; so do rows without id, whose
 component is null. Vectors of different lengths do not meet.
@@ -30,15 +31,14 @@ from bizdiag.llm.components import components
 from bizdiag.llm.vectors import matrix, numbers, usable
 
 TRAIN_ROWS = 8_192
-TEST_ROWS = 512
 CODEWORDS = 256
-CELL_ROWS = 64
+CELL_ROWS = 2_048
 BLOCK = 4_096
 TILE = 512
-TARGET = 0.999
-MARGIN = 1.25
-#: Reach where the sample has no links.
-REACH = 0.01
+#: Grid entries that are worked on at a time when visits are listed.
+ENTRIES = 1 << 22
+#: Far above the rounding of distances; added to the reach.
+SLACK = 1e-6
 
 
 def units(x: np.ndarray) -> np.ndarray:
@@ -66,7 +66,9 @@ class Grid:
     def __init__(self, first: np.ndarray, second: np.ndarray):
         self.words = (first, second)
         self.half = first.shape[1]
-        self.apart = [np.sqrt(np.maximum(((w[:, None] - w[None, :]) ** 2).sum(2), 1e-30)) for w in self.words]
+        apart = [np.sqrt(((w[:, None] - w[None, :]) ** 2).sum(2)) for w in self.words]
+        # rounding could put a row on the wrong side of planes between words that are all but equal: these bound nothing
+        self.apart = [np.where(a > 1e-6, a, np.inf) for a in apart]
 
     def _halves(self, x: np.ndarray):
         for part, words in zip((x[:, : self.half], x[:, self.half :]), self.words):
@@ -88,15 +90,16 @@ class Grid:
         return out
 
     def visits(self, x: np.ndarray, reach: float) -> list[np.ndarray]:
-        """The cells within reach of each row, nearest first."""
+        """The cells within reach of each row that it visits, nearest first: its home, and of each two cells one visits the other."""
         first, second = self.gaps(x)
         out = []
-        for a, b in zip(first, second):
+        for a, b, home in zip(first, second, self.homes(x)):
             i, j = np.flatnonzero(a <= reach), np.flatnonzero(b <= reach)
             sums = a[i][:, None] + b[j][None, :]
             r, c = np.nonzero(sums <= reach)
             order = np.argsort(sums[r, c], kind="stable")
-            out.append((i[r] * len(self.words[1]) + j[c])[order])
+            cell = (i[r] * len(self.words[1]) + j[c])[order]
+            out.append(cell[(cell == home) | ((cell < home) == ((cell + home) % 2 == 0))])
         return out
 
 
@@ -114,67 +117,43 @@ def forest(a: np.ndarray, b: np.ndarray, size: int) -> np.ndarray:
         label = new
 
 
-def _fitted(nodes: DataFrame, n: int, least: float, kind: np.dtype) -> tuple[Grid, float]:
-    """Codebooks from a bounded sample, and the reach for the target recall from a smaller one."""
-    sample = sampled(nodes, "node", TRAIN_ROWS).select("node", "x").toArrow()
-    x = units(matrix(sample.column("x"), kind))
+def _grid(nodes: DataFrame, n: int, kind: np.dtype) -> Grid:
+    """Codebooks from a bounded sample."""
+    x = units(matrix(sampled(nodes, "node", TRAIN_ROWS).select("x").toArrow().column("x"), kind))
     k = int(min(CODEWORDS, max(2, (n / CELL_ROWS) ** 0.5)))
     half = x.shape[1] // 2
-    grid = Grid(codebook(x[:, :half], k), codebook(x[:, half:], k))
-    some = np.argsort(sample.column("node").to_numpy())[:TEST_ROWS]
-    shared = nodes.sparkSession.sparkContext.broadcast((sample.column("node").to_numpy()[some], x[some], grid))
-
-    def tested(batches):
-        node, q, grid_ = shared.value
-        first, second = grid_.gaps(q)
-        for b in batches:
-            y = units(matrix(b.column("x"), kind)) if b.num_rows else q[:0]
-            i, j = np.nonzero(q @ y.T >= least)
-            other = node[i] != b.column("node").to_numpy()[j]
-            i, j = i[other], j[other]
-            if len(i):
-                home = grid_.homes(y[j])
-                m = len(grid_.words[1])
-                gap = first[i, home // m] + second[i, home % m]
-                slot, count = np.unique(np.ceil(gap * 2000).astype(np.int64), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(count)], names=["slot", "n"])
-
-    # a histogram of the gaps of true links, in steps of 1/2000
-    seen = nodes.select("node", "x").mapInArrow(tested, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect()
-    if not seen:
-        return grid, REACH
-    slots, counts = (np.array(c) for c in zip(*sorted(map(tuple, seen))))
-    needed = slots[np.searchsorted(np.cumsum(counts), TARGET * counts.sum())] / 2000
-    return grid, max(REACH / 2, MARGIN * float(needed))
+    return Grid(codebook(x[:, :half], k), codebook(x[:, half:], k))
 
 
 def _links(nodes: DataFrame, n: int, least: float, kind: np.dtype) -> DataFrame:
     """(a, b, n): links of a spanning forest of each block (n null), and numbers of links (b null)."""
-    grid, reach = _fitted(nodes, n, least, kind)
+    grid, reach = _grid(nodes, n, kind), 2 * (1 - least) + SLACK
     shared = nodes.sparkSession.sparkContext.broadcast((grid, reach))
 
     def place(batches):
         grid_, reach_ = shared.value
-        for b in batches:
-            if b.num_rows:
+        rows = max(1, ENTRIES // (len(grid_.words[0]) * len(grid_.words[1])))
+        for whole in batches:
+            for start in range(0, whole.num_rows, rows):
+                b = whole.slice(start, rows)
                 x = units(matrix(b.column("x"), kind))
                 columns = [b.column("node"), b.column("weight"), b.column("x"), pa.array(grid_.homes(x).astype(np.int32)), pa.array(grid_.visits(x, reach_), pa.list_(pa.int32()))]
                 yield pa.RecordBatch.from_arrays(columns, names=["node", "weight", "x", "cell", "visits"])
 
     placed = written(nodes.select("node", "weight", "x").mapInArrow(place, "node long, weight long, x binary, cell int, visits array<int>"))
     parts = lambda c: F.ceil(F.count("*") / BLOCK).cast("int").alias(c)
-    visitors = placed.select(F.explode("visits").alias("cell"), "node", "weight", "x")
+    visitors = placed.select(F.explode("visits").alias("cell"), F.col("cell").alias("home"), "node", "weight", "x")
     sizes = placed.groupBy("cell").agg(parts("homes")).join(visitors.groupBy("cell").agg(parts("guests")), "cell")
     sizes = F.broadcast(written(sizes))  # at most CODEWORDS squared rows
     spread = lambda m: F.pmod(F.xxhash64("node"), m).cast("int")
     every = lambda m: F.explode(F.sequence(F.lit(0), m - 1))
     home = placed.join(sizes, "cell").select("cell", spread(F.col("homes")).alias("i"), every(F.col("guests")).alias("j"), F.lit(0).alias("kind"), "node", "weight", "x")
-    guest = visitors.join(sizes, "cell").select("cell", every(F.col("homes")).alias("i"), spread(F.col("guests")).alias("j"), F.lit(1).alias("kind"), "node", "weight", "x")
+    guest = visitors.join(sizes, "cell").select("cell", every(F.col("homes")).alias("i"), spread(F.col("guests")).alias("j"), F.when(F.col("cell") == F.col("home"), 1).otherwise(2).alias("kind"), "node", "weight", "x")
     ready = home.unionByName(guest).repartition(splits(nodes), "cell", "i", "j").sortWithinPartitions("cell", "i", "j", "kind")
 
     def verify(batches):
         for g in groups(batches, ["cell", "i", "j"]):
-            guest_ = g.column("kind").to_numpy() == 1
+            guest_, abroad = g.column("kind").to_numpy() > 0, g.column("kind").to_numpy() == 2
             if guest_.all() or not guest_.any():
                 continue
             x, node, weight = units(matrix(g.column("x"), kind)), g.column("node").to_numpy(), g.column("weight").to_numpy()
@@ -183,7 +162,7 @@ def _links(nodes: DataFrame, n: int, least: float, kind: np.dtype) -> DataFrame:
             label = np.arange(len(node))
             for start in range(0, len(there), TILE):
                 v = there[start : start + TILE]
-                i, j = np.nonzero((x[v] @ x[here].T >= least) & (node[v][:, None] < node[here][None, :]))
+                i, j = np.nonzero((x[v] @ x[here].T >= least) & (abroad[v][:, None] | (node[v][:, None] < node[here][None, :])))
                 if len(i):
                     i, j = v[i], here[j]
                     np.add.at(links, i, weight[j])

@@ -100,6 +100,24 @@ def test_near_vectors(spark, vectors, monkeypatch, block):
     assert near_vectors.near_duplicates(frame(spark, vectors).limit(0)).count() == 0
 
 
+def test_pairs_beside_a_large_group(spark):
+    """A third of all rows are near copies of one vector; they must not decide how far others' links are looked for."""
+    rng = np.random.default_rng(3)
+    unit = lambda v: v / np.sqrt((v**2).sum(1, keepdims=True))
+    hot = unit(unit(rng.normal(size=(1, 32))) + rng.normal(scale=0.002, size=(2_000, 32)))
+    a = unit(rng.normal(size=(1_500, 32)))
+    side = rng.normal(size=a.shape)
+    side = unit(side - (side * a).sum(1, keepdims=True) * a)
+    cosine = rng.uniform(0.952, 0.955, (len(a), 1))
+    x = np.r_[hot, a, cosine * a + np.sqrt(1 - cosine**2) * side].astype(np.float32)
+    got = {r.vec_id: tuple(r) for r in near_vectors.near_duplicates(frame(spark, [(k, v) for k, v in enumerate(x.tolist())])).collect()}
+    y = unit(x.astype(float))
+    near = y @ y.T >= 0.95
+    component = near_vectors.forest(*np.nonzero(near), len(x))
+    assert sum(near.sum(1)[len(hot) :] > 1) >= 2 * len(a)
+    assert [got[k] for k in range(len(x))] == [(k, near[k].sum() - 1, component[k], component[k] == k) for k in range(len(x))]
+
+
 def test_forest():
     label = near_vectors.forest(np.array([5, 4, 1, 8]), np.array([4, 3, 2, 8]), 9)
     assert label.tolist() == [0, 1, 1, 3, 3, 3, 6, 7, 8]
