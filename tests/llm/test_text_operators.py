@@ -3,7 +3,8 @@
 import hashlib
 import random
 from collections import defaultdict
-from math import log2
+from fractions import Fraction
+from math import ceil, floor, log2
 
 import numpy as np
 import pytest
@@ -274,6 +275,29 @@ def test_mix_pools_small_sources(spark, monkeypatch):
     assert sorted(r.position for r in got) == list(range(200))
 
 
+def test_mix_keeps_the_weight_of_every_source(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SOURCES", 8)
+    monkeypatch.setattr(mixing, "CELL_ROWS", 150)
+    size = {**{f"s{k}": 30 + k for k in range(40)}, "heavy": 61, None: 47}
+    share = {"heavy": 12, "s5": 3, None: 2}
+    rows = [(None if s is None else k, "t", "en", s) for s in size for k in range(size[s])]
+    got = mixing.mix(frame(spark, rows), share, block_rows=4).collect()
+    assert sorted(r.position for r in got) == list(range(len(rows)))
+    blocks = {s: -(-n // 4) for s, n in size.items()}
+    place = {(r.source, r.block): r for r in got}
+    assert sorted(r.slot for r in place.values()) == list(range(sum(blocks.values()))) and set(place) == {(s, k) for s, n in blocks.items() for k in range(n)}
+    dealt = lambda v: sum(min(Fraction(n), share.get(s, 1) * v) for s, n in blocks.items())
+    for (s, k), r in place.items():
+        a = share.get(s, 1)
+        assert (r.release, r.deadline) == (floor(dealt(Fraction(k, a))), ceil(dealt(Fraction(k + 1, a))))
+        # a few slots beside the fluid schedule: of the heavy source, far less than a block of its own
+        assert r.release - 4 <= r.slot < r.deadline + 4
+    assert all(r.position // 4 <= r.slot for r in got)
+    assert sorted(r.position for r in mixing.mix(frame(spark, rows), block_rows=4).collect()) == list(range(len(rows)))
+    with pytest.raises(ValueError):
+        mixing.mix(frame(spark, rows), {"s3": 0})
+
+
 def test_pipeline_keeps_what_brute_force_keeps(spark, corpus):
     docs = frame(spark, [(i, t, "en", s) for i, t, _, s in corpus]).select("doc_id", "text", "lang", "source", "n_chars")
     names = docs.columns
