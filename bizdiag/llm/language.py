@@ -6,9 +6,10 @@ distinct bytes) and is coded in the next shorter context, without the bytes alre
 order 0 all remaining bytes are equally likely. The language with the shortest exact code wins; the
 score is its share when code lengths are taken as log-likelihoods under equal priors.
 
-Trees are fitted on about ``TRAIN_ROWS`` texts of each language (of at most ``TRAIN_BYTES`` bytes), and
-on the ``LANGUAGES`` most frequent languages: documented bounds, so the model is small enough to
-broadcast. Every whole text is scored. The code lengths of all (ORDER + 1)-grams seen in training are
+Trees are fitted on about ``TRAIN_ROWS`` texts of each language, of at most ``TRAIN_BYTES`` bytes; a language with
+fewer such texts also learns from the beginnings of its longer ones. No language is left out. A language's
+code lengths do not depend on the others, so models hold ``LANGUAGES`` languages each and grow with their
+number, not its square. Every whole text is scored. The code lengths of all (ORDER + 1)-grams seen in training are
 tabled; others are worked out when they occur.
 
 Null text and text without a letter are ``und`` with score 0 (null code length if there are no bytes).
@@ -153,21 +154,28 @@ def held_out(key: str) -> F.Column:
     return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> Model | None:
-    """A model of the languages in ``lang``, from rows that are not held out; None if there are none."""
-    rows = docs.filter(F.col(key).isNotNull() & F.col(lang).isNotNull() & ~held_out(key) & F.octet_length(text).between(1, TRAIN_BYTES))
-    rows = rows.select(F.col(key).cast("string").alias("id"), F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"))
-    sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
-    names = sorted(r["lang"] for r in sizes)
-    if not names:
-        return None
+def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> list[Model]:
+    """Models of all languages in ``lang``, in the order of their names, from rows that are not held out."""
+    rows = docs.filter(F.col(key).isNotNull() & F.col(lang).isNotNull() & ~held_out(key) & (F.octet_length(text) > 0))
+    long = F.octet_length(text) > TRAIN_BYTES
+    piece = F.when(long, F.substring(text, 1, TRAIN_BYTES // 4)).otherwise(F.col(text))  # a character has at most 4 bytes
+    rows = rows.select(F.col(key).cast("string").alias("id"), piece.alias("text"), long.alias("long"), F.col(lang).cast("string").alias("lang"))
+    sizes = rows.groupBy("lang").agg(F.count_if(~F.col("long")).alias("short"), F.count_if("long").alias("long")).collect()
+    sizes = sorted(sizes, key=lambda r: r["lang"])
+    return [_trained(rows, sizes[i : i + LANGUAGES]) for i in range(0, len(sizes), LANGUAGES)]
+
+
+def _trained(rows: DataFrame, sizes: list) -> Model:
+    """A model of the languages in ``sizes``."""
+    names = [r["lang"] for r in sizes]
     share = F.lit(False)
     number = F.lit(-1)
-    for r in sizes:
-        most = min(1 << 30, int(TRAIN_ROWS / r["count"] * (1 << 30)))
+    for i, r in enumerate(sizes):
+        part = lambda want, there: min(1 << 30, int(want / max(1, there) * (1 << 30)))
         mine = F.col("lang") == r["lang"]
+        most = F.when(F.col("long"), part(max(0, TRAIN_ROWS - r["short"]), r["long"])).otherwise(part(TRAIN_ROWS, r["short"]))
         share = share | (mine & (F.pmod(F.xxhash64(F.lit(5), "id"), F.lit(1 << 30)) < most))
-        number = F.when(mine, names.index(r["lang"])).otherwise(number)
+        number = F.when(mine, i).otherwise(number)
 
     def count(batches):
         for part in chunks(batches):
@@ -190,22 +198,23 @@ def identify(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str
 
     Columns of these names are replaced. Runs jobs when called (training).
     """
-    model = train(docs, key, text, lang)
+    models = train(docs, key, text, lang)
     own = docs.drop("held_out", "lang_pred", "score", "bits_per_byte").withColumn("held_out", held_out(key))
-    if model is None:
+    if not models:
         return own.withColumns({"lang_pred": F.lit(UNKNOWN), "score": F.lit(0.0), "bits_per_byte": F.lit(None).cast("double")})
     # the tables are laid out on the worker: what is broadcast is the bounded count table alone
-    shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.gram[ORDER], model.count[ORDER].astype(np.int32)))
+    shared = docs.sparkSession.sparkContext.broadcast([(m.languages, m.gram[ORDER], m.count[ORDER].astype(np.int32)) for m in models])
     names, name = own.columns, uuid.uuid4().hex
 
     def run(batches):
-        trees = _model(name, shared)
+        trees = _models_of(name, shared)
+        languages = [x for t in trees for x in t.languages]
         for part in chunks(batches, text, 2 << 20):
             raw = [(t or "").encode() for t in part.column(text).to_pylist()]
             pred, score, rate = [UNKNOWN] * len(raw), [0.0] * len(raw), [None] * len(raw)
             full = [i for i, t in enumerate(raw) if t]
             if full:
-                bits = trees.bits([raw[i] for i in full])
+                bits = np.concatenate([t.bits([raw[i] for i in full]) for t in trees], 1)
                 best = bits.argmin(1)
                 least = bits[np.arange(len(full)), best]
                 chance = 1 / np.exp2(np.clip(least[:, None] - bits, -1000, 0)).sum(1)
@@ -213,7 +222,7 @@ def identify(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str
                 for i, b, c, n in zip(full, best, chance, least):
                     rate[i] = float(n) / len(raw[i])
                     if letters[i]:
-                        pred[i], score[i] = trees.languages[b], float(c)
+                        pred[i], score[i] = languages[b], float(c)
             columns = [part.column(n) for n in names] + [pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(rate, pa.float64())]
             yield pa.RecordBatch.from_arrays(columns, names=[*names, "lang_pred", "score", "bits_per_byte"])
 
@@ -226,9 +235,9 @@ def identify(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str
 _models: dict = {}
 
 
-def _model(name: str, shared) -> Model:
-    """The broadcast model, laid out once for each worker process."""
+def _models_of(name: str, shared) -> list[Model]:
+    """The broadcast models, laid out once for each worker process."""
     if name not in _models:
         _models.clear()
-        _models[name] = Model(*shared.value)
+        _models[name] = [Model(*x) for x in shared.value]
     return _models[name]

@@ -219,6 +219,20 @@ def test_language_of_odd_rows(spark, corpus):
     assert unlabelled[0].lang_pred == "und" and language.identify(frame(spark, odd).limit(0)).count() == 0
 
 
+def test_language_leaves_no_class_out(spark, monkeypatch):
+    """More languages than a model holds, and one that has only long texts."""
+    rng = random.Random(9)
+    letters = {f"l{k}": [chr(0x400 + 8 * k + j) for j in range(8)] for k in range(6)}
+    write = lambda name, n: " ".join("".join(rng.choices(letters[name], k=4)) for _ in range(n))
+    rows = [(100 * k + j, write(name, 30_000 if k == 4 else 20), name, "s") for k, name in enumerate(letters) for j in range(8 if k == 4 else 40)]
+    rows += [(9_000 + k, write(name, 20), None, "s") for k, name in enumerate(letters)]
+    one = {r.doc_id: r for r in language.identify(frame(spark, rows)).collect()}
+    assert [one[9_000 + k].lang_pred for k in range(6)] == list(letters)
+    monkeypatch.setattr(language, "LANGUAGES", 2)
+    several = {r.doc_id: r for r in language.identify(frame(spark, rows)).collect()}
+    assert {k: (r.lang_pred, round(r.bits_per_byte, 4)) for k, r in several.items()} == {k: (r.lang_pred, round(r.bits_per_byte, 4)) for k, r in one.items()}
+
+
 def plain_schedule(shares, slots):
     """Earliest deadline first, slot by slot, without periods."""
     total, done, out = sum(shares), [0] * len(shares), []
