@@ -243,10 +243,45 @@ def overlaps(sets: list[np.ndarray]) -> np.ndarray:
     return out.astype(np.int64)
 
 
+def joining(ids: np.ndarray, comp: np.ndarray, n: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Pairs of a block that are to be verified: a spanning forest of the sure ones, and all that are in doubt between its trees.
+
+    ``sets`` are cut to 32 bits. Hashes of a set that became one are added to the overlap, so no pair is missed.
+    A pair is sure if it also passes without the hashes that different shingles can share by chance (more
+    happens less than once in 10^11 pairs); a pair in doubt takes no other's place.
+    """
+    lost = n - np.array([len(x) for x in sets])
+    both = overlaps(sets)
+    order = comp[:, None] < comp[None, :]
+    reached = lambda k: 100 * k >= percent * (n[:, None] + n[None, :] - k)
+    chance = n[:, None] * (n[None, :] / 2.0**32)
+    by_chance = np.where(chance < 1e-6, 1, np.where(chance < 1e-4, 2, np.ceil(chance + 10 * np.sqrt(chance) + 4)))
+    possible = reached(both + np.minimum(lost[:, None], lost[None, :])) & order
+    sure = reached(both - by_chance) & possible
+    parent: dict[int, int] = {}
+
+    def root(c):
+        while c in parent:
+            c = parent[c]
+        return c
+
+    x, y = np.nonzero(sure)
+    _, first = np.unique(np.stack([comp[x], comp[y]], 1), axis=0, return_index=True)
+    pairs = []
+    for k in first:
+        p, q = root(int(comp[x[k]])), root(int(comp[y[k]]))
+        if p != q:
+            parent[max(p, q)] = min(p, q)
+            pairs.append((int(ids[x[k]]), int(ids[y[k]])))
+    tree = np.array([root(int(c)) for c in comp])
+    x, y = np.nonzero(possible & ~sure & (tree[:, None] != tree[None, :]))
+    return pairs + list(zip(ids[x].tolist(), ids[y].tolist()))
+
+
 def _across(rows: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) that join components of the same bucket: of all that reach the threshold, a spanning forest of each block.
+    """Pairs (a, b) that join components of the same bucket: of all that reach the threshold, a spanning forest of each block, and those in doubt.
 
-    Nothing is emitted for each pair: blocks get the sets of their rows and compare them on the spot, by
+    Nothing is emitted for each sure pair: blocks get the sets of their rows and compare them on the spot, by
     32 bits of each hash and so that no pair is missed. What they find is yet to be verified.
     """
     wanted = written(_in_question(rows, percent))
@@ -257,24 +292,7 @@ def _across(rows: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
         for block in groups(batches, ["key", "i", "j"]):
             ids, comp, n = (block.column(c).to_numpy() for c in ("id", "comp", "n"))
             sets_ = [np.frombuffer(x, "<u4") for x in block.column("short").to_pylist()]
-            lost = n - np.array([len(x) for x in sets_])  # hashes of a set that became one
-            both = overlaps(sets_) + np.minimum(lost[:, None], lost[None, :])
-            hit = (100 * both >= percent * (n[:, None] + n[None, :] - both)) & (comp[:, None] < comp[None, :])
-            x, y = np.nonzero(hit)
-            parent: dict[int, int] = {}
-
-            def root(c):
-                while c in parent:
-                    c = parent[c]
-                return c
-
-            _, first = np.unique(np.stack([comp[x], comp[y]], 1), axis=0, return_index=True)
-            pairs = []
-            for k in first:
-                p, q = root(int(comp[x[k]])), root(int(comp[y[k]]))
-                if p != q:
-                    parent[max(p, q)] = min(p, q)
-                    pairs.append((int(ids[x[k]]), int(ids[y[k]])))
+            pairs = joining(ids, comp, n, sets_, percent)
             if pairs:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*pairs)], names=["a", "b"])
 

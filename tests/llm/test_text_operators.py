@@ -219,6 +219,16 @@ def test_language_of_odd_rows(spark, corpus):
     assert unlabelled[0].lang_pred == "und" and language.identify(frame(spark, odd).limit(0)).count() == 0
 
 
+def test_a_false_candidate_takes_no_true_links_place():
+    """Rows 1 and 3 pass by 32 bits only, thanks to one shared by chance; rows 2 and 4 of the same components are a true link."""
+    one, two = np.arange(100, dtype="<u4"), np.arange(1_000, 1_100, dtype="<u4")
+    by_chance = np.r_[one[:86], np.arange(500, 514, dtype="<u4")]  # 86 of 114 shared by 32 bits: 85 of 115 are not enough
+    args = np.array([1, 2, 3, 4]), np.array([1, 1, 3, 3]), np.array([100, 100, 100, 100])
+    assert sorted(near_text.joining(*args, [one, two, by_chance, two], 75)) == [(2, 4)]
+    near = np.r_[two[:86], np.arange(1_200, 1_214, dtype="<u4")]
+    assert sorted(near_text.joining(*args, [one, two, by_chance, near], 75)) == [(1, 3), (2, 4)]
+
+
 def test_language_leaves_no_class_out(spark, monkeypatch):
     """More languages than a model holds, and one that has only long texts."""
     rng = random.Random(9)
