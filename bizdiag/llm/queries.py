@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bizdiag.llm import bpe, language, mixing, near_text, near_vectors, passages, shards, tokens, topk, urls
+from bizdiag.llm import bpe, chunk_bpe, fim, language, mixing, near_text, near_vectors, passages, shards, tokens, topk, urls, whitening
 
 URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 TOKEN_LIMIT = 1024
@@ -72,7 +72,27 @@ def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op1_language, op2_near_text, op3_top_k, op4_near_vectors, op5_url_filter, op6_shards, op7_mix_sources, op8_token_counts, op9_passages, op10_bpe_round_trip)}
+def op11_chunk_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids and decoded text of every document, as digests, by chunks that documents share."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    return chunk_bpe.digests(_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first four whitened components of every embedding."""
+    return whitening.whitened(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document cut at line ends and put in another order, as digests."""
+    return fim.digests(_table(spark, sf_dir, "documents"))
+
+
+_ALL = (
+    op1_language, op2_near_text, op3_top_k, op4_near_vectors, op5_url_filter, op6_shards, op7_mix_sources, op8_token_counts,
+    op9_passages, op10_bpe_round_trip, op11_chunk_bpe, op12_whitening, op13_fill_in_middle,
+)
+QUERIES = {f.__name__: f for f in _ALL}
 
 ORACLES = {
     "op3_top_k": """
