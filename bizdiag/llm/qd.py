@@ -93,8 +93,8 @@ def dqds(q: np.ndarray, e: np.ndarray) -> np.ndarray:
 
 def twisted(a: np.ndarray, b: np.ndarray, value: float) -> np.ndarray:
     """The unit vector of B^T B (diagonal ``a``, superdiagonal ``b`` of B) for an eigenvalue."""
-    n, tiny = len(a), np.finfo(float).tiny / EPS
-    diagonal, low = a * a, b / a[:-1]
+    n, diagonal, low = len(a), a * a, b / a[:-1]
+    tiny = EPS * EPS * float(diagonal.max())
     held = lambda x: x if abs(x) > tiny else tiny
     up, down = np.zeros(n - 1), np.zeros(n - 1)
     s, p = np.zeros(n), np.zeros(n)
@@ -141,17 +141,19 @@ def leading(r: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray]:
 
     The entry of a vector that is largest by size is positive.
     """
-    a, b, v = bidiagonal(r)
-    norm = max(np.abs(a).max(initial=0.0), np.abs(b).max(initial=0.0))
-    if not norm:
-        return np.zeros(min(count, len(a))), v[:, :count]
+    size = np.abs(r).max(initial=0.0)
+    if not size:
+        return np.zeros(min(count, r.shape[1])), np.eye(r.shape[1])[:, :count]
+    scale = 2.0 ** np.floor(np.log2(size))  # squares of the entries then neither overflow nor vanish
+    a, b, v = bidiagonal(r / scale)
+    norm = max(np.abs(a).max(), np.abs(b).max(initial=0.0))
     a = np.where(np.abs(a) < EPS * EPS * norm, EPS * EPS * norm, a)
     edges = [0, *(np.flatnonzero(np.abs(b) <= EPS * EPS * norm) + 1).tolist(), len(a)]
     found = []  # (eigenvalue, first row of its block, end of its block)
     for x, y in zip(edges, edges[1:]):
         found += [(value, x, y) for value in dqds(a[x:y] ** 2, b[x : y - 1] ** 2)]
     found.sort(key=lambda f: -f[0])
-    wanted, columns, values, k = min(count, len(found)), [], [], 0
+    wanted, columns, values = min(count, len(found)), [], []
     done: set[tuple[int, int]] = set()
     for k, (value, x, y) in enumerate(found[:wanted]):
         if (x, y, k) in done:
@@ -170,4 +172,4 @@ def leading(r: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray]:
                 columns.append(column * np.sign(column[np.argmax(np.abs(column))]))
                 values.append(found[i][0])
     order = np.argsort(-np.array(values), kind="stable")
-    return np.array(values)[order], np.stack(columns, axis=1)[:, order]
+    return np.array(values)[order] * scale * scale, np.stack(columns, axis=1)[:, order]
