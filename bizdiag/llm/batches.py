@@ -34,6 +34,14 @@ def sampled(df: DataFrame, key: str | list[str], rows: int) -> DataFrame:
     return df.filter(F.pmod(F.xxhash64(F.lit(17), *keys), F.lit(1 << 30)) < F.lit(int(rows / total * (1 << 30))))
 
 
+def unused(name: str, names: list[str]) -> str:
+    """``name``, with as many underscores in front as it takes to be none of ``names``, whatever their case."""
+    taken = {n.lower() for n in names}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def splits(df: DataFrame, least: int = 1) -> int:
     """Number of shuffle partitions that the session is set to."""
     return max(least, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bizdiag.llm import words as W
-from bizdiag.llm.batches import chunks, sampled, splits
+from bizdiag.llm.batches import chunks, sampled, splits, unused
 
 WINDOW = 13
 GRAM = 2
@@ -249,13 +249,14 @@ def _cut(docs: DataFrame, key: str, text: str, schema: str, finish) -> DataFrame
     """``docs`` with columns of ``schema`` made from (text, kept words, number removed) of each row."""
     names = docs.columns
     mark = _mark(docs, key, text)
-    rows = docs.withColumn("_doc", F.col(key).cast("long")).withColumn("_mark", mark)
-    found = repeated(docs, mark, key, text).select(F.col("doc").alias("_doc"), F.col("mark").alias("_mark"), F.col("ranges").alias("_ranges"))
-    joined = rows.join(found.hint("shuffle_hash"), ["_doc", "_mark"], "left").select(*names, "_ranges")
+    doc_, mark_, ranges_ = (unused(n, names) for n in ("_doc", "_mark", "_ranges"))
+    rows = docs.withColumn(doc_, F.col(key).cast("long")).withColumn(mark_, mark)
+    found = repeated(docs, mark, key, text).select(F.col("doc").alias(doc_), F.col("mark").alias(mark_), F.col("ranges").alias(ranges_))
+    joined = rows.join(found.hint("shuffle_hash"), [doc_, mark_], "left").select(*names, ranges_)
 
     def run(batches):
         for part in chunks(batches, text):
-            made = [finish(t, *kept_words(t, r)) for t, r in zip(part.column(text).to_pylist(), part.column("_ranges").to_pylist())]
+            made = [finish(t, *kept_words(t, r)) for t, r in zip(part.column(text).to_pylist(), part.column(ranges_).to_pylist())]
             columns = {n: part.column(n) for n in names}
             for (name, kind), values in zip(fields, zip(*made)):
                 columns[name] = pa.array(values, kind)
