@@ -10,8 +10,9 @@ is not clearly below the threshold is verified on the full sets.
 
 Equal sets are one node. A first pass over a few bands compares each node with the smallest one that it
 shares a bucket with; linked ones form components. Links within a component change nothing, so from
-then on only buckets that hold several components are looked at: first all of a bucket against its
-smallest node, then, in blocks, everything across the components that are left. So near copies cost
+then on only buckets that hold several components are looked at: first all of a bucket against one of
+its nodes, another one in each bucket, so that near copies of one text meet many of each other; then, in
+blocks, everything that is not in a bucket's largest component against all of it. So near copies cost
 about one comparison each, yet no link between components is lost to a cap.
 
 Null and blank texts have an empty set and no links. Rows with the same id are one node. Rows without
@@ -41,6 +42,9 @@ BASE, RATE = 1.2, 20.0
 #: A pair at the threshold is estimated this far below it about once in 100,000 times.
 SLACK = 0.15
 BLOCK = 256
+#: Texts that are sketched or verified at once, and rows that are verified beside one copy of their hub's text.
+CHUNK_BYTES = 512 << 10
+GROUP = 256
 
 _rng = np.random.default_rng(20_240_229)
 _FACTOR = _rng.integers(0, 1 << 63, REGISTERS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -57,9 +61,11 @@ def registers(sets: list[np.ndarray]) -> np.ndarray:
     """One row of registers for each set; no set may be empty."""
     every = np.concatenate(sets)
     starts = np.cumsum([0, *map(len, sets)])[:-1]
-    least = np.empty((REGISTERS, len(sets)), np.uint64)
+    least, held = np.empty((REGISTERS, len(sets)), np.uint64), np.empty_like(every)
     for k in range(REGISTERS):
-        least[k] = np.minimum.reduceat(every * _FACTOR[k] + _OFFSET[k], starts)
+        np.multiply(every, _FACTOR[k], out=held)
+        held += _OFFSET[k]
+        least[k] = np.minimum.reduceat(held, starts)
     x = -np.log1p(-(least.T.astype(np.float64) + 0.5) / 2.0**64) / RATE
     return np.clip(np.floor(1 - np.log(x) / np.log(BASE)), 0, 255).astype(np.uint8)
 
@@ -89,7 +95,7 @@ def sketches(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(id, n, print, regs) of every row: size of the set, its fingerprint and registers (null if empty)."""
 
     def run(batches):
-        for part in chunks(batches):
+        for part in chunks(batches, most=CHUNK_BYTES):
             sets = [shingles(t) for t in part.column("text").to_pylist()]
             prints, regs, full = [None] * len(sets), [None] * len(sets), [i for i, s in enumerate(sets) if len(s)]
             if full:
@@ -130,22 +136,38 @@ def _estimated(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose full sets reach the threshold."""
-    side = lambda x: texts.select(F.col("id").alias(x), F.col("text").alias(f"text_{x}"))
+    """The pairs (a, b) whose full sets reach the threshold.
 
-    def run(batches):
-        at, held = None, None
-        for p in chunks(batches, "text_b"):
-            ok = []
-            for text_a, text_b in zip(*(p.column(c).to_pylist() for c in ("text_a", "text_b"))):
-                if text_a != at:  # pairs come sorted by a
-                    at, held = text_a, shingles(text_a)
-                other = shingles(text_b)
-                both = len(np.intersect1d(held, other, assume_unique=True))
-                ok.append(100 * both >= percent * (len(held) + len(other) - both))
-            yield p.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+    Pairs are dealt into groups of about ``GROUP`` of one ``a``, whose text is sent once to each group, so that a hub
+    of most pairs is many groups.
+    """
+    pairs = written(pairs)
+    sizes = pairs.groupBy("a").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("parts"))
+    dealt = pairs.join(sizes, "a").select("a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), "b")
+    side = lambda x: texts.select(F.col("id").alias(x), "text")
+    leads = dealt.groupBy("a", "part").count().select("a", "part", F.lit(None).cast("long").alias("b")).join(side("a"), "a")
+    rows = leads.select("a", "part", "b", "text").unionByName(dealt.join(side("b"), "b").select("a", "part", "b", "text"))
 
-    return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+    def run(batches):
+        at, held = None, []  # a hub has several texts if rows repeat its id
+        for p in chunks(batches, most=CHUNK_BYTES):
+            found = []
+            for a, part, b, text in zip(*(c.to_pylist() for c in p.columns)):
+                if (a, part) != at:
+                    at, held = (a, part), []
+                own = shingles(text)
+                if b is None:  # comes first in its group
+                    held.append(own)
+                    continue
+                for lead in held:
+                    both = len(np.intersect1d(lead, own, assume_unique=True))
+                    if 100 * both >= percent * (len(lead) + len(own) - both):
+                        found.append((a, b))
+                        break
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], names=["a", "b"])
+
+    return rows.repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first()).mapInArrow(run, "a long, b long")
 
 
 def _relabelled(rows: DataFrame, found: DataFrame, column: str, into: str) -> DataFrame:
@@ -168,25 +190,42 @@ def _bucketed(nodes: DataFrame, bands: int) -> DataFrame:
 
 
 def _mixed(rows: DataFrame) -> DataFrame:
-    """(key, hub): buckets that hold several components, and their smallest node."""
-    sides = rows.groupBy("key").agg(F.min("id").alias("hub"), F.min("comp").alias("x"), F.max("comp").alias("y"))
+    """(key, hub): buckets that hold several components, and one of their nodes, another one in each bucket."""
+    hub = F.min_by("id", F.xxhash64("key", "id"))
+    sides = rows.groupBy("key").agg(hub.alias("hub"), F.min("comp").alias("x"), F.max("comp").alias("y"))
     return sides.filter("x <> y").select("key", "hub")
 
 
-def _blocks(rows: DataFrame) -> DataFrame:
-    """``rows`` (key, id, ...) dealt to pairs (i, j) of blocks of their bucket; each pair of rows meets in one."""
-    sized = rows.join(rows.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "key")
-    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    dealt = sized.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return dealt.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).drop("blocks", "other")
+def _dealt(rows: DataFrame) -> DataFrame:
+    """``rows`` (key, id, comp) of buckets that hold several components, with ``own``, their block, and the numbers of blocks.
+
+    A bucket's largest component is dealt into ``mains`` blocks, all else into ``lefts``, numbered before them.
+    """
+    parts = rows.groupBy("key", "comp").agg(F.count("*").alias("n"))
+    sides = parts.groupBy("key").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.max("n").alias("most"), F.sum("n").alias("size")).filter("size > most")
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    sides = sides.select("key", "main", blocks(F.col("size") - F.col("most")).alias("lefts"), blocks(F.col("most")).alias("mains"))
+    spread = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    own = F.when(F.col("comp") == F.col("main"), F.col("lefts") + spread("mains")).otherwise(spread("lefts"))
+    return rows.join(sides, "key").select("key", "id", "comp", own.alias("own"), "lefts", "mains")
+
+
+def _blocks(dealt: DataFrame) -> DataFrame:
+    """Dealt rows, once for each pair (i, j) of blocks that they are to meet in; any two components meet in one of them.
+
+    Nothing is compared inside the largest component, so its rows only meet the blocks of the others.
+    """
+    last = F.when(F.col("own") < F.col("lefts"), F.col("lefts") + F.col("mains")).otherwise(F.col("lefts")) - 1
+    both = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), last)))
+    return both.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).drop("lefts", "mains", "other")
 
 
-def _in_question(rows: DataFrame, percent: int) -> DataFrame:
+def _in_question(dealt: DataFrame, percent: int) -> DataFrame:
     """(key, i, j, own, id, comp): rows of blocks that have a likely partner of another component there.
 
-    rows: key, id, comp, n, regs. A pair counts in the bucket of the first band that it shares.
+    dealt: with n and regs of each row. A pair counts in the bucket of the first band that it shares.
     """
-    ready = _blocks(rows).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "id")
+    ready = _blocks(dealt).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "id")
 
     def run(batches):
         for block in groups(batches, ["key", "i", "j"]):
@@ -218,7 +257,7 @@ def _short_sets(texts: DataFrame) -> DataFrame:
     """(id, n, short): the set's size, and its hashes cut to 32 bits."""
 
     def run(batches):
-        for p in chunks(batches):
+        for p in chunks(batches, most=CHUNK_BYTES):
             sets = [shingles(t) for t in p.column("text").to_pylist()]
             short = [np.unique((s >> np.uint64(32)).astype("<u4")).tobytes() for s in sets]
             yield pa.RecordBatch.from_arrays([p.column("id"), pa.array(map(len, sets), pa.int64()), pa.array(short, pa.binary())], names=["id", "n", "short"])
@@ -278,13 +317,13 @@ def joining(ids: np.ndarray, comp: np.ndarray, n: np.ndarray, sets: list[np.ndar
     return pairs + list(zip(ids[x].tolist(), ids[y].tolist()))
 
 
-def _across(rows: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+def _across(dealt: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) that join components of the same bucket: of all that reach the threshold, a spanning forest of each block, and those in doubt.
 
     Nothing is emitted for each sure pair: blocks get the sets of their rows and compare them on the spot, by
     32 bits of each hash and so that no pair is missed. What they find is yet to be verified.
     """
-    wanted = written(_in_question(rows, percent))
+    wanted = written(_in_question(dealt, percent))
     sets = _short_sets(texts.join(wanted.select("id").distinct(), "id"))
     ready = wanted.join(sets, "id").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "id")
 
@@ -326,7 +365,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, key: str = "doc_id", tex
     links = written(_verified(first.select("a", "b"), texts, percent))
     found = components(links.unionByName(same))
 
-    # all bands, but only buckets that hold several components: each node against the smallest one there
+    # all bands, but only buckets that hold several components: each node against one there
     rows = _bucketed(_relabelled(nodes, found, "id", "comp"), BANDS)
     open_rows = written(rows.join(_mixed(rows), "key"))
     pairs = open_rows.filter("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
@@ -336,8 +375,8 @@ def near_duplicates(docs: DataFrame, percent: int = 75, key: str = "doc_id", tex
 
     # buckets that still hold several: everything across their components
     rows = _relabelled(open_rows.select("key", "id"), found, "id", "comp")
-    open_rows = rows.join(_mixed(rows).select("key"), "key").join(nodes, "id").select("key", "id", "comp", "n", "regs")
-    more = _verified(_across(open_rows, texts, percent), texts, percent)
+    dealt = written(_dealt(rows)).join(nodes, "id")
+    more = _verified(_across(dealt, texts, percent), texts, percent)
     found = components(links.unionByName(more).unionByName(same))
 
     labelled = _relabelled(every.join(classes, "print", "left"), found, "rep", "component")

@@ -16,11 +16,13 @@ from bizdiag.llm import words as W
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id int, component int, rep string, ranges string"
+#: Names that operators use inside.
+SCHEMA += "".join(f", {c} int" for c in "g s first next start share period slots k b a key row _n _b _g _letters _cell _at _doc _mark _ranges _copies n regs comp".split())
 
 
 def frame(spark, rows):
     """Documents with extra columns whose names the operators use themselves."""
-    return spark.createDataFrame([(i, t, lang, s, len(t or ""), 1, 2, "x", "y") for i, t, lang, s in rows], SCHEMA)
+    return spark.createDataFrame([(i, t, lang, s, len(t or ""), 1, 2, "x", "y", *[3] * (SCHEMA.count(",") - 8)) for i, t, lang, s in rows], SCHEMA)
 
 
 def prose(rng, n, vocabulary=400):
@@ -96,13 +98,54 @@ def test_buckets_are_compared_across_components(spark, monkeypatch, corpus, bloc
     data = [(int(k), r[0], r[0], len(s), bytearray(x.tobytes())) for r, s, x, own in zip(rows, sets, regs, keys) for k in own]
     df = spark.createDataFrame(data, "key long, id long, comp long, n long, regs binary")
     texts = spark.createDataFrame([r[:2] for r in rows], "id long, text string")
-    links = [tuple(r) for r in near_text._across(df, texts, 75).collect()]
+    dealt = near_text._dealt(df.select("key", "id", "comp")).join(df.select("id", "n", "regs").distinct(), "id")
+    links = [tuple(r) for r in near_text._across(dealt, texts, 75).collect()]
     full = {r[0]: text_set(r[1]) for r in rows}
     assert all(100 * len(full[a] & full[b]) >= 75 * len(full[a] | full[b]) for a, b in links)
     got = {r.id: r.component for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert all(got.get(i, i) == c for i, c in brute_components(rows).items())
 
 
+def test_near_copies_that_do_not_link(spark, monkeypatch):
+    """A large group whose members are alike, but mostly not by 0.75, beside pairs just above it."""
+    rng = random.Random(9)
+    base, rows = prose(rng, 120, 5_000), []
+    for k in range(240):
+        words = list(base)
+        for at in rng.sample(range(120), 6):
+            words[at] = f"x{k}_{at}"
+        rows.append((k, " ".join(words), "en", "s"))
+    for k in range(0, 60, 3):  # 116 shingles, 16 of them others: 100 / 132
+        words = rows[k][1].split()
+        for at in (4, 30, 60):
+            words[at] = f"y{k}_{at}"
+        rows.append((1_000 + k, " ".join(words), "en", "s"))
+    monkeypatch.setattr(near_text, "BLOCK", 32)
+    monkeypatch.setattr(near_text, "GROUP", 8)
+    want = brute_components([r for r in rows])
+    got = {r.doc_id: r.component_id for r in near_text.near_duplicates(frame(spark, rows)).collect()}
+    assert got == {r[0]: want.get(r[0], r[0]) for r in rows}
+    assert len(set(got.values())) > 20
+
+
+def test_blocks_meet_once(spark, monkeypatch):
+    """Any two rows of different components meet in one pair of blocks; the largest component's rows are not compared with each other."""
+    monkeypatch.setattr(near_text, "BLOCK", 8)
+    rows = [(7, i, 0 if i < 60 else i) for i in range(90)]
+    dealt = near_text._blocks(near_text._dealt(spark.createDataFrame(rows, "key long, id long, comp long"))).collect()
+    met = defaultdict(int)
+    cells = defaultdict(list)
+    for r in dealt:
+        cells[r.i, r.j].append(r)
+    for (i, j), held in cells.items():
+        for x in held:
+            for y in held:
+                if x.id < y.id and x.comp != y.comp and (i == j or x.own != y.own):
+                    met[x.id, y.id] += 1
+    assert met == {(a, b): 1 for a in range(90) for b in range(max(60, a + 1), 90)}
+    assert len(dealt) == 60 * 4 + 30 * (4 + 8)
+
+
 def test_overlaps():
     rng = np.random.default_rng(4)
     sets = [np.unique(rng.integers(0, 9_000, n)).astype(np.uint32) for n in (5, 6_000, 5_000, 1, 7_000)]
