@@ -22,6 +22,7 @@ import regex
 import sentencepiece
 from pyspark.sql import DataFrame
 
+from bizdiag.llm import worker
 from bizdiag.llm.batches import chunks
 
 CACHE_PIECES = 250_000
@@ -118,10 +119,13 @@ class Codec:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
-@lru_cache(maxsize=2)
+_codec = lru_cache(maxsize=2)(Codec)
+
+
 def codec(ranks_path: str, pattern: str) -> Codec:
     """One codec for each worker process."""
-    return Codec(ranks_path, pattern)
+    worker.keeps("bpe", _codec.cache_clear)
+    return _codec(ranks_path, pattern)
 
 
 def _mapped(docs: DataFrame, key: str, text: str, ranks_path: str, pattern: str, schema: str, finish) -> DataFrame:

@@ -35,6 +35,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from bizdiag.llm import worker
 from bizdiag.llm.batches import chunks as slices
 from bizdiag.llm.bpe import visible
 
@@ -318,10 +319,13 @@ class Codec:
         return b"".join(map(self.tokens.__getitem__, ids.tolist())).decode("utf-8", "replace")
 
 
-@lru_cache(maxsize=2)
+_codec = lru_cache(maxsize=2)(Codec)
+
+
 def codec(path: str, pattern: str) -> Codec:
     """One for each worker process."""
-    return Codec(path, pattern)
+    worker.keeps("chunk_bpe", _codec.cache_clear)
+    return _codec(path, pattern)
 
 
 def _mapped(docs: DataFrame, key: str, text: str, path: str, pattern: str, columns: dict[str, tuple[str, pa.DataType]], finish) -> DataFrame:

@@ -25,13 +25,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bizdiag.llm.batches import chunks
+from bizdiag.llm import worker
+from bizdiag.llm.batches import chunks, unused
 
 ORDER = 4
 TRAIN_ROWS = 400
 TRAIN_BYTES = 65_536
 LANGUAGES = 64
 UNKNOWN = "und"
+#: Texts scored at once; about 80 bytes are held for each of theirs.
+CHUNK_BYTES = 512 << 10
 _MASK = [np.uint64((1 << 8 * (k + 1)) - 1) for k in range(ORDER + 1)]
 
 
@@ -205,11 +208,12 @@ def identify(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str
     # the tables are laid out on the worker: what is broadcast is the bounded count table alone
     shared = docs.sparkSession.sparkContext.broadcast([(m.languages, m.gram[ORDER], m.count[ORDER].astype(np.int32)) for m in models])
     names, name = own.columns, uuid.uuid4().hex
+    letters = unused("_letters", names)
 
     def run(batches):
         trees = _models_of(name, shared)
         languages = [x for t in trees for x in t.languages]
-        for part in chunks(batches, text, 2 << 20):
+        for part in chunks(batches, text, CHUNK_BYTES):
             raw = [(t or "").encode() for t in part.column(text).to_pylist()]
             pred, score, rate = [UNKNOWN] * len(raw), [0.0] * len(raw), [None] * len(raw)
             full = [i for i, t in enumerate(raw) if t]
@@ -218,10 +222,10 @@ def identify(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str
                 best = bits.argmin(1)
                 least = bits[np.arange(len(full)), best]
                 chance = 1 / np.exp2(np.clip(least[:, None] - bits, -1000, 0)).sum(1)
-                letters = part.column("_letters").to_pylist()
+                lettered = part.column(letters).to_pylist()
                 for i, b, c, n in zip(full, best, chance, least):
                     rate[i] = float(n) / len(raw[i])
-                    if letters[i]:
+                    if lettered[i]:
                         pred[i], score[i] = languages[b], float(c)
             columns = [part.column(n) for n in names] + [pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(rate, pa.float64())]
             yield pa.RecordBatch.from_arrays(columns, names=[*names, "lang_pred", "score", "bits_per_byte"])
@@ -229,7 +233,7 @@ def identify(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str
     from pyspark.sql import types as T
 
     added = T.StructType.fromDDL("lang_pred string, score double, bits_per_byte double")
-    return own.withColumn("_letters", F.col(text).rlike(r"\p{L}")).mapInArrow(run, T.StructType(list(own.schema) + list(added)))
+    return own.withColumn(letters, F.col(text).rlike(r"\p{L}")).mapInArrow(run, T.StructType(list(own.schema) + list(added)))
 
 
 _models: dict = {}
@@ -237,6 +241,7 @@ _models: dict = {}
 
 def _models_of(name: str, shared) -> list[Model]:
     """The broadcast models, laid out once for each worker process."""
+    worker.keeps("language", _models.clear)
     if name not in _models:
         _models.clear()
         _models[name] = [Model(*x) for x in shared.value]

@@ -21,6 +21,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from bizdiag.llm import worker
 from bizdiag.llm.batches import chunks, sampled
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -75,10 +76,13 @@ class Counting:
         return [self.lengths([t])[0] if p is None else sum(map(get, p)) for t, p in zip(texts, pieces)]
 
 
-@lru_cache(maxsize=2)
+_counting = lru_cache(maxsize=2)(Counting)
+
+
 def counting(path: str, pattern: str) -> Counting:
     """One for each worker process."""
-    return Counting(path, pattern)
+    worker.keeps("tokens", _counting.cache_clear)
+    return _counting(path, pattern)
 
 
 def frequent_pieces(docs: DataFrame, path: str, pattern: str, key: str, text: str) -> tuple[list[str], list[int]]:

@@ -11,6 +11,8 @@ from itertools import chain
 import numpy as np
 import xxhash
 
+from bizdiag.llm import worker
+
 CACHE_WORDS = 300_000
 
 
@@ -25,6 +27,7 @@ _cache = _Hashes()
 
 def hashes(words: list[list[bytes]]) -> np.ndarray:
     """The hashes of all words, one list after the other."""
+    worker.keeps("words", _cache.clear)
     if len(_cache) > CACHE_WORDS:
         _cache.clear()
     return np.fromiter(map(_cache.__getitem__, chain.from_iterable(words)), np.uint64, sum(map(len, words)))
