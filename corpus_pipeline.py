@@ -28,14 +28,16 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of near-duplicates; rows without id all stay.
 
-    Of rows that repeat an id one stays.
+    Of rows that repeat an id one stays, by a hash of the text.
     """
     found = near_text.near_duplicates(docs)
     stay = found.filter("doc_id is not null and kept").groupBy("doc_id").agg(F.count("*").alias("_copies"))
     stay = written(stay)
     kept = docs.join(stay.select("doc_id"), "doc_id", "left_semi")
     if stay.filter("_copies > 1").limit(1).count():
-        kept = kept.dropDuplicates(["doc_id"])
+        row = F.struct(*[F.col(c) for c in docs.columns])
+        first = F.min_by(row, F.struct(F.xxhash64("text"), F.xxhash64(*docs.columns)))  # the same row in every run
+        kept = kept.groupBy("doc_id").agg(first.alias("row")).select("row.*")
     return kept.unionByName(docs.filter("doc_id is null")).select(docs.columns)
 
 
