@@ -45,6 +45,8 @@ BLOCK = 256
 #: Texts that are sketched or verified at once, and rows that are verified beside one copy of their hub's text.
 CHUNK_BYTES = 512 << 10
 GROUP = 256
+#: Bits of the table that keeps texts out of a shuffle which no pair asks for: 64 a row, so at most 65,536 rows.
+BITS = 1 << 22
 
 _rng = np.random.default_rng(20_240_229)
 _FACTOR = _rng.integers(0, 1 << 63, REGISTERS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -135,6 +137,18 @@ def _estimated(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "n_a", "n_b", "regs_a", "regs_b").mapInArrow(run, "a long, b long")
 
 
+def _asked_for(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """``texts`` without most of those whose ``id`` is not among ``ids``, by a bit table that is broadcast.
+
+    Its size is fixed; the more ids there are, the more other texts pass, which the join that follows drops.
+    """
+    slot = lambda c: F.pmod(F.xxhash64(F.lit(41), c), F.lit(BITS))
+    word, bit = F.shiftright(slot("id"), 6), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(41, id), {BITS}) & 63 as int))")
+    table = ids.select(word.alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    passed = texts.withColumn("word", word).join(F.broadcast(table), "word").filter(F.col("bits").bitwiseAND(bit) != 0)
+    return passed.select(texts.columns)
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets reach the threshold.
 
@@ -144,9 +158,9 @@ def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     pairs = written(pairs)
     sizes = pairs.groupBy("a").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("parts"))
     dealt = pairs.join(sizes, "a").select("a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), "b")
-    side = lambda x: texts.select(F.col("id").alias(x), "text")
-    leads = dealt.groupBy("a", "part").count().select("a", "part", F.lit(None).cast("long").alias("b")).join(side("a"), "a")
-    rows = leads.select("a", "part", "b", "text").unionByName(dealt.join(side("b"), "b").select("a", "part", "b", "text"))
+    leads = dealt.groupBy("a", "part").count().select("a", "part", F.lit(None).cast("long").alias("b"))
+    wanted = leads.unionByName(dealt).withColumn("id", F.coalesce("b", "a"))
+    rows = wanted.join(_asked_for(texts, wanted.select("id")), "id").select("a", "part", "b", "text")
 
     def run(batches):
         at, held = None, []  # a hub has several texts if rows repeat its id
@@ -324,7 +338,8 @@ def _across(dealt: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     32 bits of each hash and so that no pair is missed. What they find is yet to be verified.
     """
     wanted = written(_in_question(dealt, percent))
-    sets = _short_sets(texts.join(wanted.select("id").distinct(), "id"))
+    ids = wanted.select("id").distinct()
+    sets = _short_sets(_asked_for(texts, ids).join(ids, "id"))
     ready = wanted.join(sets, "id").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "id")
 
     def run(batches):
