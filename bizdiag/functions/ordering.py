@@ -14,7 +14,11 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from bizdiag.functions.lineage import written
+
 _CELL_BITS = 9
+#: Bits that ``monotonically_increasing_id`` has for the place inside a partition.
+_PLACE_BITS = 33
 
 
 def value_cell(c: Column) -> Column:
@@ -128,65 +132,26 @@ def quantiles(
 def with_order_number(
     df: DataFrame, group: Sequence[str], value: str, label: str, name: str
 ) -> DataFrame:
-    """Number the rows of a group by ``value`` descending, ``label`` ascending, NULL label last.
+    """Number the rows of a group by ``value`` descending, ``label`` ascending, NULLs last.
 
-    ``(group, label)`` must be unique. Ties of one value are ordered by label; the labels of a tie
-    are cut into cells by the characters after their common prefix, so that even a tie of many
-    million rows is sorted in many tasks.
+    ``(group, label)`` must be unique. Rows are sorted over ranges of (group, value, label) whose cut
+    points Spark samples, so a tie of any size and with any labels spreads over many tasks. A row's
+    place in its range, plus the rows of the ranges before it, is its number: one small table has a
+    row for each range, and nothing is joined on values. Runs the sort when called.
     """
-    keyed = df.withColumn("_v", F.col(value)).withColumn("_l", F.col(label))
-    pos = value_positions(keyed, group, "_v").select(
-        *[F.col(g).alias(f"_p_{g}") for g in group],
-        F.col("_v").alias("_p_v"),
-        (F.col("total") - F.col("below") - F.col("n")).alias("_ahead"),
-    )
-    tie = [*group, "_v"]
-    prefix = (
-        keyed.groupBy(*tie)
-        .agg(F.min("_l").alias("_min"), F.max("_l").alias("_max"))
-        .select(
-            *[F.col(g).alias(f"_t_{g}") for g in group],
-            F.col("_v").alias("_t_v"),
-            _common_prefix_length(F.col("_min"), F.col("_max")).alias("_skip"),
-        )
-    )
-    same_pos = F.col("_v") == F.col("_p_v")
-    same_tie = F.col("_v") == F.col("_t_v")
-    for g in group:
-        same_pos = same_pos & F.col(g).eqNullSafe(F.col(f"_p_{g}"))
-        same_tie = same_tie & F.col(g).eqNullSafe(F.col(f"_t_{g}"))
-    rows = (
-        keyed.join(pos, same_pos)
-        .join(prefix, same_tie)
-        .withColumn("_lcell", F.expr("substring(_l, coalesce(_skip, 0) + 1, 3)"))
-    )
-    cells = rows.groupBy(*tie, "_lcell").agg(F.count("*").alias("_k"))
-    ahead = (
-        Window.partitionBy(*tie)
-        .orderBy(F.col("_lcell").asc_nulls_last())
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    cells = cells.select(
-        *[F.col(g).alias(f"_c_{g}") for g in group],
-        F.col("_v").alias("_c_v"),
-        F.col("_lcell").alias("_c_l"),
-        F.coalesce(F.sum("_k").over(ahead), F.lit(0)).alias("_cells_ahead"),
-    )
-    same_cell = (F.col("_v") == F.col("_c_v")) & F.col("_lcell").eqNullSafe(F.col("_c_l"))
-    for g in group:
-        same_cell = same_cell & F.col(g).eqNullSafe(F.col(f"_c_{g}"))
-    inside = Window.partitionBy(*tie, "_lcell").orderBy(F.col("_l").asc_nulls_last())
-    return (
-        rows.join(cells, same_cell)
-        .withColumn(name, F.col("_ahead") + F.col("_cells_ahead") + F.row_number().over(inside))
-        .select(*df.columns, name)
-    )
-
-
-def _common_prefix_length(a: Column, b: Column) -> Column:
-    """Length of the common prefix of two strings; of the smallest and largest it holds for all."""
-    steps = F.sequence(F.lit(1), F.greatest(F.least(F.length(a), F.length(b)), F.lit(1)))
-    same = F.filter(steps, lambda i: F.substring(a, 1, i) == F.substring(b, 1, i))
-    return F.when(a.isNull() | b.isNull(), F.lit(0)).otherwise(
-        F.coalesce(F.array_max(same), F.lit(0))
-    )
+    order = [F.col(value).desc_nulls_last(), F.col(label).asc_nulls_last()]
+    number = F.monotonically_increasing_id()  # the range's number, then the place in it
+    placed = written(df.orderBy(*[F.col(g) for g in group], *order).withColumn("_at", number))
+    spot = placed.withColumn("_range", F.call_function("shiftright", "_at", F.lit(_PLACE_BITS)))
+    before = Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = spot.groupBy(F.col("_range").alias("_r")).agg(F.count("*").alias("_rows"))
+    ranges = ranges.select("_r", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_ahead"))
+    place = F.col("_at").bitwiseAND(F.lit((1 << _PLACE_BITS) - 1))
+    out = spot.join(ranges, F.col("_range") == F.col("_r")).withColumn(name, F.col("_ahead") + place + 1)
+    if group:
+        firsts = out.groupBy(*[F.col(g).alias(f"_g_{g}") for g in group]).agg(F.min(name).alias("_first"))
+        match = F.lit(True)
+        for g in group:
+            match = match & F.col(g).eqNullSafe(F.col(f"_g_{g}"))
+        out = out.join(firsts, match).withColumn(name, F.col(name) - F.col("_first") + 1)
+    return out.select(*df.columns, name)

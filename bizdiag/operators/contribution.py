@@ -69,35 +69,39 @@ def contribution(
     cs, cv = exact_value(metric_id, available, "c_")
     bs, bv = exact_value(metric_id, available, "b_")
     zero = F.lit(0).cast("decimal(24,2)")
-    members = rows.groupBy(dimension).agg(*aggregates()).select(
+    # the members and the total of each, in one scan; all that follows reads this small table
+    raw = [F.grouping(dimension).alias("_total"), *aggregates()]
+    sides = written(rows.groupingSets([[dimension], []], dimension).agg(*raw))
+    members = sides.where("_total = 0").select(
         F.col(dimension).alias("dimension_value"),
         (((F.col("c_rows") > 0) & (cs != AVAILABLE)) | ((F.col("b_rows") > 0) & (bs != AVAILABLE))).alias("bad"),
         F.when(F.col("c_rows") > 0, cv).otherwise(zero).alias("current_value"),
         F.when(F.col("b_rows") > 0, bv).otherwise(zero).alias("baseline_value"),
     ).withColumn("delta", (F.col("current_value") - F.col("baseline_value")).cast("decimal(24,2)"))
-    # header, shares and ranking all read the members: the fact is scanned once for them
-    members = written(members)
-    overall = rows.groupBy().agg(*aggregates()).select(
+    # without any row there is no total either; the maximum of the one row there is keeps the types
+    one = [c for c in sides.columns if c not in (dimension, "_total")]
+    overall = sides.where("_total = 1").groupBy().agg(*[F.max(c).alias(c) for c in one])
+    overall = overall.withColumns({c: F.coalesce(c, F.lit(0)).cast("long") for c in ("c_rows", "b_rows")}).select(
         _side(cs, "c_rows").alias("current_state"), _side(bs, "b_rows").alias("baseline_state"),
         F.when(F.col("c_rows") > 0, cv).otherwise(zero).alias("overall_current"),
         F.when(F.col("b_rows") > 0, bv).otherwise(zero).alias("overall_baseline"),
     )
     header = _header(members, overall, metric_id, dimension, comparison, (c0, c1, b0, b1))
 
+    # ranked before shares are known, so that the sort does not wait for the header
+    ranked = with_order_number(
+        members.withColumn("_size", F.abs("delta")), [], "_size", "dimension_value", "rank_by_absolute_change"
+    )
     total = header.select(F.struct("status", "overall_delta", "movement_total")).scalar()
-    segments = members.withColumn("_h", total).where(F.col("_h.status") != UNAVAILABLE)
+    segments = ranked.withColumn("_h", total).where(F.col("_h.status") != UNAVAILABLE)
     segments = segments.select(
         F.lit(dimension).alias("dimension"), "dimension_value", "current_value", "baseline_value",
         "delta",
         share(F.col("delta"), F.col("_h.overall_delta")).alias("net_change_share"),
         share(F.abs("delta"), F.col("_h.movement_total")).alias("movement_share"),
-        direction_of(F.col("delta")).alias("direction"),
-        F.abs("delta").alias("_size"),
-    )
-    ranked = with_order_number(
-        segments, [], "_size", "dimension_value", "rank_by_absolute_change"
+        direction_of(F.col("delta")).alias("direction"), "rank_by_absolute_change",
     )
-    return ranked.drop("_size"), header.drop("movement_total")
+    return segments, header.drop("movement_total")
 
 
 def share(part: Column, whole: Column) -> Column:

@@ -59,6 +59,35 @@ def test_order_number_splits_ties_by_label(spark):
     assert got == {k: i for i, (k, _) in enumerate(want, 1)}
 
 
+def test_order_number_within_groups_and_of_nothing(spark):
+    rnd = random.Random(6)
+    data = [(rnd.choice("ab") if i % 9 else None, f"k{i:04d}", rnd.choice([None, 1.0, 2.0])) for i in range(300)]
+    df = spark.createDataFrame(data, "g string, k string, v double")
+    got = {r.k: r.n for r in with_order_number(df, ["g"], "v", "k", "n").collect()}
+    for g in ("a", "b", None):
+        want = sorted((r for r in data if r[0] == g), key=lambda r: (r[2] is None, -(r[2] or 0), r[1]))
+        assert [got[k] for _, k, _ in want] == list(range(1, len(want) + 1))
+    assert with_order_number(df.limit(0), [], "v", "k", "n").count() == 0
+
+
+def test_a_tie_of_like_labels_splits(spark):
+    """A tie of 200,000 long labels that differ at their end, and one other: each range holds a few per cent."""
+    label = F.when(F.col("id") == 0, "odd").otherwise(F.concat(F.lit("a long common beginning "), F.lpad(F.col("id").cast("string"), 9, "0")))
+    df = spark.range(200_001).select(label.alias("k"), F.lit(5).alias("v"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    spark.conf.set("spark.sql.shuffle.partitions", "50")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        out = with_order_number(df, [], "v", "k", "n")
+        sizes = df.orderBy(F.desc("v"), "k").groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+        assert sizes < 0.05 * 200_001
+        assert out.where("k = 'odd'").first().n == 200_001
+        assert out.where("n = try_cast(substring(k, 25) as int)").count() == 200_000
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+
+
 def test_cells_hold_few_values_whatever_the_unit(spark):
     df = spark.range(200_000).select((F.col("id") / 4e11 + 5e-7).alias("v"))
     cells = df.groupBy(value_cell(F.col("v")).alias("c")).count()
