@@ -44,7 +44,9 @@ def date_of(text: Column) -> tuple[Column, Column]:
     day = F.initcap(F.regexp_replace(F.regexp_replace(text, TIME_OF_DAY, ""), r"(\d)-([A-Za-z]+)-(\d)", "$1 $2 $3"))
     parsed = F.coalesce(year_first, *[F.try_to_timestamp(day, F.lit(f)) for f in DATE_FORMATS]).cast("date")
     is_serial = F.coalesce(number.between(SERIAL_MIN, SERIAL_MAX), F.lit(False))
-    value = F.when(is_serial, serial).otherwise(parsed)
+    # most exports write plain ISO days: one pattern and one cast, nothing else is tried for them
+    plain = F.when(text.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$"), text).try_cast("date")
+    value = F.coalesce(plain, F.when(is_serial, serial).otherwise(parsed))
     return value, text.isNotNull() & value.isNull()
 
 

@@ -515,14 +515,14 @@ FROM (SELECT *, k >= 20 AND spread > 0 AS ready, (CAST(x * k - sx AS DOUBLE) / C
   FROM (SELECT *, k * sxx - sx * sx AS spread FROM (SELECT date, channel, x, COUNT(*) OVER w AS k, SUM(x) OVER w AS sx, SUM(x * x) OVER w AS sxx
     FROM (SELECT date, channel, CAST(SUM(leads) AS BIGINT) AS x FROM f_daily WHERE date <= DATE '{END}' GROUP BY 1, 2) AS d
     WINDOW w AS (PARTITION BY channel ORDER BY date RANGE BETWEEN INTERVAL 28 DAY PRECEDING AND INTERVAL 1 DAY PRECEDING)) AS a) AS b) AS c
-WHERE date >= DATE '1995-03-01'"""
+WHERE date >= DATE '{START}'"""
 
 
 @query("anomaly_zscore", _z)
 def _(spark, sf):
     from pyspark.sql import functions as F
 
-    df = anomaly.evaluate_rules(daily_fact(spark, sf, ("channel",)), "1995-03-01", END, [ZSCORE_RULE])
+    df = anomaly.evaluate_rules(daily_fact(spark, sf, ("channel",)), START, END, [ZSCORE_RULE])
     df = df.withColumn("z_score", F.round("z_score", 9))
     return edge(df, "rule_id", "date", "dimension_value", "current_value", "baseline_value", "z_score", "skip_reason", "severity")
 
