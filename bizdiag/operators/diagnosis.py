@@ -205,8 +205,14 @@ def diagnose(
             tops.append(top)
     empty = events.where(F.lit(False))
     observations = _union(observations, _observations_empty(empty))
-    if not findings:
-        raise ValueError("no rule has a recipe with an open candidate dimension")
+    if not findings:  # every event's dimensions are fixed or its trigger: observations, and no findings
+        mid = pairs[0][0]
+        recipe = defs.checked_recipe(mid, recipes[mid])
+        dims = recipe["candidate_dimensions"]
+        ev, none = _measured(df.where(F.lit(False)), events.where(F.lit(False)), mid, None, recipe, dims, None)
+        states, top = _findings(none, _attempts(ev, _observations(ev, none, recipe, available), recipe, dims), recipe, available)
+        findings.append(states.drop("reason"))
+        tops.append(top)
     findings, tops = _union(findings, None), _union(tops, None)
     skipped = _union(skipped, None)
     results = _results(events, observations, findings, skipped, recipes)

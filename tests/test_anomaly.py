@@ -138,6 +138,17 @@ def test_diagnosis_of_one_event(fact):
     assert "- 有效线索：current=145，baseline=180，delta=-35" in text
 
 
+def test_diagnosis_without_an_open_dimension(fact):
+    df = diagnosable(fact)
+    ev = anomaly.events(anomaly.evaluate_rules(df, DAY[7], DAY[7], [CHANNEL]))
+    first = df.first()
+    fixed = {d: first[d] for d in defs.RECIPES[CHANNEL["metric_id"]]["candidate_dimensions"]}
+    d = diagnosis.diagnose(df, ev, filters=fixed)
+    assert d.results.count() == ev.count() and d.findings.count() == 0
+    assert {r.reason for r in d.skipped.collect()} == {"dimension fixed by scope filter"}
+    assert d.observations.select("metric_id").distinct().count() == 2 and d.evidence.count() > 0
+
+
 def test_batch_equals_one_by_one(fact):
     df = diagnosable(fact)
     team = {**defs.RULES[1], "direction": "both", "thresholds": {"info": ("relative_change", 0.01)}, "min_denominator": 1}
