@@ -5,8 +5,9 @@ from __future__ import annotations
 from bizdiag import definitions as defs
 from bizdiag.functions.lineage import written
 from bizdiag.operators import anomaly, contribution, diagnosis, metrics, trend
+from bizdiag.plans.diagnosis_sql import blocks
 from bizdiag.plans.edge import edge
-from bizdiag.plans.oracle import sql
+from bizdiag.plans.oracle import CTES, ONCE, sql
 from bizdiag.schema import COLUMNS
 from bizdiag.sources.adapters import daily_fact
 
@@ -561,12 +562,15 @@ def _percent_sql(c: str, sign: str = "", unit: str = "%") -> str:
     return f"FORMAT('{{:{sign}.2f}}{unit}', ROUND(100 * {c}, 2))"
 
 
+_SENTENCE = f"""CAST(date AS VARCHAR) || ' ' || {_by_rule(lambda r: r['dimension'])} || '=' || COALESCE(dimension_value, 'None') || '的' || {_by_rule(lambda r: defs.metric(r['metric_id'])['name'])}
+  || '为' || {_percent_sql('current_value')} || '，过去7日基线为' || {_percent_sql('baseline_value')} || COALESCE('，相对变化' || {_percent_sql('relative_change', '+')}, '')
+  || COALESCE('，百分点变化' || {_percent_sql('percentage_point_change', '+', 'pct')}, '') || '。'"""
+
+
 @query(
     "anomaly_event_evidence",
     f"""SELECT rule_id || '|' || CAST(date AS VARCHAR) || '|' || COALESCE(dimension_value, '<NULL>') AS event_id,
-  CAST(date AS VARCHAR) || ' ' || {_by_rule(lambda r: r['dimension'])} || '=' || COALESCE(dimension_value, 'None') || '的' || {_by_rule(lambda r: defs.metric(r['metric_id'])['name'])}
-  || '为' || {_percent_sql('current_value')} || '，过去7日基线为' || {_percent_sql('baseline_value')} || COALESCE('，相对变化' || {_percent_sql('relative_change', '+')}, '')
-  || COALESCE('，百分点变化' || {_percent_sql('percentage_point_change', '+', 'pct')}, '') || '。' AS evidence
+  {_SENTENCE} AS evidence
 FROM ({SCAN_ALL}) AS s WHERE severity IS NOT NULL""",
 )
 def _(spark, sf):
@@ -655,48 +659,39 @@ def _(spark, sf):
     )
 
 
-def _status_sql() -> str:
-    attempts = " UNION ALL ".join(
-        f"SELECT event_id, '{p}' AS metric_id, '{c}' AS dimension FROM ev WHERE rule_id = '{rule}' AND m IS NOT NULL"
-        for rule, _d, parts, cands in _PAIRS for p in parts for c in cands
-    )
-    return f"""WITH obs AS MATERIALIZED ({_observed_sql()}), seg AS MATERIALIZED ({_drill_sql()}),
-ok AS (SELECT event_id, COUNT(*) AS n_obs, COUNT(*) FILTER (WHERE current_status = 'available' AND baseline_status = 'available') AS n_ok FROM obs GROUP BY 1),
-tried AS (SELECT DISTINCT event_id, metric_id, dimension, NOT bad AND ckk > 0 AND bkk > 0 AND NOT unnamed AS good FROM seg),
-att AS (SELECT a.event_id, COUNT(*) AS n_try, COUNT(*) FILTER (WHERE COALESCE(t.good, FALSE)) AS n_good FROM ({attempts}) AS a LEFT JOIN tried AS t ON t.event_id = a.event_id AND t.metric_id = a.metric_id AND t.dimension = a.dimension GROUP BY 1)
-SELECT e.event_id, CASE WHEN e.m IS NULL THEN 'insufficient_data' WHEN n_ok = 0 AND n_good = 0 THEN 'insufficient_data'
-  WHEN n_ok <> n_obs OR n_good < n_try OR n_good = 0 THEN 'partial' ELSE 'complete' END AS status,
-  CAST(COALESCE(n_ok, 0) AS BIGINT) AS available_observations, CAST(COALESCE(n_good, 0) AS BIGINT) AS finding_count, CAST(COALESCE(n_try - n_good, 0) AS BIGINT) AS skipped_count
-FROM ev AS e LEFT JOIN ok ON ok.event_id = e.event_id LEFT JOIN att ON att.event_id = e.event_id"""
+SCOPE = {"channel": ["1-URGENT", "2-HIGH"]}
+for _blocks in (blocks("dg_", SCAN_ALL, _SENTENCE, RULES, {}), blocks("df_", SCAN_ALL, _SENTENCE, RULES, SCOPE)):
+    CTES.update(_blocks)
+    ONCE.update(_blocks)
 
 
-@query("diagnosis_results", _with_events(f"SELECT * FROM ({_status_sql()}) AS z"))
+@query("diagnosis_results", "SELECT event_id, status, available_observations, finding_count, CAST(skipped_count AS BIGINT) AS skipped_count FROM dg_results")
 def diagnosis_results(spark, sf):
     d = diagnosed(spark, sf)
     return edge(d.results, "event_id", "status", "available_observations", "finding_count", "skipped_count")
 
 
-@query("diagnosis_skipped_dimensions")
+@query("diagnosis_skipped_dimensions", "SELECT event_id, metric_id, dimension, reason FROM dg_skipped")
 def _(spark, sf):
     return edge(diagnosed(spark, sf).skipped)
 
 
-@query("diagnosis_scope_with_filters")
+@query("diagnosis_scope_with_filters", "SELECT event_id, status, finding_count, skipped_count, reason FROM df_results")
 def _(spark, sf):
-    d = diagnosed(spark, sf, {"channel": ["1-URGENT", "2-HIGH"]})
+    d = diagnosed(spark, sf, SCOPE)
     return edge(d.results, "event_id", "status", "finding_count", "skipped_count", "reason")
 
 
-@query("diagnosis_checks")
+@query("diagnosis_checks", "SELECT event_id, CAST(position AS BIGINT) AS position, text FROM dg_checks")
 def _(spark, sf):
     return edge(diagnosed(spark, sf).checks)
 
 
-@query("diagnosis_evidence")
+@query("diagnosis_evidence", "SELECT event_id, CAST(position AS BIGINT) AS position, kind, message FROM dg_evidence")
 def _(spark, sf):
     return edge(diagnosed(spark, sf).evidence)
 
 
-@query("diagnosis_event_text")
+@query("diagnosis_event_text", "SELECT event_id, summary FROM dg_text")
 def _(spark, sf):
     return edge(diagnosis.event_text(diagnosed(spark, sf)))

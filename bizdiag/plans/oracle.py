@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 
 CTES: dict[str, str] = {}
+ONCE: set[str] = set()  # blocks that are computed once, however often they are named
 
 
 def sql(body: str) -> str:
@@ -26,7 +27,8 @@ def sql(body: str) -> str:
     need(body)
     if not ordered:
         return body
-    blocks = ",\n".join(f"{n} AS (\n{CTES[n].strip()}\n)" for n in ordered)
+    once = lambda n: "MATERIALIZED " if n in ONCE else ""
+    blocks = ",\n".join(f"{n} AS {once(n)}(\n{CTES[n].strip()}\n)" for n in ordered)
     return f"WITH {blocks}\n{body.strip()}"
 
 
