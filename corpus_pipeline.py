@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from bizdiag.functions.lineage import written
 from bizdiag.llm import bpe, language, mixing, near_text, passages
+from bizdiag.llm.batches import unused
 
 #: A text that every learned language codes in more bits a byte than this is in none of them. Plain
 #: text of a learned language takes 2 to 3, and short text that is mostly a key or a token up to 8.
@@ -25,16 +26,33 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return found.filter(keep).select(docs.columns)
 
 
+def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """Rows of ``docs`` with an id that ``gone`` does not list.
+
+    Most rows that stay are told by a bit table of ``gone`` (broadcast, at most 65,536 rows) and go into no
+    shuffle; the others, removed rows and a few that share a bit with one, are joined by id.
+    """
+    word, bits = (unused(n, docs.columns) for n in ("_word", "_bits"))
+    slot = F.pmod(F.xxhash64(F.lit(43), F.col("doc_id").cast("long")), F.lit(near_text.BITS))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), slot.bitwiseAND(F.lit(63)).cast("int"))
+    table = gone.select(F.shiftright(slot, 6).alias(word), bit.alias(bits)).groupBy(word).agg(F.bit_or(bits).alias(bits))
+    rows = docs.filter("doc_id is not null").withColumn(word, F.shiftright(slot, 6))
+    marked = rows.join(F.broadcast(table), word, "left")
+    listed = F.coalesce(F.col(bits).bitwiseAND(bit) != 0, F.lit(False))
+    in_doubt = marked.filter(listed).select(docs.columns).join(gone, "doc_id", "left_anti")
+    return marked.filter(~listed).select(docs.columns).unionByName(in_doubt.select(docs.columns))
+
+
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of near-duplicates; rows without id all stay.
 
     Of rows that repeat an id one stays, by a hash of the text.
     """
     found = near_text.near_duplicates(docs)
-    stay = found.filter("doc_id is not null and kept").groupBy("doc_id").agg(F.count("*").alias("_copies"))
-    stay = written(stay)
-    kept = docs.join(stay.select("doc_id"), "doc_id", "left_semi")
-    if stay.filter("_copies > 1").limit(1).count():
+    each = found.filter("doc_id is not null").groupBy("doc_id")
+    ids = written(each.agg(F.bool_or("kept").alias("stays"), F.count_if("kept").alias("copies")))
+    kept = _without(docs, ids.filter("not stays").select("doc_id"))
+    if ids.filter("copies > 1").limit(1).count():
         row = F.struct(*[F.col(c) for c in docs.columns])
         first = F.min_by(row, F.struct(F.xxhash64("text"), F.xxhash64(*docs.columns)))  # the same row in every run
         kept = kept.groupBy("doc_id").agg(first.alias("row")).select("row.*")
