@@ -239,7 +239,18 @@ def _(spark, sf):
     )
 
 
-@query("health_attention_reasons")
+_pct = lambda c: f"FORMAT('{{:.1f}}%', ROUND(100 * {c}, 1))"
+
+
+@query(
+    "health_attention_reasons",
+    f"""SELECT {KEY_SQL}, CASE WHEN NOT known THEN 'UNRESOLVED_MERCHANT' ELSE CONCAT_WS('；',
+  CASE WHEN s1 THEN 'GMV环比明显下降(' || {_pct('gmv_mom')} || ')' END, CASE WHEN s2 THEN 'GMV排名恶化(' || CAST(gmv_rank_change AS VARCHAR) || '名)' END,
+  CASE WHEN s3 THEN 'GMV处于同月区域低分位' END, CASE WHEN s4 THEN '售后率处于同月区域高位' END, CASE WHEN s5 THEN '售后率明显恶化(' || {_pct('aftersales_rate_mom')} || ')' END,
+  CASE WHEN s6 THEN '订单数明显下降(' || {_pct('order_count_mom')} || ')' END, CASE WHEN s7 THEN 'GMV下降与订单数上升方向背离' END,
+  CASE WHEN s8 THEN 'GMV连续下降' || CAST(consecutive_gmv_decline AS VARCHAR) || '个月' END,
+  CASE WHEN latest AND gmv IS NULL THEN '近期GMV缺失' END, CASE WHEN latest AND cash_sales_amount IS NULL THEN '近期现金额缺失' END) END AS attention_reasons FROM h_attention""",
+)
 def _(spark, sf):
     return edge(attention_rows(spark, sf), "month", "merchant_key", "attention_reasons")
 
@@ -469,7 +480,21 @@ def _(spark, sf):
     return edge(df.withColumn("rank_change_text", dashboard.rank_change_text(F.col("gmv_rank_change"))), *P_KEY, "rank_change_text")
 
 
-@query("dashboard_reason_wording")
+_worded = (
+    """CASE WHEN gmv_rank_change IS NULL THEN '排名变化NA' WHEN gmv_rank_change = 0 THEN '排名持平' WHEN gmv_rank_change < 0 THEN '排名上升' || CAST(-gmv_rank_change AS VARCHAR) || '名'
+  ELSE '排名下降' || CAST(gmv_rank_change AS VARCHAR) || '名' END"""
+)
+
+
+@query(
+    "dashboard_reason_wording",
+    f"""SELECT {KEY_SQL}, COALESCE(ARRAY_TO_STRING(LIST_FILTER([
+  CASE WHEN d_trend THEN 'GMV趋势：' || COALESCE('GMV环比' || {_pct('gmv_mom')}, 'GMV连续下降') || CASE WHEN consecutive_gmv_decline >= 3 THEN '，连续下降' || CAST(consecutive_gmv_decline AS VARCHAR) || '个月' ELSE '' END END,
+  CASE WHEN d_impact THEN '区域影响：GMV损失' || COALESCE(FORMAT('{{:.2f}}', CAST(gmv_loss AS DOUBLE)), 'nan') || '，上月区域占比' || COALESCE({_pct('previous_gmv_share')}, 'nan%') END,
+  CASE WHEN d_relative THEN '相对位置：' || {_worded} || '，同月分位' || COALESCE({_pct('gmv_percentile')}, 'nan%') END,
+  CASE WHEN d_order THEN '订单：订单环比' || {_pct('order_count_mom')} END,
+  CASE WHEN d_service THEN '服务风险：售后率' || COALESCE({_pct('aftersales_rate')}, 'nan%') || COALESCE('，环比变化' || {_pct('aftersales_rate_mom')}, '') END], lambda x: x IS NOT NULL)[1:3], '｜'), '') AS reasons FROM p_all""",
+)
 def _(spark, sf):
     p = priority_rows(spark, sf)[0]
     return edge(p.withColumn("reasons", dashboard.reasons_text(F.col("attention_reasons"))), *P_KEY, "reasons")
