@@ -30,7 +30,7 @@ def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """Rows of ``docs`` with an id that ``gone`` does not list.
 
     Most rows that stay are told by a bit table of ``gone`` (broadcast, at most 65,536 rows) and go into no
-    shuffle; the others, removed rows and a few that share a bit with one, are joined by id.
+    shuffle. Of the others, ids alone tell the few that only share a bit with a removed one; texts meet just these.
     """
     word, bits = (unused(n, docs.columns) for n in ("_word", "_bits"))
     slot = F.pmod(F.xxhash64(F.lit(43), F.col("doc_id").cast("long")), F.lit(near_text.BITS))
@@ -39,8 +39,9 @@ def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     rows = docs.filter("doc_id is not null").withColumn(word, F.shiftright(slot, 6))
     marked = rows.join(F.broadcast(table), word, "left")
     listed = F.coalesce(F.col(bits).bitwiseAND(bit) != 0, F.lit(False))
-    in_doubt = marked.filter(listed).select(docs.columns).join(gone, "doc_id", "left_anti")
-    return marked.filter(~listed).select(docs.columns).unionByName(in_doubt.select(docs.columns))
+    by_chance = written(marked.filter(listed).select("doc_id").join(gone, "doc_id", "left_anti").distinct())
+    found = marked.filter(listed).select(docs.columns).join(by_chance, "doc_id", "left_semi")
+    return marked.filter(~listed).select(docs.columns).unionByName(found.select(docs.columns))
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
