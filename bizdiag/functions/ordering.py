@@ -16,7 +16,10 @@ from pyspark.sql import functions as F
 
 from bizdiag.functions.lineage import written
 
-_CELL_BITS = 9
+#: Cells per power of two.
+_CELLS = 256
+#: Finer cells of a cell, and the rows up to which a cell is split into its values.
+_SPLIT, _FEW = 4096.0, 65_536
 #: Bits that ``monotonically_increasing_id`` has for the place inside a partition.
 _PLACE_BITS = 33
 
@@ -24,22 +27,12 @@ _PLACE_BITS = 33
 def value_cell(c: Column) -> Column:
     """Integer cell which never decreases when ``c`` grows (256 cells per power of two, whatever the unit).
 
-    Only exact steps are used (products with powers of two, integers), so every executor assigns the
-    same cell.
+    ``log2`` is a strict logarithm over a constant, which by its contract is the same on every machine and
+    never falls when its argument grows. NULL has no cell; NaN is in that of the greatest values.
     """
     x = c.cast("double")
-    size = F.abs(x)
-    # each range of sizes is scaled to whole numbers of 31 to 62 bits; the first also holds 0
-    ranges = ((2.0**-30, 2.0**92), (2.0**2, 2.0**60), (2.0**34, 2.0**28))
-    scaled, number = F.least(size * 2.0**-2, F.lit(9e18)), F.lit(len(ranges))
-    for k, (below, factor) in reversed(list(enumerate(ranges))):
-        scaled = F.when(size < below, size * factor).otherwise(scaled)
-        number = F.when(size < below, k).otherwise(number)
-    whole = F.floor(scaled).cast("bigint")
-    bits = F.length(F.bin(whole))
-    top = F.call_function("shiftright", whole, F.greatest(bits - _CELL_BITS, F.lit(0)))
-    cell = (number.cast("bigint") * 64 + bits) * (1 << _CELL_BITS) + top
-    return F.when(x < 0, -cell).otherwise(cell)
+    size = F.least(F.log2(F.abs(x)), F.lit(1024.0)) * float(_CELLS) + float(1075 * _CELLS)  # at least 256
+    return F.when(x == 0, F.lit(0).cast("bigint")).when(x < 0, -F.floor(size)).when(x.isNotNull(), F.floor(size))
 
 
 def value_positions(df: DataFrame, group: Sequence[str], value: str) -> DataFrame:
@@ -85,48 +78,116 @@ def with_rank(
 
     A NULL value gets a NULL rank. Group columns must not be NULL.
     """
-    pos = value_positions(df, group, value)
-    out = [F.col(g).alias(f"_r_{g}") for g in group] + [F.col(value).alias("_r_value")]
-    if rank:
-        out.append((F.col("total") - F.col("below") - F.col("n") + 1).alias(rank))
-    if percentile:
-        # (below + (n + 1) / 2) / total, as one exact division
-        out.append(
-            (
-                (F.col("below") * 2 + F.col("n") + 1).cast("double")
-                / (F.col("total") * 2).cast("double")
-            ).alias(percentile)
-        )
-    pos = pos.select(*out)
-    match = F.col(value) == F.col("_r_value")
-    for g in group:
-        match = match & (F.col(g) == F.col(f"_r_{g}"))
-    return df.join(pos, match, "left").drop("_r_value", *[f"_r_{g}" for g in group])
+    return with_ranks(df, group, {value: (rank, percentile)})
+
+
+def with_ranks(
+    df: DataFrame, group: Sequence[str], wanted: Mapping[str, tuple[str | None, str | None]]
+) -> DataFrame:
+    """``with_rank`` of several values: value -> (name of the rank or None, name of the percentile or None).
+
+    Every value is placed from ``df`` itself and its table of distinct values is written, so that no value's
+    joins run again for the next one. Runs jobs when called.
+    """
+    out = df
+    for i, (value, (rank, percentile)) in enumerate(wanted.items()):
+        columns = [F.col(g).alias(f"_r{i}_{g}") for g in group] + [F.col(value).alias(f"_r{i}")]
+        if rank:
+            columns.append((F.col("total") - F.col("below") - F.col("n") + 1).alias(rank))
+        if percentile:
+            # (below + (n + 1) / 2) / total, as one exact division
+            columns.append(
+                (
+                    (F.col("below") * 2 + F.col("n") + 1).cast("double")
+                    / (F.col("total") * 2).cast("double")
+                ).alias(percentile)
+            )
+        pos = written(value_positions(df.select(*group, value), group, value).select(*columns))
+        match = F.col(value) == F.col(f"_r{i}")
+        for g in group:
+            match = match & (F.col(g) == F.col(f"_r{i}_{g}"))
+        out = out.join(pos, match, "left").drop(f"_r{i}", *[f"_r{i}_{g}" for g in group])
+    return out
+
+
+def _cells_hit(rows: DataFrame, group: Sequence[str], wanted: Mapping[str, float | Column]) -> DataFrame:
+    """Cells of a narrowing step that hold a wanted position: their rows, bounds and the rows below them."""
+    cells = rows.groupBy(*group, "_base", "_cell").agg(
+        F.count("*").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.max("_total").alias("_total")
+    )
+    before = Window.partitionBy(*group, "_base").orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    all_rows = F.sum("_n").over(Window.partitionBy(*group) if group else Window.partitionBy(F.lit(1)))
+    cells = cells.select(
+        *group, "_base", "_cell", "_n", "_lo", "_hi",
+        (F.col("_base") + F.coalesce(F.sum("_n").over(before), F.lit(0))).alias("_below"),
+        F.coalesce("_total", all_rows).alias("_total"),
+    )
+    holds = F.lit(False)
+    for q in wanted.values():
+        for k in _neighbours(F.col("_total"), q)[:2]:
+            holds = holds | _holds(k)
+    return cells.where(holds)
+
+
+def _neighbours(total: Column, q: float | Column) -> tuple[Column, Column, Column]:
+    """Positions (from 0) of the two values that a linear quantile lies between, and its way from the first."""
+    at = (total - 1) * q
+    low = F.floor(at)
+    return low, F.least(low + 1, total - 1), at - low
+
+
+def _holds(k: Column) -> Column:
+    return (F.col("_below") <= k) & (k < F.col("_below") + F.col("_n"))
 
 
 def quantiles(
     df: DataFrame, group: Sequence[str], value: str, wanted: Mapping[str, float | Column]
 ) -> DataFrame:
-    """Exact linear quantiles per group, plus the number of values as ``n_values``."""
-    pos = value_positions(df, group, value)
-    aggs = [F.max("total").alias("n_values")]
-    for name, q in wanted.items():
-        at = (F.col("total") - 1) * q
-        low = F.floor(at)
-        high = F.least(low + 1, F.col("total") - 1)
-        hit = lambda k: (F.col("below") <= k) & (k < F.col("below") + F.col("n"))
+    """Exact linear quantiles per group of the finite values as doubles, plus their number as ``n_values``.
+
+    Selection by narrowing: rows are counted by cell (a partial aggregate, so the shuffle has a row for each
+    cell and not for each value), a prefix sum tells the few cells that hold a wanted position, and only rows
+    of these are counted again by finer cells between the cell's least and greatest value. A cell of few rows
+    is split into its values at once. A step ends for a cell when it holds one value, so a tie of any size ends
+    it; three small aggregates are usual. Values are neither joined on nor sorted. Runs jobs when called.
+    """
+    v = F.col(value).cast("double")
+    rows = df.select(*group, v.alias("_v")).where(F.abs("_v") < float("inf"))  # NULL, NaN and infinity go
+    rows = rows.withColumns({
+        "_base": F.lit(0).cast("bigint"), "_total": F.lit(None).cast("bigint"), "_cell": value_cell(F.col("_v")).cast("double"),
+    })
+    found = []
+    while True:
+        rows = written(rows)
+        cells = written(_cells_hit(rows, group, wanted))
+        found.append(cells.where("_lo = _hi"))
+        wide = cells.where("_lo < _hi")
+        if not wide.limit(1).count():
+            break
+        names = {c: f"_p{c}" for c in (*group, "_base", "_cell", "_total")}
+        parents = wide.select("_n", "_lo", "_hi", "_below", *[F.col(c).alias(p) for c, p in names.items()])
+        match = F.lit(True)
+        for c in (*group, "_base", "_cell"):
+            match = match & F.col(c).eqNullSafe(F.col(names[c]))
+        # every step of this is monotone in floating point, so cells never overlap
+        finer = F.floor((F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * _SPLIT).cast("double")
+        rows = rows.join(parents, match).select(
+            *group, "_v", F.col("_below").alias("_base"), F.col(names["_total"]).alias("_total"),
+            F.when(F.col("_n") <= _FEW, F.col("_v")).otherwise(finer).alias("_cell"),
+        )
+    held = found[0]
+    for more in found[1:]:
+        held = held.unionByName(more)
+    aggs, out = [F.max("_total").alias("n_values")], []
+    for i, (name, q) in enumerate(wanted.items()):
+        low, high, way = _neighbours(F.col("_total"), q)
         aggs += [
-            F.max(F.when(hit(low), F.col(value).cast("double"))).alias(f"_lo_{name}"),
-            F.max(F.when(hit(high), F.col(value).cast("double"))).alias(f"_hi_{name}"),
-            F.max(at - low).alias(f"_w_{name}"),
+            F.max(F.when(_holds(low), F.col("_lo"))).alias(f"_l{i}"),
+            F.max(F.when(_holds(high), F.col("_lo"))).alias(f"_h{i}"),
+            F.max(way).alias(f"_w{i}"),
         ]
-    out = [
-        (
-            F.col(f"_lo_{n}") + (F.col(f"_hi_{n}") - F.col(f"_lo_{n}")) * F.col(f"_w_{n}")
-        ).alias(n)
-        for n in wanted
-    ]
-    return pos.groupBy(*group).agg(*aggs).select(*group, "n_values", *out)
+        out.append((F.col(f"_l{i}") + (F.col(f"_h{i}") - F.col(f"_l{i}")) * F.col(f"_w{i}")).alias(name))
+    return held.groupBy(*group).agg(*aggs).select(*group, "n_values", *out)
 
 
 def with_order_number(

@@ -7,7 +7,8 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from bizdiag.functions.ordering import quantiles, with_rank
+from bizdiag.functions.lineage import written
+from bizdiag.functions.ordering import quantiles, with_ranks
 from bizdiag.functions.text import joined, percent
 from bizdiag.operators.staging import rate
 
@@ -36,7 +37,7 @@ def health(staged: DataFrame) -> DataFrame:
     """Health columns per month and merchant.
 
     One window per merchant (its months) serves all changes and the run of declines; ranks within a
-    month are exact and are computed without one task per month.
+    month are exact and are computed without one task per month. Writes the rows when called.
     """
     df = as_month(staged)
     states = []
@@ -48,8 +49,8 @@ def health(staged: DataFrame) -> DataFrame:
         states.append(F.array_position(F.array(*[F.lit(q) for q in QUALITY]), F.col(f"{m}_quality_status")))
     worst = F.element_at(F.array(*[F.lit(q) for q in QUALITY]), F.greatest(*states).cast("int"))
     df = df.withColumn("metric_quality_status", worst)
-    df = with_rank(df, ["month"], "gmv", rank="gmv_rank", percentile="gmv_percentile")
-    df = with_rank(df, ["month"], "cash_sales_amount", rank="cash_sales_rank")
+    ranks = {"gmv": ("gmv_rank", "gmv_percentile"), "cash_sales_amount": ("cash_sales_rank", None)}
+    df = with_ranks(written(df), ["month"], ranks)
 
     by_merchant = Window.partitionBy("merchant_key").orderBy("month")
     adjacent = F.lag("month").over(by_merchant) == F.add_months("month", -1)

@@ -7,6 +7,7 @@ from datetime import date
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from bizdiag.functions.lineage import written
 from bizdiag.functions.ordering import quantiles
 from bizdiag.functions.text import fixed, percent
 from bizdiag.operators.health import as_month, pooled_quantiles, unresolved
@@ -168,8 +169,8 @@ def with_level(p: DataFrame) -> DataFrame:
 
 
 def priority(h: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(priority rows, thresholds) of the health rows."""
-    base = with_impact_and_scale(with_previous(h))
+    """(priority rows, thresholds) of the health rows, which are written on the way."""
+    base = written(with_impact_and_scale(written(with_previous(h))))
     thresholds = priority_thresholds(base)
     return with_level(with_dimensions(base, thresholds)), thresholds
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from bizdiag.functions.cleaning import name_col, provided
 from bizdiag.functions.lineage import written
-from bizdiag.functions.ordering import with_rank
+from bizdiag.functions.ordering import with_ranks
 
 METRICS = ("cash_sales_amount", "gmv", "order_count", "aftersales_order_count", "aftersales_rate")
 
@@ -221,8 +221,8 @@ def rate(current: Column, prior: Column) -> Column:
 
 def with_staging_ranks(staged: DataFrame) -> DataFrame:
     """Add each merchant's rank of the month by cash and by GMV; NULL values are not ranked."""
-    out = with_rank(staged, ["month"], "cash_sales_amount", rank="merchant_rank_cash_sales")
-    return with_rank(out, ["month"], "gmv", rank="merchant_rank_gmv")
+    ranks = {"cash_sales_amount": ("merchant_rank_cash_sales", None), "gmv": ("merchant_rank_gmv", None)}
+    return with_ranks(staged, ["month"], ranks)
 
 
 def reconcile(cash: DataFrame, gmv: DataFrame, after: DataFrame, staged: DataFrame) -> DataFrame:

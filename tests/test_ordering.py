@@ -7,6 +7,7 @@ import pytest
 
 from pyspark.sql import functions as F
 
+from bizdiag.functions import ordering
 from bizdiag.functions.ordering import quantiles, value_cell, with_order_number, with_rank
 
 
@@ -49,6 +50,36 @@ def test_quantiles_equal_linear_interpolation(spark, seed):
             assert got[g][name] == pytest.approx(np.quantile(values, q), abs=1e-9)
 
 
+def test_quantiles_narrow_down_to_close_and_far_values(spark, monkeypatch):
+    """Splits of four cells at a time, never by value: values one bit apart, of any size, and long ties."""
+    monkeypatch.setattr(ordering, "_SPLIT", 4.0)
+    monkeypatch.setattr(ordering, "_FEW", 1)
+    rnd = random.Random(9)
+    close = [float(np.nextafter(1.0, 2.0) + k * 2.0**-52) for k in range(40)]
+    groups = {
+        "close": close, "tie": [3.25] * 90 + [3.5], "one": [-7.0], "two": [0.0, 1e300],
+        "far": [rnd.choice([-1, 1]) * 2.0 ** rnd.uniform(-80, 90) for _ in range(120)], None: [1.0, 2.0, 2.0],
+    }
+    data = [(g, v) for g, vs in groups.items() for v in vs] + [("one", None), ("one", float("nan")), ("tie", float("inf"))]
+    df = spark.createDataFrame(data, "g string, v double")
+    wanted = {"q0": 0.0, "q30": 0.3, "q50": 0.5, "q90": 0.9, "q100": 1.0}
+    got = {r.g: r for r in quantiles(df, ["g"], "v", wanted).collect()}
+    assert set(got) == set(groups)
+    for g, vs in groups.items():
+        assert got[g].n_values == len(vs)
+        for name, q in wanted.items():
+            assert got[g][name] == pytest.approx(np.quantile(vs, q), rel=1e-14)
+    assert quantiles(df.limit(0), ["g"], "v", wanted).count() == 0
+
+
+def test_quantiles_of_all_rows_and_of_levels_in_a_column(spark):
+    df = spark.range(10_001).select((F.col("id") * F.col("id")).cast("decimal(18,2)").alias("v"), (F.col("id") % 3 / 2).alias("q"))
+    assert quantiles(df, [], "v", {"m": 0.5}).first().asDict() == {"n_values": 10_001, "m": 25_000_000.0}
+    got = {r.q: r.x for r in quantiles(df, ["q"], "v", {"x": F.col("q")}).collect()}
+    for q in (0.0, 0.5, 1.0):
+        assert got[q] == pytest.approx(np.quantile([i * i for i in range(10_001) if i % 3 / 2 == q], q))
+
+
 def test_order_number_splits_ties_by_label(spark):
     rnd = random.Random(5)
     data = [(f"Supplier#{i:05d}", float(rnd.choice([0, 0, 0, 5, 7]))) for i in range(400)]
