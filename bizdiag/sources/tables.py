@@ -6,6 +6,7 @@ import uuid
 from collections.abc import Mapping, Sequence
 from datetime import date, datetime, timezone
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,13 +14,16 @@ from bizdiag.operators.staging import require_unique
 from bizdiag.schema import COLUMNS, FACT_SCHEMA, column_type
 
 DATASET = "current"
-POINTER = "version string, published_at timestamp"
 
 
 class QualityBlocked(ValueError):
     """The report holds errors, so nothing is published."""
 
 
+class PublishConflict(RuntimeError):
+    """Another version became current since the number that this one builds on was read."""
+
+
 def availability_rows(spark: SparkSession, mapped: Mapping[str, str]) -> DataFrame:
     """18 rows: which canonical field is mapped to which source column."""
     rows = [(DATASET, i, f, f in mapped, mapped.get(f)) for i, f in enumerate(COLUMNS)]
@@ -28,43 +32,96 @@ def availability_rows(spark: SparkSession, mapped: Mapping[str, str]) -> DataFra
     )
 
 
-def publish_fact(df: DataFrame, report: DataFrame, path: str, mapped: Mapping[str, str]) -> int:
+def publish_fact(
+    df: DataFrame, report: DataFrame, path: str, mapped: Mapping[str, str], after: int | None = None
+) -> int:
     """Write fact, metadata and availability as a new version, then make it current.
 
-    ``report`` is the one-row quality report. The version becomes visible only with the last write,
-    a one-row pointer file, so readers never see a mix of versions.
+    ``report`` is the one-row quality report. ``after`` is the number of the version that this one follows
+    (``current_number``; by default the one current when the call begins). The version becomes visible only
+    with the last write, the manifest of the next number, which is created only if absent: of two writers
+    that follow the same version one gets ``PublishConflict``, and what it wrote is deleted. Clocks play no part.
     """
     spark = df.sparkSession
+    after = current_number(spark, path) if after is None else after
     verdict = report.select("is_valid", "row_count").first()
     if not verdict["is_valid"]:
         raise QualityBlocked("the quality report holds errors")
     version = uuid.uuid4().hex
     root = f"{path}/versions/{version}"
-    fact = df.select(*[F.col(c).cast(column_type(c)).alias(c) for c in COLUMNS])
     # rebalancing splits a month which holds a large share of the rows
+    fact = df.select(*[F.col(c).cast(column_type(c)).alias(c) for c in COLUMNS])
     fact = fact.withColumn("month", F.date_format("date", "yyyy-MM")).hint("rebalance", "month")
-    fact.write.partitionBy("month").parquet(f"{root}/fact")
-    rows = _read(spark, f"{root}/fact").count()
-    if rows != verdict["row_count"]:
-        raise ValueError("the report was made for other rows")
-    now = datetime.now(timezone.utc).replace(tzinfo=None)
-    spark.createDataFrame(
-        [(DATASET, rows, now)], "dataset_id string, row_count bigint, loaded_at timestamp_ntz"
-    ).write.parquet(f"{root}/metadata")
-    availability_rows(spark, mapped).write.parquet(f"{root}/availability")
-    spark.createDataFrame([(version, datetime.now())], POINTER).coalesce(1).write.mode("append").parquet(
-        f"{path}/pointer"
-    )
+    try:
+        fact.write.partitionBy("month").parquet(f"{root}/fact")
+        rows = _read(spark, f"{root}/fact").count()
+        if rows != verdict["row_count"]:
+            raise ValueError("the report was made for other rows")
+        now = datetime.now(timezone.utc).replace(tzinfo=None)
+        spark.createDataFrame(
+            [(DATASET, rows, now)], "dataset_id string, row_count bigint, loaded_at timestamp_ntz"
+        ).write.parquet(f"{root}/metadata")
+        availability_rows(spark, mapped).write.parquet(f"{root}/availability")
+        _commit(spark, path, after + 1, version)
+    except Exception:
+        _delete(spark, root)
+        raise
     return rows
 
 
+def _hadoop(spark: SparkSession, path: str):
+    """The path's file system and the path as objects of Hadoop."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    fs, at = _hadoop(spark, path)
+    fs.delete(at, True)
+
+
+def current_number(spark: SparkSession, path: str) -> int:
+    """Number of the current version; 0 where nothing is published."""
+    fs, at = _hadoop(spark, f"{path}/manifests")
+    if not fs.exists(at):
+        return 0
+    names = [s.getPath().getName() for s in fs.listStatus(at)]
+    return max((int(n) for n in names if n.isdigit()), default=0)
+
+
+def _commit(spark: SparkSession, path: str, number: int, version: str) -> None:
+    """Create the manifest of a number, whole or not at all, unless there is one.
+
+    The file is written under a name of its own and renamed without overwriting, which HDFS does in one
+    atomic step. On a store that cannot rename so, only one writer at a time is safe.
+    """
+    jvm, gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
+    # names that begin with a dot are no versions
+    fs, draft = _hadoop(spark, f"{path}/manifests/.{version}")
+    out = fs.create(draft, True)
+    out.write(bytearray(version.encode()))
+    out.close()
+    final = jvm.org.apache.hadoop.fs.Path(f"{path}/manifests/{number:020d}")
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(draft.toUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    no_options = gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
+    try:
+        context.rename(fs.makeQualified(draft), fs.makeQualified(final), no_options)
+    except Py4JJavaError as e:
+        fs.delete(draft, False)
+        if "FileAlreadyExists" in e.java_exception.getClass().getName():
+            raise PublishConflict(f"version {number} of {path} is already published") from e
+        raise
+
+
 def _read(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("basePath", path).parquet(path)
 
 
 def _current(spark: SparkSession, path: str) -> str:
-    row = spark.read.schema(POINTER).parquet(f"{path}/pointer").agg(F.max_by("version", "published_at")).first()
-    return f"{path}/versions/{row[0]}"
+    number = current_number(spark, path)
+    if not number:
+        raise FileNotFoundError(f"nothing is published at {path}")
+    return f"{path}/versions/{spark.read.text(f'{path}/manifests/{number:020d}').first()[0]}"
 
 
 def read_fact(

@@ -1,5 +1,6 @@
 """Sources, mapping, cleaning, quality and publishing."""
 
+from concurrent.futures import ThreadPoolExecutor
 from datetime import date
 
 import pytest
@@ -129,6 +130,38 @@ def test_publish_is_gated_and_versioned(spark, dirty, fact, tmp_path):
         tables.checked_availability(found.where("canonical_field <> 'team'")).collect()
 
 
+def test_of_two_writers_that_follow_one_version_one_fails_cleanly(spark, fact, tmp_path):
+    path = tmp_path / "fact"
+
+    def publish(leads, after=None):
+        s = mapping.standardise(fact([dict(date="2025-01-01", channel="A", leads=leads)]).select("date", "channel", "leads"))
+        return tables.publish_fact(s.frame, quality.quality_report(s), str(path), {"leads": "leads"}, after)
+
+    with pytest.raises(FileNotFoundError):
+        tables.read_fact(spark, str(path))
+    publish(1)
+    seen = tables.current_number(spark, str(path))
+    assert seen == 1
+
+    def attempt(leads):
+        try:
+            return publish(leads, seen) and leads
+        except tables.PublishConflict:
+            return None
+
+    with ThreadPoolExecutor(2) as pool:
+        done = [x for x in pool.map(attempt, (2, 3)) if x]
+    assert len(done) == 1
+    assert tables.read_fact(spark, str(path)).first().leads == done[0]
+    assert attempt(9) is None  # late, though no one is writing any more
+    assert tables.read_fact(spark, str(path)).first().leads == done[0]
+    # what the losers wrote is gone: two versions, two manifests, no draft
+    assert len(list((path / "versions").iterdir())) == 2
+    assert sorted(p.name for p in (path / "manifests").iterdir() if not p.name.endswith(".crc")) == [f"{n:020d}" for n in (1, 2)]
+    publish(4)
+    assert tables.current_number(spark, str(path)) == 3 and tables.read_fact(spark, str(path)).first().leads == 4
+
+
 def test_checked_scans(spark):
     df = spark.createDataFrame([("2026-01", "A"), ("2026-01", "A")], "month string, merchant_key string")
     with pytest.raises(ValueError, match="lacks columns"):
