@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bizdiag.definitions import CONSISTENCY_RULES, QUALITY_CONFIG
@@ -121,8 +121,13 @@ def quality_report(s: Standardised, config: Mapping = QUALITY_CONFIG) -> DataFra
 
 
 def issue_samples(s: Standardised, row_id: str, n: int | None = None, config: Mapping = QUALITY_CONFIG) -> DataFrame:
-    """First n rows and distinct values of every data issue, by row id."""
-    limit = n or checked_config(config)["sample_rows_limit"]
+    """First n rows and distinct values of every data issue, by row id.
+
+    An exceeded ratio has the rows of the field's NULLs and no values. Duplicates have no field; their
+    values are the grains of the first n rows, fields joined by ``|``, NULL as nothing.
+    """
+    c = checked_config(config)
+    limit = n or c["sample_rows_limit"]
     cells = []
 
     def cell(cond: Column, code: str, field: str, value: Column) -> None:
@@ -146,4 +151,32 @@ def issue_samples(s: Standardised, row_id: str, n: int | None = None, config: Ma
             cell(F.col(lower) > F.col(upper), code, lower, pair)
     found = s.frame.select(F.inline(F.array_compact(F.array(*cells))))
     bad = s.bad_cells.select("code", "field", "row_id", "value")
-    return first_values(found.unionByName(bad), limit)
+    out = first_values(found.unionByName(bad), limit)
+    exceeded = column_checks(s, c).where("code = 'missing_ratio_exceeded'").select("field")  # at most the 18 fields
+    nulls = out.where("code = 'mapped_field_nulls' and sample = 'row'").join(exceeded, "field", "left_semi")
+    out = out.unionByName(nulls.withColumn("code", F.lit("missing_ratio_exceeded")))
+    if c["duplicate_check_enabled"] and DATE in s.mapped:
+        out = out.unionByName(_duplicate_samples(s, row_id, limit))
+    return out
+
+
+def _duplicate_samples(s: Standardised, row_id: str, limit: int) -> DataFrame:
+    """First ``limit`` rows that share their grain with another row, and their grains.
+
+    Of each grain only the first ``limit`` rows can be among them, and a second row proves the duplicate. Spark
+    cuts each grain to these before the shuffle, so a grain of many rows is no large group.
+    """
+    number = F.coalesce(F.col(row_id).try_cast("bigint"), F.lit(0))
+    shown = F.concat_ws("|", *[F.coalesce(F.col(g).cast("string"), F.lit("")) for g in grain(s)])
+    place = Window.partitionBy(*grain(s)).orderBy("_n", "_id")
+    rows = s.frame.select(*grain(s), number.alias("_n"), F.col(row_id).cast("string").alias("_id"), shown.alias("_grain"))
+    first = rows.withColumn("_k", F.row_number().over(place)).where(F.col("_k") <= limit + 1)
+    several = F.max("_k").over(Window.partitionBy(*grain(s))) > 1
+    shared = first.withColumn("_several", several).where("_several").orderBy("_n", "_id").limit(limit)
+    position = F.row_number().over(Window.orderBy("_n", "_id"))  # of at most ``limit`` rows
+    row, value = (
+        F.struct(F.lit(kind).alias("sample"), "position", F.col(text).alias("text")) for kind, text in (("row", "_id"), ("value", "_grain"))
+    )
+    return shared.withColumn("position", position).select(
+        F.lit("duplicate_canonical_grain").alias("code"), F.lit(None).cast("string").alias("field"), F.inline(F.array(row, value))
+    )

@@ -322,7 +322,13 @@ UNION ALL SELECT 'leads_gte_valid_leads', 'valid_leads', k FROM raw_clean WHERE
 UNION ALL SELECT 'mapped_field_nulls', 'date', k FROM raw_clean WHERE date IS NULL UNION ALL SELECT 'mapped_field_nulls', 'channel', k FROM raw_clean WHERE channel IS NULL
 UNION ALL SELECT 'mapped_field_nulls', 'leads', k FROM raw_clean WHERE leads IS NULL UNION ALL SELECT 'mapped_field_nulls', 'gross_revenue', k FROM raw_clean WHERE gross_revenue IS NULL
 UNION ALL SELECT 'invalid_date', 'date', k FROM raw_clean WHERE date IS NULL UNION ALL SELECT 'invalid_numeric', 'leads', k FROM raw_clean WHERE leads_state = 'bad'
-UNION ALL SELECT 'non_integer_count', 'leads', k FROM raw_clean WHERE leads_state = 'split' UNION ALL SELECT 'invalid_numeric', 'gross_revenue', k FROM raw_clean WHERE price_state = 'bad') AS c) AS r WHERE rn <= 10""",
+UNION ALL SELECT 'non_integer_count', 'leads', k FROM raw_clean WHERE leads_state = 'split' UNION ALL SELECT 'invalid_numeric', 'gross_revenue', k FROM raw_clean WHERE price_state = 'bad'
+UNION ALL SELECT 'duplicate_canonical_grain', NULL, k FROM (SELECT k, COUNT(*) OVER (PARTITION BY date, channel) AS n FROM raw_clean) AS d WHERE n > 1
+UNION ALL SELECT 'missing_ratio_exceeded', 'date', k FROM raw_clean WHERE date IS NULL AND (SELECT AVG(CASE WHEN date IS NULL THEN 1.0 ELSE 0.0 END) FROM raw_clean) > 0.05
+UNION ALL SELECT 'missing_ratio_exceeded', 'channel', k FROM raw_clean WHERE channel IS NULL AND (SELECT AVG(CASE WHEN channel IS NULL THEN 1.0 ELSE 0.0 END) FROM raw_clean) > 0.05
+UNION ALL SELECT 'missing_ratio_exceeded', 'leads', k FROM raw_clean WHERE leads IS NULL AND (SELECT AVG(CASE WHEN leads IS NULL THEN 1.0 ELSE 0.0 END) FROM raw_clean) > 0.05
+UNION ALL SELECT 'missing_ratio_exceeded', 'valid_leads', k FROM raw_clean WHERE valid_leads IS NULL AND (SELECT AVG(CASE WHEN valid_leads IS NULL THEN 1.0 ELSE 0.0 END) FROM raw_clean) > 0.05
+UNION ALL SELECT 'missing_ratio_exceeded', 'gross_revenue', k FROM raw_clean WHERE gross_revenue IS NULL AND (SELECT AVG(CASE WHEN gross_revenue IS NULL THEN 1.0 ELSE 0.0 END) FROM raw_clean) > 0.05) AS c) AS r WHERE rn <= 10""",
 )
 def _(spark, sf):
     df = quality.issue_samples(standardised(spark, sf), "row_id")

@@ -6,11 +6,12 @@ from datetime import date
 
 from pyspark.sql import functions as F
 
-from bizdiag.functions.lineage import written
+from bizdiag.functions.lineage import new_folder, written
 from bizdiag.operators import case, facts, orders
 from bizdiag.plans.edge import edge
 from bizdiag.plans.merchant_queries import dbl
 from bizdiag.plans.oracle import CTES, sql
+from bizdiag.sources import tables
 from bizdiag.sources.adapters import merchant_traffic, order_items, table, traffic
 
 QUERIES, ORACLES = {}, {}
@@ -143,6 +144,15 @@ def _(spark, sf):
     return edge(orders.customer_contribution(lines, months_of(lines)[1]), *CONTRIBUTED, "customer_key", "customer_name")
 
 
+@query("source_mart_period_pairs", "SELECT DISTINCT merchant_key, CAST(previous_month AS VARCHAR) AS previous_month, CAST(current_month AS VARCHAR) AS current_month FROM i_customers")
+def _(spark, sf):
+    lines = written(flagged(spark, sf))
+    path = new_folder(spark)
+    tables.write_mart(orders.customer_contribution(lines, months_of(lines)[1]), path)
+    mart = tables.scan_mart(spark, path, "customer contribution", ("merchant_key", "customer_key"))
+    return edge(tables.single_pair(mart, ("previous_month", "current_month"), ("merchant_key",)))
+
+
 @query("orders_product_contribution", f"SELECT {_contributed}, product_key, product_name, mapping_quality_status FROM i_products")
 def _(spark, sf):
     lines = written(flagged(spark, sf))

@@ -180,12 +180,40 @@ def scan_checked(
     return require_unique(df, list(unique_key), name) if unique_key else df
 
 
-def single_pair(df: DataFrame, columns: Sequence[str] = ("previous_period", "current_period")) -> DataFrame:
-    """The one distinct period pair of a fact mart; several pairs fail the job."""
-    pairs = df.select(*columns).distinct()
-    n = pairs.agg(F.count("*")).scalar()
-    ok = F.when(n == 1, F.lit(True)).otherwise(F.raise_error(F.lit("expected exactly one period pair")))
-    return pairs.where(ok)
+# Columns that the readers of a mart need.
+_CONTRIBUTION = ("previous_month", "current_month", "previous_amount", "current_amount", "amount_change", "period_status")
+MART_COLUMNS = {
+    "monthly diagnosis": (
+        "month", "previous_month", "purchase_amount", "order_count", "aov", "purchase_amount_change",
+        "purchase_amount_change_rate", "order_count_change", "order_count_change_rate", "aov_change",
+        "aov_change_rate", "comparison_quality_status",
+    ),
+    "customer contribution": (*_CONTRIBUTION, "customer_key", "customer_name"),
+    "product contribution": (*_CONTRIBUTION, "product_key", "product_name", "mapping_quality_status"),
+    "diagnosis facts": (
+        "current_period", "previous_period", "fact_rank", "is_core_fact", "output_type", "diagnosis_dimension", "fact_code",
+        "fact_text", "evidence_level", "impact_amount", "impact_ratio", "quality_flags", "supporting_data",
+    ),
+}
+
+
+def scan_mart(spark: SparkSession, path: str, name: str, unique_key: Sequence[str] = ()) -> DataFrame:
+    """A written mart with all columns of its kind (a name in ``MART_COLUMNS``) and a unique key."""
+    return scan_checked(spark.read.parquet(path), MART_COLUMNS[name], unique_key, name)
+
+
+def single_pair(
+    df: DataFrame, columns: Sequence[str] = ("previous_period", "current_period"), by: Sequence[str] = ()
+) -> DataFrame:
+    """The one period pair of a mart, or of each group ``by``; several pairs, or no row at all, fail the job.
+
+    Only the least and the greatest pair of a group are kept, so a group of any size is combined map-side.
+    """
+    pair = F.struct(*columns)
+    found = df.groupBy(*by).agg(F.min(pair).alias("_least"), F.max(pair).alias("_greatest"))
+    one = F.when(F.col("_least") == F.col("_greatest"), True)  # NULL for an empty mart
+    ok = F.coalesce(one, F.raise_error(F.lit("expected exactly one period pair")).cast("boolean"))
+    return found.where(ok).select(*by, "_least.*")
 
 
 def write_mart(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:

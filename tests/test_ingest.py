@@ -47,6 +47,22 @@ def test_samples_are_bounded_and_ordered(dirty):
     assert quality.issue_samples(dirty, "row_id", 1).where("position > 1").count() == 0
 
 
+def test_samples_of_duplicates_and_of_an_exceeded_ratio(spark):
+    """A grain of a third of the rows, NULL equal to NULL; the ratio's samples are the rows of the NULLs."""
+    cells = [(str(i), "2024-07-01" if i % 3 == 0 else f"2024-08-{i % 28 + 1:02d}", None if i % 3 == 0 else f"c{i}", "1") for i in range(60)]
+    raw = spark.createDataFrame(cells, "row_id string, date string, channel string, leads string")
+    s = mapping.standardise(mapping.apply_mapping(raw, {c: c for c in ("date", "channel", "leads")}, keep=["row_id"]), "row_id")
+    got = {}
+    for r in quality.issue_samples(s, "row_id", 4).orderBy("position").collect():
+        got.setdefault((r.code, r.field, r.sample), []).append(r.text)
+    assert got["duplicate_canonical_grain", None, "row"] == ["0", "3", "6", "9"]
+    assert got["duplicate_canonical_grain", None, "value"] == ["2024-07-01|"] * 4
+    assert got["missing_ratio_exceeded", "channel", "row"] == got["mapped_field_nulls", "channel", "row"] == ["0", "3", "6", "9"]
+    assert ("missing_ratio_exceeded", "channel", "value") not in got and ("missing_ratio_exceeded", "leads", "row") not in got
+    lenient = {"missing_warning_threshold": 0.5, "duplicate_check_enabled": False}
+    assert {r.code for r in quality.issue_samples(s, "row_id", 4, lenient).collect()} == {"mapped_field_nulls"}
+
+
 def test_encodings_are_decided_per_file(spark, tmp_path):
     (tmp_path / "a.csv").write_text(TEXT, encoding="utf-8-sig")
     (tmp_path / "b.csv").write_text(TEXT, encoding="gb18030")
@@ -175,6 +191,22 @@ def test_checked_scans(spark):
         tables.single_pair(pairs.unionByName(spark.createDataFrame([("b", "c")], pairs.schema))).collect()
 
 
+def test_pairs_of_groups_and_mart_columns(spark, tmp_path):
+    schema = "m string, previous_month string, current_month string"
+    df = spark.createDataFrame([("a", "1", "2"), ("a", "1", "2"), ("b", None, "3"), (None, "4", "5")], schema)
+    months = ("previous_month", "current_month")
+    assert {tuple(r) for r in tables.single_pair(df, months, ["m"]).collect()} == {("a", "1", "2"), ("b", None, "3"), (None, "4", "5")}
+    with pytest.raises(Exception, match="exactly one"):
+        tables.single_pair(df.unionByName(spark.createDataFrame([("b", "2", "3")], schema)), months, ["m"]).collect()
+    with pytest.raises(Exception, match="exactly one"):
+        tables.single_pair(df.limit(0), months).collect()
+    assert tables.single_pair(df.limit(0), months, ["m"]).collect() == []
+    path = str(tmp_path / "mart")
+    tables.write_mart(df, path)
+    with pytest.raises(ValueError, match="customer contribution lacks columns.*customer_key"):
+        tables.scan_mart(spark, path, "customer contribution")
+
+
 def test_profile(spark):
     rows = [("13800138000", "2024年3月5日", None), ("x" * 50, "2024-02", ""), ("x" * 50, "n/a", "11010119900307123X")]
     df = spark.createDataFrame(rows, "name string, `日期` string, id string")
