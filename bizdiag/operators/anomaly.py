@@ -23,6 +23,8 @@ from bizdiag.operators.trend import calendar, day_number
 from bizdiag.schema import AVAILABLE, NO_DATA
 
 LOOKBACK = 7
+#: Decimals of the coarser sums of a ratio's history, used where those of nine decimals do not fit.
+COARSE = 2
 
 
 def _lookback(rule: Mapping) -> int:
@@ -87,7 +89,7 @@ def scan_rows(
     rows = rows.select(*keep, *base_columns)
     for i, rule in enumerate(chosen):
         if rule["method"] == "zscore":
-            rows = rows.withColumn(f"r{i}_x", _value_for_history(rule, i))
+            rows = rows.withColumns(_values_for_history(rule, i))
     windows = [c for i, r in enumerate(chosen) for c in _window_columns(r, i, by_member, first)]
     rows = rows.select("*", *windows)
     rows = rows.select(
@@ -136,16 +138,19 @@ def _query_start(rule: Mapping, start: date) -> date:
     return start - timedelta(days=rule["consecutive_days"] - 1 + _lookback(rule))
 
 
-def _value_for_history(rule: Mapping, i: int) -> Column:
-    """Available value as an exact decimal; ratio values are rounded to nine decimals first.
+def _values_for_history(rule: Mapping, i: int) -> dict[str, Column]:
+    """Available value as an exact decimal: a ratio rounded to nine decimals, and as ``y`` to ``COARSE`` ones.
 
-    A value too large for its exact sums (over 1e9 as a ratio) counts as absent, so that its rule is
-    skipped with ``no_data`` rather than the whole scan failing.
+    NULL where the value does not fit. A history is judged by the finer sums if all of its values and their
+    squares fit, else by the coarser ones (ratios up to 1e12 or so); beyond, it is skipped as ``out_of_range``.
     """
     ok, num, den = f"r{i}_c_status = '{AVAILABLE}'", f"r{i}_c_num", f"r{i}_c_den"
     if defs.metric(rule["metric_id"])["type"] == "ratio":
-        return F.expr(f"TRY_CAST(CASE WHEN {ok} THEN round({quotient(num, den)}, 9) END AS DECIMAL(18,9))")
-    return F.expr(f"TRY_CAST(CASE WHEN {ok} THEN {num} / CAST(100 AS DECIMAL(3,0)) END AS DECIMAL(20,2))")
+        value = lambda scale: F.expr(
+            f"TRY_CAST(CASE WHEN {ok} THEN round({quotient(num, den)}, {scale}) END AS DECIMAL(18,{scale}))"
+        )
+        return {f"r{i}_x": value(_scale(rule)), f"r{i}_y": value(COARSE)}
+    return {f"r{i}_x": F.expr(f"TRY_CAST(CASE WHEN {ok} THEN {num} / CAST(100 AS DECIMAL(3,0)) END AS DECIMAL(20,2))")}
 
 
 def _window_columns(rule: Mapping, i: int, by_member, start: date) -> list[Column]:
@@ -156,13 +161,16 @@ def _window_columns(rule: Mapping, i: int, by_member, start: date) -> list[Colum
     out = [(inside & (seen == 1)).alias(f"{p}first_seen")]
     if rule["method"] == "zscore":
         back = by_member.rangeBetween(-rule["history_window_days"], -1)
-        x = F.col(f"{p}x")
-        square = (x * x).try_cast(f"decimal(38,{2 * _scale(rule)})")
-        return out + [
-            F.count(x).over(back).alias(f"{p}n"),
-            F.sum(x).over(back).alias(f"{p}sx"),
-            F.sum(square).over(back).alias(f"{p}sxx"),
-        ]
+        out.append(F.count_if(F.expr(f"{p}c_status = '{AVAILABLE}'")).over(back).alias(f"{p}n"))
+        for name, scale in (("x", _scale(rule)), *([("y", COARSE)] if _scale(rule) > COARSE else [])):
+            x = F.col(f"{p}{name}")
+            square = (x * x).try_cast(f"decimal(38,{2 * scale})")
+            out += [
+                F.count(square).over(back).alias(f"{p}n{name}"),
+                F.sum(x).over(back).alias(f"{p}s{name}"),
+                F.sum(square).over(back).alias(f"{p}s{name}{name}"),
+            ]
+        return out
     if rule["comparison"] == "previous_week":
         back = by_member.rangeBetween(-LOOKBACK, -LOOKBACK)
         return out + [
@@ -188,21 +196,29 @@ def _judged(rule: Mapping, i: int) -> list[Column]:
     """Values, changes and skip reason of one rule."""
     p, mid = f"r{i}_", rule["metric_id"]
     cur = Result(f"{p}c_status", f"{p}c_num", f"{p}c_den", denominator=f"{p}c_denominator")
-    z, moves = NULL_NUMBER, "true"
+    z, moves, unfit = NULL_NUMBER, "true", "false"
     if rule["method"] == "zscore":
         # widths are chosen so that the products keep all their decimals
-        n, scale = f"{p}n", _scale(rule)
-        sx = f"TRY_CAST({p}sx AS DECIMAL(18,{scale}))"
-        sxx = f"TRY_CAST({p}sxx AS DECIMAL(33,{2 * scale}))"
-        # sums that do not fit are as good as no history
-        enough = f"({n} >= {rule['min_history_days']} AND {sx} IS NOT NULL AND {sxx} IS NOT NULL)"
-        spread = f"CAST(CAST({n} AS DECIMAL(4,0)) * {sxx} - {sx} * {sx} AS DOUBLE)"
+        n, steps = f"{p}n", []
+        for name, scale in (("x", _scale(rule)), *([("y", COARSE)] if _scale(rule) > COARSE else [])):
+            sx = f"TRY_CAST({p}s{name} AS DECIMAL(18,{scale}))"
+            sxx = f"TRY_CAST({p}s{name}{name} AS DECIMAL(33,{2 * scale}))"
+            unit = f"CAST({10**scale} AS DECIMAL(10,0))"
+            fits = f"({p}n{name} = {n} AND {sx} IS NOT NULL AND {sxx} IS NOT NULL)"
+            steps.append((
+                fits, f"CAST(CAST({n} AS DECIMAL(4,0)) * {sxx} - {sx} * {sx} AS DOUBLE)",
+                whole(f"{sx} * {unit}"), whole(f"CAST({n} AS DECIMAL(10,0)) * {unit}"),
+            ))
+        # the finest sums that fit
+        finest = lambda k: "CASE " + " ".join(f"WHEN {t[0]} THEN {t[k]}" for t in steps) + " END"
+        enough = f"({n} >= {rule['min_history_days']} AND ({' OR '.join(t[0] for t in steps)}))"
+        unfit = f"({n} >= {rule['min_history_days']} AND NOT {enough})"
+        spread = finest(1)
         moves = f"coalesce({spread} > 0, false)"
-        unit = f"CAST({10**scale} AS DECIMAL(10,0))"
         base = Result(
             f"CASE WHEN {enough} THEN '{AVAILABLE}' ELSE '{NO_DATA}' END",
-            f"CASE WHEN {enough} THEN {whole(f'{sx} * {unit}')} END",
-            f"CASE WHEN {enough} THEN {whole(f'CAST({n} AS DECIMAL(10,0)) * {unit}')} END",
+            f"CASE WHEN {enough} THEN {finest(2)} END",
+            f"CASE WHEN {enough} THEN {finest(3)} END",
             available=enough,
         )
         delta = change_columns(mid, cur, base)["delta"]
@@ -224,7 +240,7 @@ def _judged(rule: Mapping, i: int) -> list[Column]:
             for name, c in {**changes, "z_score": z}.items()
             if name != "comparison_status"
         },
-        "skip_reason": f"CASE WHEN NOT {ready} THEN 'no_data' WHEN {low} THEN 'low_volume' END",
+        "skip_reason": f"CASE WHEN {cur.ok} AND {unfit} THEN 'out_of_range' WHEN NOT {ready} THEN 'no_data' WHEN {low} THEN 'low_volume' END",
     }
     return [F.expr(c).alias(name) for name, c in out.items()]
 

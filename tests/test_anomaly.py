@@ -84,10 +84,20 @@ def test_zscore_of_ratio(fact):
     assert row.z_score == pytest.approx(3.0, abs=1e-6)  # mean 0.4, deviation 0.2
 
 
-def test_zscore_of_huge_values_is_skipped_not_failed(fact):
-    rows = [dict(date=DAY[i], leads=1, gross_revenue=f"{10**8 + i}", refund_amount="0") for i in range(29)]
+@pytest.mark.parametrize("unit", [10**7, 10**9, 10**11])
+def test_zscore_of_large_ratios(fact, unit):
+    """Fine sums do not fit: mean 6 and deviation 1 in units, judged all the same."""
+    rows = [dict(date=DAY[i], leads=1, gross_revenue=f"{unit * (5 + i % 2 * 2)}", refund_amount="0") for i in range(28)]
+    rows.append(dict(date=DAY[28], leads=1, gross_revenue=f"{unit * 12}", refund_amount="0"))
     row = scan(fact(rows), DAY[28], {**ZSCORE, "metric_id": "revenue_per_lead"})[0]
-    assert (row.severity, row.skip_reason) == (None, "no_data")
+    assert (row.skip_reason, row.severity) == (None, "critical")
+    assert row.z_score == pytest.approx(6.0, abs=1e-9) and row.baseline_value == 6.0 * unit
+
+
+def test_zscore_beyond_all_sums_says_so(fact):
+    rows = [dict(date=DAY[i], leads=1, gross_revenue=f"{10**15 + i}", refund_amount="0") for i in range(29)]
+    row = scan(fact(rows), DAY[28], {**ZSCORE, "metric_id": "revenue_per_lead"})[0]
+    assert (row.severity, row.skip_reason) == (None, "out_of_range")
 
 
 def test_summary_counts_members_without_data(fact):
