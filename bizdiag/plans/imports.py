@@ -19,7 +19,7 @@ def publish(s: mapping.Standardised, target: str, fields: Mapping[str, str]) ->
     Raises ``tables.QualityBlocked`` when the report holds errors.
     """
     with scratch(s.frame.sparkSession):
-        staged = dataclasses.replace(s, frame=written(s.frame))
+        staged = s if s.stored else dataclasses.replace(s, frame=written(s.frame))
         report = written(quality.quality_report(staged))
         return tables.publish_fact(staged.frame, report, target, fields)
 
@@ -29,5 +29,5 @@ def import_csv(spark: SparkSession, source: str, fields: Mapping[str, str], targ
     raw = files.scan_csv_any_encoding(spark, source, multiline).withColumn("_row", F.monotonically_increasing_id())
     with scratch(spark):
         rows = written(raw)  # row numbers must not change between the checks and the table
-        s = mapping.standardise(mapping.apply_mapping(rows, fields, keep=["_row"]), "_row")
+        s = mapping.standardise(mapping.apply_mapping(rows, fields, keep=["_row"]), "_row", once=True)
         return publish(s, target, fields)

@@ -69,9 +69,9 @@ SELECT k, CASE WHEN k % 97 <> 5 THEN day END AS date, NULLIF(o_orderpriority, '4
 """
 
 
-def standardised(spark, sf):
-    """The export mapped and standardised."""
-    return mapping.standardise(mapping.apply_mapping(raw_export(spark, sf), FIELDS, keep=["row_id"]), "row_id")
+def standardised(spark, sf, once=False):
+    """The export mapped and standardised; written ``once`` for queries that read it in several steps."""
+    return mapping.standardise(mapping.apply_mapping(raw_export(spark, sf), FIELDS, keep=["row_id"]), "row_id", once)
 
 
 # ------------------------------------------------------------------ sources and sinks
@@ -122,7 +122,7 @@ def _(spark, sf):
 def published(spark, sf):
     """The fact, checked and published as a new version; its folder."""
     path = folder(spark)
-    imports.publish(mapping.standardise(daily_fact(spark, sf)), path, {c: c for c in COLUMNS})
+    imports.publish(mapping.standardise(daily_fact(spark, sf), once=True), path, {c: c for c in COLUMNS})
     return path
 
 
@@ -285,7 +285,7 @@ UNION ALL SELECT 'duplicate_canonical_grain', NULL, CAST(SUM(n) AS BIGINT), 'ERR
 
 @query("quality_issues", f"SELECT code, field, affected_count, severity FROM ({_checks}) AS u")
 def _(spark, sf):
-    return edge(quality.quality_issues(standardised(spark, sf)), "code", "field", "affected_count", "severity")
+    return edge(quality.quality_issues(standardised(spark, sf, once=True)), "code", "field", "affected_count", "severity")
 
 
 @query(
@@ -294,7 +294,7 @@ def _(spark, sf):
   CAST(0 AS BIGINT) AS info_count, (SELECT COUNT(*) FROM orders) AS row_count FROM ({_checks}) AS u""",
 )
 def _(spark, sf):
-    return edge(quality.quality_report(standardised(spark, sf)))
+    return edge(quality.quality_report(standardised(spark, sf, once=True)))
 
 
 @query("quality_duplicate_grain", "SELECT CAST(date AS VARCHAR) AS date, channel, COUNT(*) AS row_count FROM raw_clean GROUP BY 1, 2 HAVING COUNT(*) > 1")
@@ -331,7 +331,7 @@ UNION ALL SELECT 'missing_ratio_exceeded', 'valid_leads', k FROM raw_clean WHERE
 UNION ALL SELECT 'missing_ratio_exceeded', 'gross_revenue', k FROM raw_clean WHERE gross_revenue IS NULL AND (SELECT AVG(CASE WHEN gross_revenue IS NULL THEN 1.0 ELSE 0.0 END) FROM raw_clean) > 0.05) AS c) AS r WHERE rn <= 10""",
 )
 def _(spark, sf):
-    df = quality.issue_samples(standardised(spark, sf), "row_id")
+    df = quality.issue_samples(standardised(spark, sf, once=True), "row_id")
     return edge(df.where("sample = 'row'"), "code", "field", "position", "text")
 
 

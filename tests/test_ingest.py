@@ -237,3 +237,24 @@ def test_import_in_one_call_and_pruned_reads(spark, tmp_path):
     with pytest.raises(tables.QualityBlocked):
         imports.import_csv(spark, str(tmp_path / "in"), fields, path)
     assert tables.read_fact(spark, path).count() == 3
+
+
+def test_every_blank_character_is_trimmed_and_removed(spark):
+    text = [chr(i) for i in range(1, 0x10000) if not 0xD800 <= i < 0xE000]
+    a = F.concat("c", F.lit("x"), "c", F.lit("y"), "c", "c")
+    df = spark.createDataFrame([(c,) for c in text], "c string")
+    by_pattern = F.regexp_replace(a, rf"^{cleaning.BLANK}+|{cleaning.BLANK}+$", ""), F.regexp_replace(a, f"{cleaning.BLANK}+", "")
+    wrong = df.where((cleaning.trimmed(a) != by_pattern[0]) | (cleaning.compact_col(a) != by_pattern[1]))
+    assert wrong.count() == 0
+    plan = df.select(cleaning.trimmed(a), cleaning.compact_col(a))._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp" not in plan  # a pattern for each cell was most of the time of typing
+
+
+def test_cells_are_parsed_once_for_all_checks(spark):
+    rows = [("1", "2025-01-01", "5"), ("2", "bad", "1.5"), ("3", "2025-01-01", "x")]
+    df = spark.createDataFrame(rows, "row_id string, date string, leads string")
+    lazy, s = mapping.standardise(df, "row_id"), mapping.standardise(df, "row_id", once=True)
+    for a, b in ((lazy.frame, s.frame), (lazy.bad_cells, s.bad_cells)):
+        assert a.columns == b.columns and sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
+        assert "Scan ExistingRDD" not in b._jdf.queryExecution().executedPlan().toString()
+    assert quality.quality_issues(lazy).exceptAll(quality.quality_issues(s)).count() == 0
