@@ -13,6 +13,7 @@ BLANKS = " \t\n\x0b\f\r\x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(map(chr, range(
 DATE_FORMATS = ("M/d/yyyy", "MMM d, yyyy", "MMMM d, yyyy", "d MMM yyyy", "d MMMM yyyy", "MMM d yyyy", "MMMM d yyyy")
 TIME_OF_DAY = r"[T ]\d{1,2}:\d{2}(:\d{2}(\.\d+)?)?( ?[AaPp][Mm])?( ?(Z|[+-]\d{2}:?\d{2}))?$"
 YEAR_FIRST = r"^(\d{4})[-/.年](\d{1,2})[-/.月](\d{1,2})日?"
+PLAIN_DAY = r"^[0-9]{4}[-/][0-9]{2}[-/][0-9]{2}( ([01][0-9]|2[0-3]):[0-5][0-9](:[0-5][0-9])?)?$"
 COMPACT_DATE = r"^(\d{4})(\d{2})(\d{2})$"
 # Serial day numbers of spreadsheets and their first day.
 SERIAL_MIN, SERIAL_MAX, SERIAL_ORIGIN = 1, 132320, "1899-12-30"
@@ -46,8 +47,8 @@ def date_of(text: Column) -> tuple[Column, Column]:
     day = F.initcap(F.regexp_replace(F.regexp_replace(text, TIME_OF_DAY, ""), r"(\d)-([A-Za-z]+)-(\d)", "$1 $2 $3"))
     parsed = F.coalesce(year_first, *[F.try_to_timestamp(day, F.lit(f)) for f in DATE_FORMATS]).cast("date")
     is_serial = F.coalesce(number.between(SERIAL_MIN, SERIAL_MAX), F.lit(False))
-    # most exports write plain ISO days: one pattern and one cast, nothing else is tried for them
-    plain = F.when(text.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$"), text).try_cast("date")
+    # most exports write the year first, with or without a time: one pattern and one cast, nothing else is tried for them
+    plain = F.when(text.rlike(PLAIN_DAY), F.translate(F.substring(text, 1, 10), "/", "-")).try_cast("date")
     value = F.coalesce(plain, F.when(is_serial, serial).otherwise(parsed))
     return value, text.isNotNull() & value.isNull()
 

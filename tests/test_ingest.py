@@ -258,3 +258,14 @@ def test_cells_are_parsed_once_for_all_checks(spark):
         assert a.columns == b.columns and sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
         assert "Scan ExistingRDD" not in b._jdf.queryExecution().executedPlan().toString()
     assert quality.quality_issues(lazy).exceptAll(quality.quality_issues(s)).count() == 0
+
+
+def test_days_with_the_year_first_and_a_time(spark):
+    cases = {
+        "2025/02/28 23:59:59": date(2025, 2, 28), "2025-02-28 00:00": date(2025, 2, 28), "2025/02/28": date(2025, 2, 28),
+        "2025/02/30 10:00:00": None, "2025/02/28 25:00:00": None, "2025-13-01": None,
+    }
+    got = spark.createDataFrame([(t,) for t in cases], "t string").select("t", *cleaning.date_col(F.col("t"))).collect()
+    assert {r[0]: r[1] for r in got} == cases and all(r[2] == (cases[r[0]] is None) for r in got)
+    plan = spark.createDataFrame([("x",)], "t string").select(cleaning.date_col(F.col("t"))[0])._jdf.queryExecution().optimizedPlan().toString()
+    assert cleaning.PLAIN_DAY in plan

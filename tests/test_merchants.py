@@ -164,3 +164,10 @@ def test_wording(spark):
     assert got[0].t == "GMV趋势：GMV环比-20.0%｜相对位置：排名上升3名，同月分位5.0%｜订单：订单环比1.0%"
     assert [r.n for r in got] == ["↓2名", "↑2名", "NULL", "持平"]
     assert got[1].t == got[2].t == "" and "排名持平" in got[3].t
+
+
+def test_merchant_exports_share_one_pass_over_the_lines(spark):
+    from bizdiag.sources.adapters import merchant_sources
+
+    for df in merchant_sources(spark, "/root/testdata/sf0.001"):
+        assert df.count() and "l_orderkey" not in df._jdf.queryExecution().executedPlan().toString()
