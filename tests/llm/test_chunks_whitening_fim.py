@@ -234,3 +234,10 @@ def test_fill_in_middle_query(spark):
     for r in rows:
         n, form, prefix, middle, output = brute_fim(r.doc_id, texts[r.doc_id])
         assert tuple(r) == (r.doc_id, n, form, prefix, middle, sha(output), sha(texts[r.doc_id]))
+
+
+def test_ids_are_listed_in_decimal():
+    own = chunk_bpe.codec(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+    last = len(own.tokens) - 1
+    for ids in ([], [0], [10, 0, 100, last, 7], list(range(1_000))):
+        assert own.listed(np.array(ids, "<u4")) == ",".join(map(str, ids)).encode()
