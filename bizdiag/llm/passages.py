@@ -67,7 +67,7 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 def _repeats(key: np.ndarray, other: np.ndarray, doc: np.ndarray) -> np.ndarray:
     """Indices of windows that also start in a document with a smaller id."""
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     same = key[order][1:] == key[order][:-1]
     some = order[np.r_[same, False] | np.r_[False, same]]
     if not len(some):
@@ -78,6 +78,13 @@ def _repeats(key: np.ndarray, other: np.ndarray, doc: np.ndarray) -> np.ndarray:
     return some[doc[some] > smallest]
 
 
+def _words(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the words of a text in which a blank or line feed stands between two of them, and nowhere else."""
+    marks = np.frombuffer(text, np.uint8)
+    between = np.flatnonzero((marks == 32) | (marks == 10))
+    return np.r_[0, between + 1], np.r_[between, len(text)]
+
+
 def pack(part: pa.RecordBatch, buckets: int, frequent: np.ndarray, packer: zstandard.ZstdCompressor):
     """Rows for the buckets from one chunk (doc, mark, text): settled repeats, and packed super-k-mers."""
     split = [(d, m, t.encode().split()) for d, m, t in zip(*(c.to_pylist() for c in part.columns)) if d is not None and t]
@@ -86,10 +93,10 @@ def pack(part: pa.RecordBatch, buckets: int, frequent: np.ndarray, packer: zstan
         return
     lists = [x[2] for x in split]
     count = np.array([len(x) for x in lists])
-    h = W.hashes(lists)
     first = np.cumsum(count) - count
     joined = b" ".join(map(b" ".join, lists))
-    ends = np.cumsum(np.fromiter((len(w) + 1 for x in lists for w in x), np.int64, len(h)))
+    begins, ends = _words(joined)
+    h = W.spans(joined, begins, ends)
     doc_of, mark_of = np.array([x[0] for x in split], np.int64), np.array([x[1] for x in split], np.int32)
     owner = np.repeat(np.arange(len(lists)), count)
     del split, lists
@@ -110,7 +117,7 @@ def pack(part: pa.RecordBatch, buckets: int, frequent: np.ndarray, packer: zstan
     run = np.flatnonzero(np.r_[True, (at[1:] - at[:-1] > 1) | (least[at[1:]] != least[at[:-1]])])
     start, n = at[run], np.diff(np.r_[run, len(at)])
     bucket = (W.mixed(least[start]) % np.uint64(buckets)).astype(np.int64)
-    begin, stop = np.r_[0, ends][start], ends[start + n + WINDOW - 2] - 1
+    begin, stop = begins[start], ends[start + n + WINDOW - 2]
     order = np.argsort(bucket, kind="stable")
     edges = np.flatnonzero(np.r_[True, np.diff(bucket[order]) > 0, True])
     for a, b in zip(edges[:-1], edges[1:]):
@@ -126,10 +133,10 @@ def unpack(raw: bytes):
     n = int(np.frombuffer(raw, "<i8", 1)[0])
     doc, mark, at = np.cumsum(np.frombuffer(raw, "<i8", n, 8)), np.frombuffer(raw, "<i4", n, 8 + 8 * n), np.frombuffer(raw, "<i4", n, 8 + 12 * n)
     text = raw[8 + 16 * n :]
-    marks = np.frombuffer(text, np.uint8)
-    marks = marks[(marks == 32) | (marks == 10)]  # a blank between words, a line feed between strings
-    count = np.diff(np.r_[-1, np.flatnonzero(marks == 10), len(marks)])
-    h = W.hashes([text.split()])
+    begins, ends = _words(text)  # a blank between words, a line feed between strings
+    last = np.flatnonzero(np.frombuffer(text, np.uint8)[ends[:-1]] == 10)  # words before a line feed
+    count = np.diff(np.r_[-1, last, len(ends) - 1])
+    h = W.spans(text, begins, ends)
     windows = count - WINDOW + 1
     inside = np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)
     where = np.repeat(np.cumsum(count) - count, windows) + inside
@@ -142,8 +149,9 @@ def _sample(rows: DataFrame) -> tuple[np.ndarray, bytes]:
     def count(batches):
         seen, text, size = [], [], 0
         for part in chunks(batches):
-            lists = [t.encode().split() for t in part.column("text").to_pylist() if t]
-            seen.append(W.grams(W.hashes(lists), GRAM, 1) >> np.uint64(64 - _BITS))
+            lists = [words for t in part.column("text").to_pylist() if t and (words := t.encode().split())]
+            joined = b" ".join(map(b" ".join, lists))
+            seen.append(W.grams(W.spans(joined, *_words(joined)), GRAM, 1) >> np.uint64(64 - _BITS))
             for words in lists:
                 if size < DICTIONARY:
                     text.append(b" ".join(words[:200]))

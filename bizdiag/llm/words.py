@@ -1,7 +1,7 @@
 """Words of texts as 64-bit hashes, for operators on word sequences.
 
 A word is a run of bytes other than blank, tab, line feed, vertical tab, form feed and carriage
-return. Hashes of words are kept in a bounded cache of the worker.
+return. Hashes of words in lists are kept in a bounded cache of the worker.
 """
 
 from __future__ import annotations
@@ -33,6 +33,34 @@ def hashes(words: list[list[bytes]]) -> np.ndarray:
     return np.fromiter(map(_cache.__getitem__, chain.from_iterable(words)), np.uint64, sum(map(len, words)))
 
 
+#: Bytes of a word that are hashed eight at a time with those of all other words; the rest of longer ones goes by itself.
+_TOGETHER = 64
+_MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+
+
+def spans(text: bytes, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """A hash of each of the byte ranges of ``text``, for all of them at once: no cache, and no object for a word.
+
+    Other values than those of ``hashes``. Ranges of equal bytes have equal hashes wherever they lie.
+    """
+    padded = text + bytes(8)
+    eight = np.ndarray(len(text) + 1, "<u8", padded, strides=(1,))  # the eight bytes from each position on
+    size = stop - start
+    h = mixed(size.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+    h = mixed(h ^ (eight[start] & _MASKS[np.minimum(size, 8)]))
+    done = 8
+    longer = np.flatnonzero(size > done)
+    while len(longer) and done < _TOGETHER:
+        part = eight[start[longer] + done] & _MASKS[np.minimum(size[longer] - done, 8)]
+        h[longer] = mixed(h[longer] ^ part)
+        done += 8
+        longer = longer[size[longer] > done]
+    if len(longer):
+        rest = [xxhash.xxh3_64_intdigest(text[a + done : b]) for a, b in zip(start[longer].tolist(), stop[longer].tolist())]
+        h[longer] = mixed(h[longer] ^ np.array(rest, np.uint64))
+    return h
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """Well-mixed 64-bit values (a bijection)."""
     x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)

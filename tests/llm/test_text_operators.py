@@ -198,6 +198,18 @@ def test_passages(spark, corpus):
     assert passages.digests(df.limit(0)).count() == 0
 
 
+def test_words_are_hashed_alike_wherever_they_lie():
+    found = [b"", b"a", b"\0", b"b" * 7, b"b" * 8, b"b" * 9, b"b" * 63, b"b" * 64, b"b" * 65, b"b" * 5_000, b"b" * 4_999 + b"c", "ä中".encode(), b"\xff" * 8]
+    found += [b"w%d" % i for i in range(5_000)]
+    hashes = {}
+    for order in (found, found[::-1]):
+        text, stop = b" ".join(order), np.cumsum([len(w) + 1 for w in order]) - 1
+        start = stop - [len(w) for w in order]
+        for w, h in zip(order, W.spans(text, start, stop).tolist()):
+            assert hashes.setdefault(w, h) == h
+    assert len(set(hashes.values())) == len(found)
+
+
 def test_frequent_runs_do_not_change_the_result(spark, corpus, monkeypatch):
     monkeypatch.setattr(passages, "FREQUENT", 1)
     monkeypatch.setattr(passages, "HELD", 10)
