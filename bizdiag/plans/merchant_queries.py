@@ -275,9 +275,8 @@ def _(spark, sf):
 
 # ------------------------------------------------------------------ priority
 def priority_rows(spark, sf):
-    """Priority rows and thresholds over the attention rows."""
-    a = written(attention_rows(spark, sf))
-    return priority.priority(a)
+    """Priority rows and thresholds over the attention rows, which ``priority`` reads once."""
+    return priority.priority(attention_rows(spark, sf))
 
 
 P_KEY = ("month", "merchant_key")

@@ -171,3 +171,11 @@ def test_merchant_exports_share_one_pass_over_the_lines(spark):
 
     for df in merchant_sources(spark, "/root/testdata/sf0.001"):
         assert df.count() and "l_orderkey" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_lines_of_a_merchant_and_month_are_shuffled_once(spark):
+    from bizdiag.sources import adapters
+
+    lines = adapters._merchant_lines(spark, "/root/testdata/sf0.001")
+    sums = lines.groupBy("l_suppkey", "month").agg(F.sum("gmv"), F.count("*"))
+    assert sums._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning(") == 1
