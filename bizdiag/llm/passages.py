@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bizdiag.llm import words as W
+from bizdiag.llm import worker
 from bizdiag.llm.batches import chunks, sampled, splits, unused
 
 WINDOW = 13
@@ -36,6 +37,8 @@ GRAM = 2
 BUCKETS = 4
 #: Windows that a task holds before it settles what can be settled.
 HELD = 400_000
+#: Bytes of text that a task packs at once: some 30 times as much memory goes into its words and windows.
+CHUNK_BYTES = 2 << 20
 #: Bytes of sample text that packed strings are compressed against.
 DICTIONARY = 65_536
 SAMPLE_ROWS = 2_000
@@ -45,6 +48,10 @@ _SENT = "bucket int, doc long, mark int, ranges binary, blob binary"
 _NAMES = ["bucket", "doc", "mark", "ranges", "blob"]
 
 
+def _nothing() -> None:
+    """Words are hashed together here and not kept, so what other operators keep in the worker is all that goes."""
+
+
 def _ranges(doc: np.ndarray, mark: np.ndarray, at: np.ndarray):
     """(doc, mark, starts and lengths of runs of consecutive positions) of each document."""
     if not len(at):
@@ -87,19 +94,21 @@ def _words(text: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 def pack(part: pa.RecordBatch, buckets: int, frequent: np.ndarray, packer: zstandard.ZstdCompressor):
     """Rows for the buckets from one chunk (doc, mark, text): settled repeats, and packed super-k-mers."""
-    split = [(d, m, t.encode().split()) for d, m, t in zip(*(c.to_pylist() for c in part.columns)) if d is not None and t]
-    split = [x for x in split if len(x[2]) >= WINDOW]
+    worker.keeps("passages", _nothing)
+    split = []
+    for d, m, t in zip(*part.columns):  # the words of one text at a time
+        if d.is_valid and t.is_valid and len(words := t.as_py().encode().split()) >= WINDOW:
+            split.append((d.as_py(), m.as_py(), len(words), b" ".join(words)))
     if not split:
         return
-    lists = [x[2] for x in split]
-    count = np.array([len(x) for x in lists])
+    doc_of, mark_of = np.array([x[0] for x in split], np.int64), np.array([x[1] for x in split], np.int32)
+    count = np.array([x[2] for x in split])
+    joined = b" ".join([x[3] for x in split])
+    del split
     first = np.cumsum(count) - count
-    joined = b" ".join(map(b" ".join, lists))
     begins, ends = _words(joined)
     h = W.spans(joined, begins, ends)
-    doc_of, mark_of = np.array([x[0] for x in split], np.int64), np.array([x[1] for x in split], np.int32)
-    owner = np.repeat(np.arange(len(lists)), count)
-    del split, lists
+    owner = np.repeat(np.arange(len(count)), count)
     size = len(h) - WINDOW + 1
     valid = owner[:size] == owner[WINDOW - 1 :]
     gram = W.grams(h, GRAM, 1)
@@ -130,6 +139,7 @@ def pack(part: pa.RecordBatch, buckets: int, frequent: np.ndarray, packer: zstan
 
 def unpack(raw: bytes):
     """Arrays of the windows of packed strings: two hashes, document, mark and position."""
+    worker.keeps("passages", _nothing)
     n = int(np.frombuffer(raw, "<i8", 1)[0])
     doc, mark, at = np.cumsum(np.frombuffer(raw, "<i8", n, 8)), np.frombuffer(raw, "<i4", n, 8 + 8 * n), np.frombuffer(raw, "<i4", n, 8 + 12 * n)
     text = raw[8 + 16 * n :]
@@ -180,7 +190,7 @@ def repeated(docs: DataFrame, mark: Column, key: str = "doc_id", text: str = "te
     def send(batches):
         frequent = np.unpackbits(table.value[0]).astype(bool)
         packer = zstandard.ZstdCompressor(level=5, dict_data=_dictionary(table.value[1]))
-        for part in chunks(batches):
+        for part in chunks(batches, most=CHUNK_BYTES):
             out, size = [], 0
             for row in pack(part, buckets, frequent, packer):
                 out.append(row)

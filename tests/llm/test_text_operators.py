@@ -188,6 +188,25 @@ def brute_passages(rows):
     return sorted(out, key=str)
 
 
+def test_passages_let_go_of_what_other_operators_keep_in_a_worker():
+    import numpy as np
+    import pyarrow as pa
+    import zstandard
+
+    from bizdiag.llm import words
+
+    text = " ".join(map(str, range(40)))
+    part = pa.record_batch([pa.array([1, 2, None]), pa.array([0, 0, 0], pa.int32()), pa.array([text, None, text])], names=["doc", "mark", "text"])
+    packer, frequent = zstandard.ZstdCompressor(), np.zeros(1 << passages._BITS, bool)
+    words.hashes([[b"kept"]])
+    blobs = [row[4] for row in passages.pack(part, 4, frequent, packer)]
+    assert not words._cache
+    words.hashes([[b"kept"]])
+    windows = [passages.unpack(zstandard.ZstdDecompressor().decompress(b)) for b in blobs]
+    assert not words._cache
+    assert sorted(at for w in windows for at in w[4]) == list(range(40 - passages.WINDOW + 1))
+
+
 def test_passages(spark, corpus):
     df = frame(spark, corpus)
     want = brute_passages(corpus)
