@@ -190,6 +190,12 @@ def _relabelled(rows: DataFrame, found: DataFrame, column: str, into: str) -> Da
     return rows.join(named, F.col(column) == F.col("_id"), "left").withColumn(into, F.coalesce("_component", column)).drop("_id", "_component")
 
 
+def _added(links: DataFrame, found: DataFrame) -> DataFrame:
+    """Links (a, b) of the components that ``found`` and ``links`` make together: stars, and links between their centres."""
+    moved = _relabelled(_relabelled(links, found, "a", "ca"), found, "b", "cb").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+    return moved.unionByName(found.select(F.col("id").alias("a"), F.col("component").alias("b")))
+
+
 def _bucketed(nodes: DataFrame, bands: int) -> DataFrame:
     """(key, id, comp): each node in the buckets of its first ``bands`` bands."""
 
@@ -377,22 +383,19 @@ def near_duplicates(docs: DataFrame, percent: int = 75, key: str = "doc_id", tex
     full = rows.groupBy("key").agg(F.min("id").alias("hub"), F.count("*").alias("size")).filter("size > 1").select("key", "hub")
     pairs = rows.join(full, "key").filter("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
     first = _estimated(pairs, nodes, percent).groupBy("b").agg(F.min("a").alias("a"))
-    links = written(_verified(first.select("a", "b"), texts, percent))
-    found = components(links.unionByName(same))
+    found = components(_verified(first.select("a", "b"), texts, percent).unionByName(same))
 
     # all bands, but only buckets that hold several components: each node against one there
     rows = _bucketed(_relabelled(nodes, found, "id", "comp"), BANDS)
     open_rows = written(rows.join(_mixed(rows), "key"))
     pairs = open_rows.filter("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
     pairs = _relabelled(_relabelled(pairs, found, "a", "ca"), found, "b", "cb").filter("ca <> cb").select("a", "b")
-    links = written(links.unionByName(_verified(_estimated(pairs, nodes, percent), texts, percent)))
-    found = components(links.unionByName(same))
+    found = components(_added(_verified(_estimated(pairs, nodes, percent), texts, percent), found))
 
     # buckets that still hold several: everything across their components
     rows = _relabelled(open_rows.select("key", "id"), found, "id", "comp")
     dealt = written(_dealt(rows)).join(nodes, "id")
-    more = _verified(_across(dealt, texts, percent), texts, percent)
-    found = components(links.unionByName(more).unionByName(same))
+    found = components(_added(_verified(_across(dealt, texts, percent), texts, percent), found))
 
     labelled = _relabelled(every.join(classes, "print", "left"), found, "rep", "component")
     component = F.when(F.col("print").isNull(), F.col("id")).otherwise(F.col("component"))

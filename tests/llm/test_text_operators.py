@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from bizdiag.functions.lineage import written
 from bizdiag.llm import components, language, mixing, near_text, passages, queries
 from bizdiag.llm import words as W
 
@@ -170,6 +171,18 @@ def test_components_of_long_chains(spark):
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_of_stars_take_no_round(spark, monkeypatch):
+    tables = []
+    monkeypatch.setattr(components, "written", lambda df: tables.append(0) or written(df))
+    stars = [(1, k) for k in range(10, 20)] + [(k, 2) for k in range(30, 40)] + [(5, 5)]
+    got = {r.id: r.component for r in components.components(spark.createDataFrame(stars, "a long, b long")).collect()}
+    assert got == {k: 1 if k < 20 else 2 for k in [*range(10, 20), *range(30, 40)]} and len(tables) == 1
+    # links between members of known stars take one round that joins the centres, whatever members they name
+    more, found = spark.createDataFrame([(15, 35), (39, 60)], "a long, b long"), spark.createDataFrame(list(got.items()), "id long, component long")
+    got = {r.id: r.component for r in components.components(near_text._added(more, found)).collect()}
+    assert got == {k: 1 for k in [2, *range(10, 20), *range(30, 40), 60]} and len(tables) <= 4
+
+
 def brute_passages(rows):
     first = {}
     for i, t, *_ in sorted((r for r in rows if r[0] is not None), key=lambda r: r[0]):
